@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import sentence_pieces, token_counts
+from . import quality_rules, sentence_pieces, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_token_counts": token_counts.query,
+        "op4_quality_rules": quality_rules.query,
         "op10_sentence_pieces": sentence_pieces.query,
     }
 
