@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sentence_pieces, token_counts
+from . import quality_rules, repeats, sentence_pieces, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_token_counts": token_counts.query,
         "op4_quality_rules": quality_rules.query,
+        "op8_repeats": repeats.query,
         "op10_sentence_pieces": sentence_pieces.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_repeats": repeats.SQL,
+    }
