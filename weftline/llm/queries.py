@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules, repeats, sentence_pieces, token_counts
+from . import jaccard_join, quality_rules, repeats, sentence_pieces, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_token_counts": token_counts.query,
         "op4_quality_rules": quality_rules.query,
         "op8_repeats": repeats.query,
+        "op9_jaccard_join": jaccard_join.query,
         "op10_sentence_pieces": sentence_pieces.query,
     }
 
@@ -17,4 +18,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_repeats": repeats.SQL,
+        "op9_jaccard_join": jaccard_join.SQL,
     }
