@@ -42,6 +42,8 @@ U64 = np.uint64
 def ranges(df: DataFrame) -> int:
     """A power of two in proportion to the size of the input, as the planner knows it."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # unknown
+        size = df.rdd.getNumPartitions() * RANGE_BYTES
     return 1 << max(2, min(14, (size // RANGE_BYTES).bit_length()))
 
 
