@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, license_rules, ngram_model, quality_rules, repeats, sentence_pieces, token_counts
+from . import jaccard_join, license_rules, ngram_model, pseudonyms, quality_rules, repeats, sentence_pieces, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_token_counts": token_counts.query,
+        "op3_pseudonyms": pseudonyms.query,
         "op4_quality_rules": quality_rules.query,
         "op5_license_rules": license_rules.query,
         "op6_ngram_model": ngram_model.query,
