@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, license_rules, ngram_model, pseudonyms, quality_rules, repeats, sentence_pieces, token_counts
+from . import decontaminate, jaccard_join, license_rules, ngram_model, pseudonyms, quality_rules, repeats, sentence_pieces, token_counts
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_quality_rules": quality_rules.query,
         "op5_license_rules": license_rules.query,
         "op6_ngram_model": ngram_model.query,
+        "op7_decontaminate": decontaminate.query,
         "op8_repeats": repeats.query,
         "op9_jaccard_join": jaccard_join.query,
         "op10_sentence_pieces": sentence_pieces.query,

@@ -118,8 +118,7 @@ def spans(data: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarra
     """Starts and ends of the words in data; no word reaches over a break."""
     word = ~SPACE[data]
     edge = np.empty(len(data) + 1, bool)
-    edge[0] = word[0] if len(word) else False
-    edge[-1] = word[-1] if len(word) else False
+    edge[0], edge[-1] = word[0], word[-1]
     edge[1:-1] = word[1:] != word[:-1]
     first = np.flatnonzero(edge)
     starts, ends = first[0::2], first[1::2]
@@ -144,10 +143,19 @@ class Words:
         return slice(self.first[i], self.first[i + 1])
 
 
-def split(column: pa.Array, lower: bool = False, spans=spans, gaps=word_gaps) -> Iterator[Words]:
+def lowered(data: np.ndarray) -> np.ndarray:
+    """data with the two-byte capitals of Latin-1 in lower case."""
+    out = data.copy()
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    out[at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]] += 0x20
+    return out
+
+
+def split(column: pa.Array, lower: bool = False, spans=spans, gaps=word_gaps, fold=lambda data: data) -> Iterator[Words]:
     """The words of a string column, some rows (about a megabyte) at a time.
 
-    spans and gaps may be others than those of words: what to hash, and where a long text may be cut.
+    spans and gaps may be others than those of words: what to hash, and where a long text may be cut. What
+    fold makes of the bytes, as many, is hashed in their place.
     """
     table = _LOWER if lower else _PLAIN
     raw, offs = string_buffers(column)
@@ -157,14 +165,17 @@ def split(column: pa.Array, lower: bool = False, spans=spans, gaps=word_gaps) ->
         end = min(n, max(end, at + 1))
         lo, hi = int(offs[at]), int(offs[end])
         data = raw[lo:hi]
-        if hi - lo <= 2 * CHUNK_BYTES:
+        if hi == lo:
+            starts = ends = np.empty(0, np.int64)
+            hashes = np.empty(0, np.uint64)
+        elif hi - lo <= 2 * CHUNK_BYTES:
             starts, ends = spans(data, offs[at:end] - lo)
-            hashes = _hash_spans(data, starts, ends, table)
+            hashes = _hash_spans(fold(data), starts, ends, table)
         else:
             parts = []
             for a, b in _cuts(data, gaps):
                 s, e = spans(data[a:b])
-                parts.append((s + a, e + a, _hash_spans(data[a:b], s, e, table)))
+                parts.append((s + a, e + a, _hash_spans(fold(data[a:b]), s, e, table)))
             starts, ends, hashes = (np.concatenate(x) for x in zip(*parts))
         first = np.searchsorted(starts, offs[at : end + 1] - lo)
         yield Words(range(at, end), data, starts, ends, hashes, first)
