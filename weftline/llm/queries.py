@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, license_rules, ngram_model, pseudonyms, quality_rules, repeats, sentence_pieces, token_counts
+from . import decontaminate, jaccard_join, license_rules, ngram_model, pseudonyms, quality_rules, quotes, repeats, sentence_pieces, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_quotes": quotes.query,
         "op2_token_counts": token_counts.query,
         "op3_pseudonyms": pseudonyms.query,
         "op4_quality_rules": quality_rules.query,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_quotes": quotes.SQL,
         "op8_repeats": repeats.SQL,
         "op9_jaccard_join": jaccard_join.SQL,
     }
