@@ -4,7 +4,8 @@ A document's set is its distinct shingles of K words. Two sets whose Jaccard
 similarity reaches the threshold share a token among the first
 s - ceil(threshold * s) + 1 of each, under any order of all tokens. Under the
 first order, which puts tokens of many documents last, these prefixes are dealt
-out by token; sets that meet are candidates. Before a candidate pair is
+out by token; sets that meet are candidates where what follows the token in both
+can make up the overlap that their sizes ask for. Before a candidate pair is
 verified, its prefixes under the other orders must intersect as well.
 
 Equal sets form one class. Groups of similar sets are not expanded into pairs: in
@@ -19,6 +20,7 @@ are put last. All else is ordered by hash.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,7 +152,11 @@ def _sets(docs: DataFrame, k: int, text: str) -> DataFrame:
 
 
 def _buckets(docs: DataFrame, k: int, percent: int, uri: str, text: str) -> DataFrame:
-    """b, fp and s: the classes that share a token of their prefixes, under one b for all tokens of the same classes."""
+    """b, fp, s and i: the classes that share a token of their prefixes, their size and its place in their prefix.
+
+    All tokens of a range that the same classes share are one b, with the place
+    of the first.
+    """
     n = ranges(docs)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +178,7 @@ def _buckets(docs: DataFrame, k: int, percent: int, uri: str, text: str) -> Data
             out = []
             mark = h[at[often]]
             asked = np.concatenate([h[few], mark])
-            members, sizes = np.concatenate([fp[few], np.zeros(len(mark), U64)]), np.concatenate([s[few], np.zeros(len(mark), np.int32)])
+            members, sizes = np.concatenate([fp[few], np.zeros(len(mark), U64)]), np.concatenate([s[few], np.zeros(len(mark), U64)])
             for r, x in by_range(words.mix(asked), n):
                 out.append((r, True, asked[x].tobytes(), members[x].tobytes(), sizes[x].tobytes()))
             rest = np.flatnonzero(~few)
@@ -188,7 +194,9 @@ def _buckets(docs: DataFrame, k: int, percent: int, uri: str, text: str) -> Data
                 size, fp = prints(row, h, len(w.rows))
                 at = first_of(row, order(h), size, prefix_length(size, percent))
                 if len(at):
-                    kept.append((h[at], fp[row[at]], size[row[at]].astype(np.int32)))
+                    r = row[at]
+                    nth = np.arange(len(at)) - np.searchsorted(r, r)
+                    kept.append((h[at], fp[r], size[r].astype(U64) << U64(32) | nth.astype(U64)))
                     size_kept += len(at)
                 if size_kept >= PACK:
                     yield send()
@@ -200,7 +208,7 @@ def _buckets(docs: DataFrame, k: int, percent: int, uri: str, text: str) -> Data
         asked = np.asarray(table.column("asked").to_pylist(), bool)
         cols = {c: table.column(c).to_pylist() for c in ("h", "fp", "s")}
         get = lambda c, which, t: np.concatenate([np.frombuffer(cols[c][i], t) for i in np.flatnonzero(which)] or [np.empty(0, t)])
-        h, fp, s = (get(c, asked, t) for c, t in (("h", U64), ("fp", U64), ("s", np.int32)))
+        h, fp, s = (get(c, asked, t) for c, t in (("h", U64), ("fp", U64), ("s", U64)))
         at = np.lexsort((fp, h))
         h, fp, s = h[at], fp[at], s[at]
         new = np.ones(len(h), bool)
@@ -214,22 +222,26 @@ def _buckets(docs: DataFrame, k: int, percent: int, uri: str, text: str) -> Data
         keep = (count > 1)[back] & (fp != 0)
         b = np.where(marked[back], h, sign[back])[keep]
         fp, s = fp[keep], s[keep]
-        told = [get(c, ~asked, t) for c, t in (("h", U64), ("fp", U64), ("s", np.int32))]
+        told = [get(c, ~asked, U64) for c in ("h", "fp", "s")]
         b, fp, s = (np.concatenate(x) for x in zip((b, fp, s), told))
-        at = np.lexsort((fp, b))
+        at = np.lexsort((s, fp, b))  # of the tokens under one b, a class's first
         b, fp, s = b[at], fp[at], s[at]
         new = np.ones(len(b), bool)
         new[1:] = (b[1:] != b[:-1]) | (fp[1:] != fp[:-1])
-        return pa.table({"b": pa.array(b[new].view(np.int64)), "fp": pa.array(fp[new].view(np.int64)), "s": pa.array(s[new])})
+        b, fp, s = b[new], fp[new], s[new]
+        return pa.table({"b": pa.array(b.view(np.int64)), "fp": pa.array(fp.view(np.int64)), "s": pa.array((s >> U64(32)).astype(np.int32)), "i": pa.array((s & U64(0xFFFFFFFF)).astype(np.int32))})
 
     dealt = docs.select(text).mapInArrow(prefixes, "r int, asked boolean, h binary, fp binary, s binary")
-    return dealt.groupBy("r").applyInArrow(meet, "b long, fp long, s int").dropDuplicates(["b", "fp"])
+    return dealt.groupBy("r").applyInArrow(meet, "b long, fp long, s int, i int").groupBy("b", "fp", "s").agg(F.min("i").alias("i"))
+
 
+def _tokens(docs: DataFrame, wanted: DataFrame, k: int, uri: str, text: str) -> DataFrame:
+    """fp, pack, lo and hi: where the sets of the rows whose key _k is wanted (and of a few others) lie in arrays at uri.
 
-def _tokens(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFrame:
-    """fp and set (binary, sorted hashes) of the rows whose key _k is wanted, and of a few others."""
+    Each task writes its own arrays, so sets are never shuffled. A repeated task
+    writes others, and only those that its rows name are read.
+    """
     n = ranges(docs)
-    uri = store.folder(docs.sparkSession, "wanted")
 
     def write(table: pa.Table) -> pa.Table:
         r = table.column("r")[0].as_py()
@@ -237,10 +249,21 @@ def _tokens(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFrame:
         return pa.table({"r": pa.array([r], pa.int32())})
 
     spread = F.pmod(F.xxhash64("_k"), F.lit(n)).cast("int").alias("r")
-    present = {x.r for x in wanted.select(spread, "_k").groupBy("r").applyInArrow(write, "r int").collect()}
+    present = {x.r for x in wanted.select(spread, "_k").groupBy("r").applyInArrow(write, "r int").collect()}  # at most n small numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[int, np.ndarray] = {}
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size_kept = 0
+
+        def send() -> pa.RecordBatch:
+            fp, size, h = (np.concatenate(x) for x in zip(*kept))
+            kept.clear()
+            pack = uuid.uuid4().hex
+            store.put(uri, {f"t-{pack}": h})
+            hi = np.cumsum(size)
+            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array([pack] * len(fp), pa.string()), pa.array(hi - size), pa.array(hi)], names=["fp", "pack", "lo", "hi"])
+
         for b in batches:
             part, key = b.column(0).to_numpy(), words.mix(b.column(1).to_numpy().view(U64))
             hit = np.zeros(len(key), bool)
@@ -252,10 +275,15 @@ def _tokens(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFrame:
                     hit[at] = in_map(maps[r], key[at])
             for w, row, h in shingles(b.column(2).filter(pa.array(hit)), k):
                 size, fp = prints(row, h, len(w.rows))
-                edge = np.concatenate([[0], np.cumsum(size)])
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array([h[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])], pa.binary())], names=["fp", "tokens"])
+                kept.append((fp, size, h))
+                size_kept += len(h)
+                if size_kept >= PACK:
+                    yield send()
+                    size_kept = 0
+        if kept:
+            yield send()
 
-    return docs.select(F.xxhash64("doc_id", text).alias("_k"), text).select(spread, "_k", text).mapInArrow(run, "fp long, tokens binary")
+    return docs.select(F.xxhash64("doc_id", text).alias("_k"), text).select(spread, "_k", text).mapInArrow(run, "fp long, pack string, lo long, hi long")
 
 
 def _other_orders(h: np.ndarray, take: int) -> list[np.ndarray]:
@@ -276,14 +304,26 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = THRESHOLD) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, tokens: DataFrame, percent: int, uri: str) -> DataFrame:
+    """The pairs of classes a, b that are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[str, np.ndarray] = {}
+
+        def get(x: dict) -> np.ndarray:
+            if x["pack"] not in maps:
+                if len(maps) >= 256:
+                    maps.clear()
+                maps[x["pack"]] = store.get(uri, f"t-{x['pack']}")
+            return maps[x["pack"]][x["lo"] : x["hi"]]
+
         for b in batches:
-            ok = [similar(np.frombuffer(x, U64), np.frombuffer(y, U64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            ok = [similar(get(x), get(y), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one = tokens.select(F.col("fp").alias("a"), F.col("tokens").alias("ta"))
-    two = tokens.select(F.col("fp").alias("b"), F.col("tokens").alias("tb"))
+    place = F.struct("pack", "lo", "hi")
+    one = tokens.select(F.col("fp").alias("a"), place.alias("ta"))
+    two = tokens.select(F.col("fp").alias("b"), place.alias("tb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -304,25 +344,32 @@ def jaccard_join(docs: DataFrame, k: int = K, percent: int = THRESHOLD, text: st
     buckets = store.written(spark, _buckets(docs, k, percent, uri, text), "buckets")
     members = buckets.select("fp").distinct()
     reps = rows.join(members, "fp", "left_semi").groupBy("fp").agg(F.min("_k").alias("_k"))
-    tokens = store.written(spark, _tokens(docs, reps, k, text).join(members, "fp", "left_semi").dropDuplicates(["fp"]), "tokens")
+    tokens = store.written(spark, _tokens(docs, reps, k, uri, text).join(members, "fp", "left_semi").dropDuplicates(["fp"]), "tokens")
     labels = members.select("fp", F.col("fp").alias("c"))
-    at_most = 2 * buckets.count()
+    at_most, before = buckets.count(), float("inf")
     for i in range(ROUNDS + 1):
         here = buckets.join(labels, "fp")
+        # Members whose token comes too late in them to be the first that they share with any set of the bucket's sizes.
+        least = here.groupBy("b").agg(F.min("s").alias("least"))
+        here = here.join(least, "b").where(f"{100 + percent} * (s - i) >= {percent} * s + greatest({percent} * least, {percent * percent} * s div 100)").drop("least")
         per = here.groupBy("b", "c").agg(F.count("*").alias("m")).groupBy("b").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("cs"))
-        open_ = store.written(spark, here.join(per.where("cs > 1").select("b", "n", "q"), "b").select("b", "fp", "s", "c", "n", "q"), "open")
+        open_ = store.written(spark, here.join(per.where("cs > 1").select("b", "n", "q"), "b").select("b", "fp", "s", "i", "c", "n", "q"), "open")
         todo = open_.select("b", "n", "q").distinct().agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0]
         if not todo:
             break
-        last = i == ROUNDS or todo <= at_most
-        one = open_.select("b", F.col("fp").alias("a"), F.col("s").alias("sa"), F.col("c").alias("ca"))
-        two = open_.select("b", F.col("fp").alias("b2"), F.col("s").alias("sb"), F.col("c").alias("cb"))
+        last = i == ROUNDS or todo <= at_most or todo > 0.9 * before
+        before = todo
+        one = open_.select("b", F.col("fp").alias("a"), F.col("s").alias("sa"), F.col("i").alias("ia"), F.col("c").alias("ca"))
+        two = open_.select("b", F.col("fp").alias("b2"), F.col("s").alias("sb"), F.col("i").alias("ib"), F.col("c").alias("cb"))
         if not last:
-            best = F.min(F.struct(F.xxhash64(F.col("a"), F.lit(i)).alias("o"), "a", "sa", "ca")).alias("best")
-            one = one.groupBy("b").agg(best).select("b", "best.a", "best.sa", "best.ca")
+            # The member that shares the most, as far as the token's place tells; in later rounds any.
+            by = [F.col("ia") / F.col("sa")] if i % 2 == 0 else []
+            best = F.min(F.struct(*(x.alias(f"o{k}") for k, x in enumerate([*by, F.xxhash64(F.col("a"), F.lit(i))])), "a", "sa", "ia", "ca")).alias("best")
+            one = one.groupBy("b").agg(best).select("b", "best.a", "best.sa", "best.ia", "best.ca")
         pairs = one.join(two, "b").where((F.col("ca") < F.col("cb")) if last else (F.col("ca") != F.col("cb")))
-        pairs = pairs.where(f"100 * least(sa, sb) >= {percent} * greatest(sa, sb)").select(F.least("a", "b2").alias("a"), F.greatest("a", "b2").alias("b")).distinct()
-        links = _verify(pairs, tokens, percent)
+        pairs = pairs.where(f"100 * least(sa, sb) >= {percent} * greatest(sa, sb) and {100 + percent} * least(sa - ia, sb - ib) >= {percent} * (sa + sb)")
+        pairs = pairs.select(F.least("a", "b2").alias("a"), F.greatest("a", "b2").alias("b")).distinct()
+        links = _verify(pairs, tokens, percent, uri)
         known = labels.select(F.col("fp").alias("a"), F.col("c").alias("ca")), labels.select(F.col("fp").alias("b"), F.col("c").alias("cb"))
         step = components.components(links.join(known[0], "a").join(known[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         step = step.select(F.col("u").alias("c"), F.col("p").alias("to"))
