@@ -2,8 +2,9 @@
 
 Texts are taken as their words, lower-cased and joined by single spaces. Every
 rule is a regular expression over these with a label, a priority, a confidence
-and a keyword that all its matches contain. A text that holds none of the GATE
-is done at once; for the others only rules whose keyword occurs are matched.
+and keywords, one of which any match contains. A text that holds none of the
+GATE is done at once; for the others only rules with a keyword that occurs are
+matched.
 Where detections overlap, one that lies within another of the same or a higher
 priority is dropped. All of it happens within the row: nothing is shuffled.
 """
@@ -20,15 +21,13 @@ from pyspark.sql import functions as F
 #: What separates words, once A-Z are lower-cased; before that, A-Z are not among it.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Each rule's keyword holds one of these words; those of two words may stand apart by anything that separates words.
-GATE_WORDS = ["license", "licence", "licensed", "spdx", "gnu", "copyleft", "redistribution", "unlicense", "wtfpl", "cc0"]
-GATE_PAIRS = ["cc by", "public domain", "permission is", "creative commons", "as is", "rights reserved", "mozilla org"]
-GATE = "(?i)" + "|".join([*GATE_WORDS, *(p.replace(" ", _SEP) for p in GATE_PAIRS)])
+#: A text without any of these, once lower-cased, has no words of a base phrase or rule.
+GATE = ["licen", "spdx", "gnu", "copyleft", "redistribution", "wtfpl", "cc0", "domain", "permission", "commons", "warranty", "reserved", "mozilla"]
+GATE_PAIR = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 
 
 @dataclass(frozen=True)
@@ -37,7 +36,7 @@ class Rule:
     label: str
     priority: int
     confidence: float
-    keyword: str
+    keywords: tuple[str, ...]
     regex: str
 
 
@@ -88,6 +87,17 @@ FAMILIES = [
     ("w3c", "w3c(?: software)?", [""], "w3c"),
 ]
 
+#: What a family's name contains, where that is not its label.
+KEYWORDS = {
+    "gpl": ("general public", "gpl"), "lgpl": ("lesser general", "library general", "lgpl"), "agpl": ("affero", "agpl"), "gfdl": ("free documentation", "fdl"),
+    "mit": (" mit ", "expat", "x11"), "mit-0": ("mit 0", "mit no attribution"), "isc": (" isc ",), "bsd-2-clause": ("bsd",), "bsd-3-clause": ("bsd",), "bsd-4-clause": ("bsd",),
+    "bsd-0-clause": ("bsd",), "mpl": ("mozilla public", " mpl "), "epl": ("eclipse", " epl "), "cddl": ("common development", "cddl"), "cpl": ("common public", " cpl "),
+    "eupl": ("european union public", "eupl"), "osl": ("open software", " osl "), "afl": ("academic free", " afl "), "bsl": ("boost", " bsl "), "busl": ("business source", "busl"),
+    "sspl": ("server side", "sspl"), "ofl": ("open font", " ofl "), "psf": ("python", " psf "), "php": (" php ",), "ms-pl": ("microsoft public", " ms pl "),
+    "ms-rl": ("microsoft reciprocal", " ms rl "), "wtfpl": ("do what the fuck", "wtfpl"), "cc0": ("creative commons zero", "cc zero", "cc0"), "ecl": ("educational community", " ecl "),
+    "odbl": ("open database", "odbl"), "vim": (" vim ",), "ncsa": ("ncsa",),
+}
+
 COMMONS = {
     "cc-by": ("by", "attribution"),
     "cc-by-sa": ("by sa", "attribution share ?alike"),
@@ -136,49 +146,54 @@ PLACED = "(?:licensed|released|distributed|published|provided|available|covered|
 
 def rules() -> list[Rule]:
     """All rules, in their order."""
-    found: list[tuple[str, int, float, str, str]] = []
+    found: list[tuple[str, int, float, tuple[str, ...], str]] = []
     for label, name, versions, spdx in FAMILIES:
+        words = tuple(KEYWORDS.get(label, (label,)))
         for v in versions:
             tagged = f"{label}-{v.replace(' ', '.')}" if v else label
             major = v.removesuffix(" 0") if v else ""
             number = f"(?: public)?(?: licen[cs]e)?(?: version| v)? (?:v ?)?{major}(?: 0)?" if v.endswith(" 0") else f"(?: public)?(?: licen[cs]e)?(?: version| v)? (?:v ?)?{v}"
             tag = spdx.replace("{v}", v).strip() if v or "{v}" not in spdx else None
             if tag:
-                found.append((tagged, 5, 1.0, "spdx license identifier", f"spdx license identifier {tag}"))
+                found.append((tagged, 5, 1.0, ("spdx license identifier",), f"spdx license identifier {tag}"))
             if v:
-                found.append((tagged, 4, 0.95, "license", f"{PLACED}{name} licen[cs]e(?: version| v)? (?:v ?)?{major if v.endswith(' 0') else v}(?: 0)?"))
-                found.append((tagged, 3, 0.9, "licen", f"{name} licen[cs]e{number.split(')?', 2)[-1]}"))
-                found.append((tagged, 3, 0.85, "licensed under", f"licensed under (?:the )?{name}{number}"))
+                found.append((tagged, 4, 0.95, words, f"{PLACED}{name} licen[cs]e(?: version| v)? (?:v ?)?{major if v.endswith(' 0') else v}(?: 0)?"))
+                found.append((tagged, 3, 0.9, words, f"{name} licen[cs]e{number.split(')?', 2)[-1]}"))
+                found.append((tagged, 3, 0.85, words, f"licensed under (?:the )?{name}{number}"))
             else:
-                found.append((tagged, 3, 0.85, "licen", f"{PLACED}{name} licen[cs]e"))
-                found.append((tagged, 2, 0.7, "licen", f"(?:the )?{name} licen[cs]e"))
+                found.append((tagged, 3, 0.85, words, f"{PLACED}{name} licen[cs]e"))
+                found.append((tagged, 2, 0.7, words, f"(?:the )?{name} licen[cs]e"))
     for (label, (short, long)), v in product(COMMONS.items(), ["", "1 0", "2 0", "2 5", "3 0", "4 0"]):
         tagged = f"{label}-{v.replace(' ', '.')}" if v else label
         if v:
-            found.append((tagged, 5, 1.0, "spdx license identifier", f"spdx license identifier cc {short} {v}"))
-        found.append((tagged, 4 if v else 3, 0.95 if v else 0.85, "licensed under", f"licensed under (?:the |a )?cc {short}{' ' + v if v else ''}"))
-        found.append((tagged, 3 if v else 2, 0.9 if v else 0.7, "cc by", f"cc {short}{' ' + v if v else ''}"))
-        found.append((tagged, 3 if v else 2, 0.9 if v else 0.7, "creative commons", f"creative commons {long}(?: international| unported)?(?: public)?(?: licen[cs]e)?{' ' + v if v else ''}"))
-    found += [(label, 4, 0.9, url, url) for label, url in LINKS.items()]
-    found += SENTENCES
+            found.append((tagged, 5, 1.0, ("spdx license identifier",), f"spdx license identifier cc {short} {v}"))
+        found.append((tagged, 4 if v else 3, 0.95 if v else 0.85, ("cc by",), f"licensed under (?:the |a )?cc {short}{' ' + v if v else ''}"))
+        found.append((tagged, 3 if v else 2, 0.9 if v else 0.7, ("cc by",), f"cc {short}{' ' + v if v else ''}"))
+        found.append((tagged, 3 if v else 2, 0.9 if v else 0.7, ("creative commons",), f"creative commons {long}(?: international| unported)?(?: public)?(?: licen[cs]e)?{' ' + v if v else ''}"))
+    found += [(label, 4, 0.9, (url,), url) for label, url in LINKS.items()]
+    found += [(label, p, c, (k,), body) for label, p, c, k, body in SENTENCES]
     return [Rule(i, label, p, c, k, f"(?<= ){body}(?= )") for i, (label, p, c, k, body) in enumerate(found)]
 
 
-_RULE = "array<struct<id:int,label:string,priority:int,confidence:double,keyword:string,regex:string>>"
+_RULE = "struct<id:int,label:string,priority:int,confidence:double,regex:string>"
+_FOUND = "array<struct<start:int,end:int,priority:int,rule:int>>"
 
 
 def _matches(t: Column, r: Column) -> Column:
     """start, end (negative, so that the longer sorts first), priority (negative) and rule of each match of r in t."""
-    hits, gaps = F.regexp_extract_all(t, r["regex"], F.lit(0)), F.split(t, r["regex"], F.lit(-1))
-    step = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size(hits)), F.length).alias("gap"), F.transform(hits, F.length).alias("size"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,priority:int,rule:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
 
     def add(a: Column, x: Column) -> Column:
         lo = a["at"] + x["gap"]
         hi = lo + x["size"]
         return F.struct(hi.alias("at"), F.concat(a["out"], F.array(F.struct(lo.alias("start"), (-hi).alias("end"), (-r["priority"]).alias("priority"), r["id"].alias("rule")))).alias("out"))
 
-    return F.aggregate(step, start, add, lambda a: a["out"])
+    def places(hits: Column) -> Column:
+        gaps = F.split(t, r["regex"], F.lit(-1))
+        step = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size(hits)), F.length).alias("gap"), F.transform(hits, F.length).alias("size"))
+        return F.when(F.size(hits) > 0, F.aggregate(step, start, add, lambda a: a["out"])).otherwise(F.array().cast(_FOUND))
+
+    return F.transform(F.array(F.regexp_extract_all(t, r["regex"], F.lit(0))), places)[0]
 
 
 def _survivors(found: Column) -> Column:
@@ -215,19 +230,28 @@ def licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     a score of 0. Null ids, repeated rows and empty tables pass through; other
     columns are left out.
     """
-    table = F.from_json(F.lit(json.dumps([asdict(r) for r in rules()])), _RULE)
+    by_words: dict[tuple[str, ...], list[dict]] = {}
+    for r in rules():
+        by_words.setdefault(r.keywords, []).append({k: v for k, v in asdict(r).items() if k != "keywords"})
+    groups = F.from_json(F.lit(json.dumps([{"k": list(k), "rules": v} for k, v in by_words.items()])), f"array<struct<k:array<string>,rules:array<{_RULE}>>>")
+    table = F.from_json(F.lit(json.dumps([r for r in sorted((r for v in by_words.values() for r in v), key=lambda r: r["id"])])), f"array<{_RULE}>")
     whole = F.coalesce(F.col(text), F.lit(""))
     lower = F.translate(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    plain = F.concat(F.lit(" "), F.regexp_replace(lower, BREAK, " "), F.lit(" "))
-    plain = F.regexp_replace(plain, "  +", " ")
+    plain = F.regexp_replace(F.concat(F.lit(" "), lower, F.lit(" ")), BREAK, " ")
 
     def scan(t: Column) -> Column:
-        asked = F.filter(table, lambda r: F.contains(t, r["keyword"]))
+        asked = F.flatten(F.transform(F.filter(groups, lambda g: F.exists(g["k"], lambda k: F.contains(t, k))), lambda g: g["rules"]))
         keep = _survivors(F.flatten(F.transform(asked, lambda r: _matches(t, r))))
         return F.struct(F.array(*(_base(t, p) for p in BASE)).alias("base"), F.transform(keep, lambda i: table[i]).alias("rules"))
 
-    nothing = "array(named_struct('base', cast(array() as array<struct<n:bigint,first:bigint,last:bigint,label:string>>), 'rules', cast(array() as " + _RULE + ")))"
-    found = F.when(whole.rlike(GATE), F.transform(F.array(plain), scan)).otherwise(F.expr(nothing))
+    def gate(t: Column) -> Column:
+        any_ = F.contains(t, F.lit(GATE[0]))
+        for k in GATE[1:]:
+            any_ = any_ | F.contains(t, F.lit(k))
+        return any_ | (F.contains(t, F.lit("cc")) & t.rlike(GATE_PAIR))
+
+    nothing = "array(named_struct('base', cast(array() as array<struct<n:bigint,first:bigint,last:bigint,label:string>>), 'rules', cast(array() as array<" + _RULE + ">)))"
+    found = F.when(F.transform(F.array(F.lower(whole)), gate)[0], F.transform(F.array(plain), scan)).otherwise(F.expr(nothing))
     rows = docs.select("doc_id", F.regexp_count(whole, F.lit(WORD)).cast("long").alias("n_words"), F.inline(found))
     some = F.filter("base", lambda b: b["n"] > 0)
     base_labels = F.array_sort(F.transform(some, lambda b: b["label"]))
