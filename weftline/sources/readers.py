@@ -21,8 +21,7 @@ def json_array(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
     rows = text.select(F.posexplode(items).alias("ord", "item")).select("ord", F.to_json("item").alias("raw"))
     if schema is None:
-        inferred = spark.read.json(rows.select(F.col("raw").alias("value")))
-        schema = inferred.schema.simpleString()
+        schema = spark.read.option("multiLine", True).json(path).schema.simpleString()
     schema = schema if schema.startswith("struct<") else f"struct<{', '.join(_pairs(schema))}>"
     return rows.select("ord", "raw", F.from_json("raw", schema).alias("j")).select("ord", "raw", "j.*")
 
@@ -93,8 +92,7 @@ def gold_rows(rows: DataFrame) -> DataFrame:
 
 def results(spark: SparkSession, folder: str) -> DataFrame:
     """Entries of a results folder, one file each in folders of models, with seq in the order of their paths; those without a model are left out."""
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", False)
-    text = read.text(f"{folder}/*/").select(F.col("_metadata.file_path").alias("seq"), "value").where(F.try_parse_json("value").isNotNull())
+    text = spark.read.option("wholetext", True).text(f"{folder}/*/*.json").select(F.col("_metadata.file_path").alias("seq"), "value").where(F.try_parse_json("value").isNotNull())
     there = F.array_contains(F.json_object_keys("value"), "model")
     schema = f"struct<{', '.join(_pairs(ENTRY))}>"
     return text.where(there).select("seq", F.from_json("value", schema).alias("e")).select("seq", "e.*")
