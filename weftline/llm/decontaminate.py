@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store, words
+from . import lean, store, words
 from .repeats import RANGE_BYTES, U64, bit_map, in_map
 
 WINDOW = 8
@@ -173,7 +173,7 @@ def _items(benchmark: DataFrame, window: int, least: int, text: str) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, b.schema.field(0).type), pa.array([whole] * n, pa.int64()), pa.array([k] * n, pa.int32()), pa.array(at, pa.int64()), pa.array(h.view(np.int64)), pa.array(_slots(one, at, k), pa.binary()), pa.array([n] * n, pa.int64())], names=["item_id", "class", "k", "pos", "h", "slots", "total"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return benchmark.select("item_id", text).mapInArrow(run, f"item_id {kind}, class long, k int, pos long, h long, slots binary, total long")
+    return benchmark.select("item_id", text).mapInArrow(lean.batches(run), f"item_id {kind}, class long, k int, pos long, h long, slots binary, total long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = LEAST, text: str = "text") -> DataFrame:
@@ -187,6 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     empty results.
     """
     spark = docs.sparkSession
+    lean.small_batches(spark)
     found = _items(benchmark, window, least, text)
     reps = found.groupBy("class").agg(F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"))
     # Items without an id, and repeated rows of one, count once.
@@ -201,7 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
         return pa.table({"r": pa.array([r], pa.int32())})
 
     spread = F.pmod(F.col("h"), F.lit(n)).cast("int").alias("r")
-    present = {x.r for x in items.select(spread, "h").groupBy("r").applyInArrow(write, "r int").collect()}  # at most n small numbers
+    present = {x.r for x in items.select(spread, "h").groupBy("r").applyInArrow(lean.group(write), "r int").collect()}  # at most n small numbers
     lengths = [x.k for x in items.select("k").distinct().collect()]  # at most window small numbers
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +231,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("_k"), text)
-    hits = rows.mapInArrow(probe, f"doc_id {kind}, _k long, at long, h long, values binary")
+    hits = rows.mapInArrow(lean.batches(probe), f"doc_id {kind}, _k long, at long, h long, values binary")
     met = hits.join(items, "h").withColumn("shift", F.col("at") - F.col("pos"))
     met = met.select("doc_id", "_k", "item_id", "class", "pos", "shift", "total", "n_items", "slots", "values")
 
@@ -246,7 +247,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
             yield keep.append_column("pairs", pa.array(pairs, pa.list_(pa.struct([("s", pa.int64()), ("v", pa.int64())]))))
 
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    met = met.mapInArrow(compare, f"doc_id {kind}, _k long, item_id {item_kind}, class long, pos long, shift long, total long, n_items long, pairs array<struct<s:long,v:long>>")
+    met = met.mapInArrow(lean.batches(compare), f"doc_id {kind}, _k long, item_id {item_kind}, class long, pos long, shift long, total long, n_items long, pairs array<struct<s:long,v:long>>")
     met = store.written(spark, met, "met")
     line = ["_k", "class", "shift"]
     values = met.select(*line, F.explode("pairs").alias("p")).groupBy(*line, "p.s").agg(F.min("p.v").alias("lo"), F.max("p.v").alias("hi"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import components, store, words
+from . import components, lean, store, words
 from .repeats import PACK, U64, bit_map, by_range, in_map, ranges
 
 K = 5
@@ -132,9 +132,9 @@ def _order(docs: DataFrame, k: int, uri: str, text: str) -> None:
         store.put(uri, {"h": h[order], "level": np.minimum(1 + np.log2(np.maximum(n[order], 1)).astype(np.int64), 63).astype(np.uint8)})
         yield pa.RecordBatch.from_arrays([pa.array([len(h)], pa.int64())], names=["n"])
 
-    counted = docs.select(text).mapInArrow(often, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(lean.batches(often), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     last = counted.orderBy(F.desc("n"), "h").limit(HEAVY)
-    last.coalesce(1).mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+    last.coalesce(1).mapInArrow(lean.batches(write), "n long").write.format("noop").mode("overwrite").save()
 
 
 def _sets(docs: DataFrame, k: int, text: str) -> DataFrame:
@@ -148,7 +148,7 @@ def _sets(docs: DataFrame, k: int, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), pa.array(fp.view(np.int64))], names=["doc_id", "_k", "s", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("_k"), text).mapInArrow(run, f"doc_id {kind}, _k long, s long, fp long")
+    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("_k"), text).mapInArrow(lean.batches(run), f"doc_id {kind}, _k long, s long, fp long")
 
 
 def _buckets(docs: DataFrame, k: int, percent: int, uri: str, text: str) -> DataFrame:
@@ -231,8 +231,8 @@ def _buckets(docs: DataFrame, k: int, percent: int, uri: str, text: str) -> Data
         b, fp, s = b[new], fp[new], s[new]
         return pa.table({"b": pa.array(b.view(np.int64)), "fp": pa.array(fp.view(np.int64)), "s": pa.array((s >> U64(32)).astype(np.int32)), "i": pa.array((s & U64(0xFFFFFFFF)).astype(np.int32))})
 
-    dealt = docs.select(text).mapInArrow(prefixes, "r int, asked boolean, h binary, fp binary, s binary")
-    return dealt.groupBy("r").applyInArrow(meet, "b long, fp long, s int, i int").groupBy("b", "fp", "s").agg(F.min("i").alias("i"))
+    dealt = docs.select(text).mapInArrow(lean.batches(prefixes), "r int, asked boolean, h binary, fp binary, s binary")
+    return dealt.groupBy("r").applyInArrow(lean.group(meet), "b long, fp long, s int, i int").groupBy("b", "fp", "s").agg(F.min("i").alias("i"))
 
 
 def _tokens(docs: DataFrame, wanted: DataFrame, k: int, uri: str, text: str) -> DataFrame:
@@ -249,7 +249,7 @@ def _tokens(docs: DataFrame, wanted: DataFrame, k: int, uri: str, text: str) ->
         return pa.table({"r": pa.array([r], pa.int32())})
 
     spread = F.pmod(F.xxhash64("_k"), F.lit(n)).cast("int").alias("r")
-    present = {x.r for x in wanted.select(spread, "_k").groupBy("r").applyInArrow(write, "r int").collect()}  # at most n small numbers
+    present = {x.r for x in wanted.select(spread, "_k").groupBy("r").applyInArrow(lean.group(write), "r int").collect()}  # at most n small numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[int, np.ndarray] = {}
@@ -283,7 +283,7 @@ def _tokens(docs: DataFrame, wanted: DataFrame, k: int, uri: str, text: str) ->
         if kept:
             yield send()
 
-    return docs.select(F.xxhash64("doc_id", text).alias("_k"), text).select(spread, "_k", text).mapInArrow(run, "fp long, pack string, lo long, hi long")
+    return docs.select(F.xxhash64("doc_id", text).alias("_k"), text).select(spread, "_k", text).mapInArrow(lean.batches(run), "fp long, pack string, lo long, hi long")
 
 
 def _other_orders(h: np.ndarray, take: int) -> list[np.ndarray]:
@@ -324,7 +324,7 @@ def _verify(pairs: DataFrame, tokens: DataFrame, percent: int, uri: str) -> Data
     place = F.struct("pack", "lo", "hi")
     one = tokens.select(F.col("fp").alias("a"), place.alias("ta"))
     two = tokens.select(F.col("fp").alias("b"), place.alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(lean.batches(run), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, k: int = K, percent: int = THRESHOLD, text: str = "text") -> DataFrame:
@@ -338,6 +338,7 @@ def jaccard_join(docs: DataFrame, k: int = K, percent: int = THRESHOLD, text: st
     columns are left out.
     """
     spark = docs.sparkSession
+    lean.small_batches(spark)
     rows = store.written(spark, _sets(docs, k, text), "sets")
     uri = store.folder(spark, "order")
     _order(docs, k, uri, text)

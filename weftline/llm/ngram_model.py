@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store, words
+from . import lean, store, words
 from .repeats import PACK, U64, by_range, ranges
 
 BEGIN, END = U64(0x0B0E0A1D3C5F7712), U64(0x0E4D1A2B9C7F3346)
@@ -136,6 +136,7 @@ def _discounts(times: np.ndarray) -> np.ndarray:
 def train(texts: DataFrame) -> Model:
     """The model of all rows of texts (one string column)."""
     spark = texts.sparkSession
+    lean.small_batches(spark)
     n = ranges(texts)
     uri = store.folder(spark, "ngram")
 
@@ -164,7 +165,7 @@ def train(texts: DataFrame) -> Model:
         store.put(uri, {f"h-{r}": h, f"c-{r}": c})
         return pa.table({"r": pa.array([r], pa.int32()), "ids": pa.array([len(h)]), "types": pa.array([int((c > 0).sum())]), "tokens": pa.array([int(c.sum())])})
 
-    sizes = texts.mapInArrow(word_counts, "r int, k binary, c binary").groupBy("r").applyInArrow(vocabulary, "r int, ids long, types long, tokens long")
+    sizes = texts.mapInArrow(lean.batches(word_counts), "r int, k binary, c binary").groupBy("r").applyInArrow(lean.group(vocabulary), "r int, ids long, types long, tokens long")
     sizes = sizes.collect()  # a row for each range
     offsets = np.zeros(n + 1, np.int64)
     for x in sizes:
@@ -214,7 +215,7 @@ def train(texts: DataFrame) -> Model:
         cols = [list(x) for x in zip(*out)]
         return pa.table({"r": pa.array([*cols[0], -1], pa.int32()), "k": pa.array([*cols[1], np.array([*_times(counts), len(counts), r], np.int64).tobytes()], pa.binary()), "c": pa.array([*cols[2], b""], pa.binary())})
 
-    paired = texts.mapInArrow(pair_counts, "r int, k binary, c binary").groupBy("r").applyInArrow(contexts, "r int, k binary, c binary")
+    paired = texts.mapInArrow(lean.batches(pair_counts), "r int, k binary, c binary").groupBy("r").applyInArrow(lean.group(contexts), "r int, k binary, c binary")
     paired = store.written(spark, paired, "ngram-follow")
     told = np.array([np.frombuffer(x.k, np.int64) for x in paired.where("r < 0").collect()], np.int64).reshape(-1, 6)  # a row for each range
     pairs, lead = told.sum(axis=0), frozenset(told[:, 5].tolist())
@@ -226,7 +227,7 @@ def train(texts: DataFrame) -> Model:
         store.put(uri, {f"k-{r}": low})
         return pa.table({"t": pa.array([[*_times(low), int((low > 2).sum()), r]], pa.list_(pa.int64()))})
 
-    told = np.array([x.t for x in paired.where("r >= 0").groupBy("r").applyInArrow(followed, "t array<long>").collect()], np.int64).reshape(-1, 6)
+    told = np.array([x.t for x in paired.where("r >= 0").groupBy("r").applyInArrow(lean.group(followed), "t array<long>").collect()], np.int64).reshape(-1, 6)
     low, follow = told.sum(axis=0), frozenset(told[:, 5].tolist())
     return Model(uri, n, offsets, tokens, types, int(pairs[4]), _discounts(pairs[:4]), _discounts(low[:4]), np.array([low[0], low[1], low[4]], np.float64), follow, lead)
 
@@ -285,6 +286,7 @@ class Scorer:
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
+    lean.small_batches(spark)
     sent = spark.sparkContext.broadcast(model)  # a few numbers for each range
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +299,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(sums[0]), pa.array(np.full(len(rows), sent.value.tokens)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out().alias("held_out"), text).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select("doc_id", held_out().alias("held_out"), text).mapInArrow(lean.batches(run), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -22,6 +22,10 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import lean
+from .columns import aside
 
 ROUNDS = 8
 KEY_SETTING = "weftline.pseudonym.key"
@@ -253,6 +257,7 @@ def pseudonymise(docs: DataFrame, key: bytes | None = None, text: str = "text",
     empty tables and other columns pass through; columns named n_private or
     kinds are replaced.
     """
+    lean.small_batches(docs.sparkSession)
     key = key_of(docs.sparkSession, key)
     docs = docs.drop("n_private", "kinds")
     names = docs.columns
@@ -272,13 +277,14 @@ def pseudonymise(docs: DataFrame, key: bytes | None = None, text: str = "text",
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(kinds, pa.string())], names=[*names, "n_private", "kinds"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, n_private long, kinds string")
+    return docs.mapInArrow(lean.batches(run), f"{schema}, n_private long, kinds string")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with pseudonyms; n_chars counts the new text."""
-    out = pseudonymise(docs)
-    return out.selectExpr(*("cast(length(text) as bigint) as n_chars" if c == "n_chars" and "text" in docs.columns else f"`{c}`" for c in docs.columns))
+    own, restore = aside(docs, {"doc_id", "text", "n_chars"})
+    out = pseudonymise(own)
+    return restore(out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store, words
+from . import lean, store, words
+from .columns import aside
 
 NAMES = ["word_len", "symbols", "dup_lines", "repeats"]
 P = len(NAMES)
@@ -109,14 +110,18 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def with_stats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns keep of docs, and the counts of its texts (null: those of an empty text)."""
 
+    lean.small_batches(docs.sparkSession)
+    more = [] if text in keep else [text]
+    at = [*keep, *more].index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows, c in stats(b.column(len(keep))):
+            for rows, c in stats(b.column(at)):
                 part = b.slice(rows.start, len(rows))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(c[k].astype(np.int64)) for k in COUNTS)], names=[*keep, *COUNTS])
 
     kinds = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
-    return docs.select(*keep, text).mapInArrow(run, ", ".join([*kinds, *(f"{k} long" for k in COUNTS)]))
+    return docs.select(*keep, *more).mapInArrow(lean.batches(run), ", ".join([*kinds, *(f"{k} long" for k in COUNTS)]))
 
 
 def base_failed() -> Column:
@@ -193,7 +198,7 @@ def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
         F.array(*(F.sum(f"s{i}") for i in range(P))).alias("s"),
         F.array(*(F.sum(f"q{min(i, j)}_{max(i, j)}") for i in range(P) for j in range(P))).alias("q"),
     )
-    return half.mapInPandas(_scatter, _MODEL)
+    return half.mapInPandas(lean.batches(_scatter), _MODEL)
 
 
 def fit(stats_rows: DataFrame, steps: int = STEPS, least: int = LEAST) -> DataFrame:
@@ -242,7 +247,8 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept."""
     rows = store.written(spark, with_stats(docs, ["doc_id", "lang", "source"]), "mcd-rows")
-    return judge(with_stats(docs.withColumn("_text", F.col("text")), docs.columns, "_text"), fit(rows)).where("kept").select(docs.columns)
+    own, restore = aside(docs, {"doc_id", "lang", "source", "text"})
+    return restore(judge(with_stats(own, own.columns), fit(rows)).where("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store, words
+from . import lean, store, words
 
 BLOCK = 18
 WINDOW = 2 * BLOCK - 1
@@ -133,7 +133,7 @@ def _index(docs: DataFrame, n: int, block: int, window: int, uri: str, text: str
         store.put(uri, {f"one-{k}": bit_map(h), f"two-{k}": bit_map(h[count > 1])})
         return pa.table({"r": pa.array([k], pa.int32()), "n": pa.array([len(h)], pa.int64())})
 
-    docs.select(text).mapInArrow(blocks, "r int, h binary").groupBy("r").applyInArrow(write, "r int, n long").write.parquet(f"{uri}/ranges")
+    docs.select(text).mapInArrow(lean.batches(blocks), "r int, h binary").groupBy("r").applyInArrow(lean.group(write), "r int, n long").write.parquet(f"{uri}/ranges")
 
 
 class _Probe:
@@ -173,6 +173,7 @@ def _candidates(w: words.Words, probe: _Probe, block: int, window: int) -> tuple
 def repeats(docs: DataFrame, block: int = BLOCK, text: str = "text") -> DataFrame:
     """_k, starts and ends (binary int32): the runs of words, in the rows of key _k, that lie in a repeated window."""
     spark = docs.sparkSession
+    lean.small_batches(spark)
     window = 2 * block - 1
     n = ranges(docs)
     uri = store.folder(spark, "blocks")
@@ -251,9 +252,9 @@ def repeats(docs: DataFrame, block: int = BLOCK, text: str = "text") -> DataFram
         both = [[a[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])] for a in (starts, ends)]
         return pa.table({"_k": pa.array(k[first].view(np.int64)), "starts": pa.array(both[0], pa.binary()), "ends": pa.array(both[1], pa.binary())})
 
-    found = docs.select(text, F.xxhash64("doc_id", text).alias("_k")).mapInArrow(probe, schema)
-    places = found.groupBy("r").applyInArrow(count, "b int, keys binary, pos binary")
-    return places.groupBy("b").applyInArrow(merge, "_k long, starts binary, ends binary")
+    found = docs.select(text, F.xxhash64("doc_id", text).alias("_k")).mapInArrow(lean.batches(probe), schema)
+    places = found.groupBy("r").applyInArrow(lean.group(count), "b int, keys binary, pos binary")
+    return places.groupBy("b").applyInArrow(lean.group(merge), "_k long, starts binary, ends binary")
 
 
 def without_repeats(docs: DataFrame, block: int = BLOCK, text: str = "text") -> DataFrame:
@@ -286,7 +287,7 @@ def without_repeats(docs: DataFrame, block: int = BLOCK, text: str = "text") ->
     rows = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64("doc_id", text).alias("_k"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = rows.join(repeats(docs, block, text), "_k", "left").select("doc_id", "text", "starts", "ends")
-    return joined.mapInArrow(cut, f"doc_id {kind}, text string, n_words long, n_removed long")
+    return joined.mapInArrow(lean.batches(cut), f"doc_id {kind}, text string, n_words long, n_removed long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces as P
+from . import lean, pieces as P
 
 UNKNOWN = 10.0
 
@@ -123,6 +123,7 @@ class Encoder:
 
 
 def _sent(df: DataFrame, model: str | None):
+    lean.small_batches(df.sparkSession)
     with open(model or P.default_model(), "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -148,7 +149,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(rows.start, len(rows)), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(first)), P.pc.equal(back, plain)], names=["doc_id", "ids", "n_pieces", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_pieces long, round_trip boolean")
+    return docs.select("doc_id", text).mapInArrow(lean.batches(run), f"doc_id {kind}, ids array<int>, n_pieces long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str | None = None, ids: str = "ids") -> DataFrame:
@@ -167,7 +168,7 @@ def decode(encoded: DataFrame, model: str | None = None, ids: str = "ids") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), out], names=["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", ids).mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", ids).mapInArrow(lean.batches(run), f"doc_id {kind}, text string")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

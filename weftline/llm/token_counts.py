@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces as P
+from . import lean, pieces as P
 
 LONG = 2048
 NONE = np.int64(1) << 62
@@ -190,6 +190,7 @@ def token_counts(docs: DataFrame, model: str | None = None, limit: int = 4096, t
     null ids and empty tables pass through.
     """
     spark = docs.sparkSession
+    lean.small_batches(spark)
     with open(model or P.default_model(), "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
 
@@ -203,7 +204,7 @@ def token_counts(docs: DataFrame, model: str | None = None, limit: int = 4096, t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offs)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", text).mapInArrow(lean.batches(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
