@@ -118,5 +118,12 @@ def test_components(spark):
 def test_stage(spark, docs, rows):
     kept = jaccard_join.stage(spark, docs, "")
     assert kept.columns == docs.columns
-    want = {c for i, n, c in brute(rows) if i == c and i is not None}
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+    want = {c for i, n, c in brute(rows) if i == c}
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, want))
+
+
+def test_stage_without_ids(spark):
+    text = "a b c d e f g"
+    df = spark.createDataFrame([(None, text, 1), (None, text, 1), (None, text + " h", 2), (5, "z y x w v", 3), (5, "z y x w v", 3), (5, "q r s t u", 4), (6, None, 5)], "doc_id long, text string, s int")
+    kept = sorted((str(r["text"]) for r in jaccard_join.stage(spark, df, "").collect()))
+    assert kept in ([*sorted(["None", x, "q r s t u", "z y x w v"])] for x in (text, text + " h"))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lean, store, words
+from .columns import aside
 from .repeats import RANGE_BYTES, U64, bit_map, in_map
 
 WINDOW = 8
@@ -38,7 +39,7 @@ UNITS = """
     mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres centimeter centimeters
     kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms ton tons pound pounds ounce ounces
     ml l cl liter liters litre litres gallon gallons cup cups s sec secs second seconds min mins minute minutes h hr hrs hour
-    hours day days week weeks month months year years mph kph kmh hz khz mhz ghz w kw mw v kv a ma j kj cal kcal pa kpa bar
+    hours day days week weeks month months year years mph kph kmh hz khz mhz ghz w kw mw v kv ma j kj cal kcal pa kpa bar
     k c f degree degrees percent dollar dollars cent cents euro euros usd eur gbp yen b kb mb gb tb bytes bits
 """.split()
 
@@ -186,6 +187,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     doc_id and text are one; a null doc_id is reported as null. Empty tables give
     empty results.
     """
+    return _contaminated(docs, benchmark, window, share, least, text).drop("_k")
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: float, least: int, text: str) -> DataFrame:
+    """The same with _k, the key of a row's doc_id and text."""
     spark = docs.sparkSession
     lean.small_batches(spark)
     found = _items(benchmark, window, least, text)
@@ -255,13 +261,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     counted = met.join(sound, line, "left").where("size(pairs) = 0 or sound")
     out = counted.groupBy("doc_id", "_k", "class", "item_id", "total", "n_items").agg(F.count_distinct("pos").alias("n_windows"), F.coalesce(F.bool_and("same"), F.lit(True)).alias("exact"))
     out = out.withColumn("share", F.col("n_windows") / F.col("total")).where(F.col("share") >= share)
-    return out.select("doc_id", "item_id", "n_windows", F.col("total").alias("n_item_windows"), "share", "exact", "n_items")
+    return out.select("_k", "doc_id", "item_id", "n_windows", F.col("total").alias("n_item_windows"), "share", "exact", "n_items")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no item."""
-    bad = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(store.written(spark, bad, "contaminated"), "doc_id", "left_anti").select(docs.columns)
+    bad = _contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW, SHARE, LEAST, "text").select("_k").distinct()
+    own, restore = aside(docs, {"doc_id", "text"})
+    return restore(own.withColumn("_k", F.xxhash64("doc_id", "text")).join(store.written(spark, bad, "contaminated"), "_k", "left_anti"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import components, lean, store, words
+from .columns import aside
 from .repeats import PACK, U64, bit_map, by_range, in_map, ranges
 
 K = 5
@@ -90,8 +91,8 @@ def first_of(row: np.ndarray, key: np.ndarray, size: np.ndarray, take: np.ndarra
 class Order:
     """The first order: 0 to 63 for how many documents have a token, as far as counted, then its hash."""
 
-    def __init__(self, uri: str):
-        self.h, self.level = store.get(uri, "h"), store.get(uri, "level")
+    def __init__(self, uri: str, any_: bool):
+        self.h, self.level = (store.get(uri, "h"), store.get(uri, "level")) if any_ else (np.empty(0, U64), np.empty(0, np.uint8))
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         level = np.zeros(len(h), U64)
@@ -102,8 +103,8 @@ class Order:
         return (level << U64(58)) | (words.mix(h + GOLD) >> U64(6))
 
 
-def _order(docs: DataFrame, k: int, uri: str, text: str) -> None:
-    """Write the tokens that come last."""
+def _order(docs: DataFrame, k: int, uri: str, text: str) -> bool:
+    """Write the tokens that come last; whether there are any."""
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -134,7 +135,7 @@ def _order(docs: DataFrame, k: int, uri: str, text: str) -> None:
 
     counted = docs.select(text).mapInArrow(lean.batches(often), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     last = counted.orderBy(F.desc("n"), "h").limit(HEAVY)
-    last.coalesce(1).mapInArrow(lean.batches(write), "n long").write.format("noop").mode("overwrite").save()
+    return any(x.n for x in last.coalesce(1).mapInArrow(lean.batches(write), "n long").collect())  # one row at most
 
 
 def _sets(docs: DataFrame, k: int, text: str) -> DataFrame:
@@ -151,7 +152,7 @@ def _sets(docs: DataFrame, k: int, text: str) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", text).alias("_k"), text).mapInArrow(lean.batches(run), f"doc_id {kind}, _k long, s long, fp long")
 
 
-def _buckets(docs: DataFrame, k: int, percent: int, uri: str, text: str) -> DataFrame:
+def _buckets(docs: DataFrame, k: int, percent: int, uri: str, ordered: bool, text: str) -> DataFrame:
     """b, fp, s and i: the classes that share a token of their prefixes, their size and its place in their prefix.
 
     All tokens of a range that the same classes share are one b, with the place
@@ -189,7 +190,7 @@ def _buckets(docs: DataFrame, k: int, percent: int, uri: str, text: str) -> Data
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["r", "asked", "h", "fp", "s"])
 
         for b in batches:
-            order = order or Order(uri)
+            order = order or Order(uri, ordered)
             for w, row, h in shingles(b.column(0), k):
                 size, fp = prints(row, h, len(w.rows))
                 at = first_of(row, order(h), size, prefix_length(size, percent))
@@ -327,22 +328,14 @@ def _verify(pairs: DataFrame, tokens: DataFrame, percent: int, uri: str) -> Data
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(lean.batches(run), "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, k: int = K, percent: int = THRESHOLD, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each row.
-
-    Words are runs of other bytes than ASCII white space, A-Z lower-cased; a text
-    of fewer than k words has one shingle, all of it; a null text or one without
-    words has none and is linked with nothing. Rows of equal sets are linked, so
-    repeated rows are. A null doc_id counts as no id: its component is the
-    smallest id among the others, or null. Empty tables give empty results; other
-    columns are left out.
-    """
+def _solve(docs: DataFrame, k: int, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, _k, s and class fp), and fp and component c of the classes that share a token of their prefixes."""
     spark = docs.sparkSession
     lean.small_batches(spark)
     rows = store.written(spark, _sets(docs, k, text), "sets")
     uri = store.folder(spark, "order")
-    _order(docs, k, uri, text)
-    buckets = store.written(spark, _buckets(docs, k, percent, uri, text), "buckets")
+    ordered = _order(docs, k, uri, text)
+    buckets = store.written(spark, _buckets(docs, k, percent, uri, ordered, text), "buckets")
     members = buckets.select("fp").distinct()
     reps = rows.join(members, "fp", "left_semi").groupBy("fp").agg(F.min("_k").alias("_k"))
     tokens = store.written(spark, _tokens(docs, reps, k, uri, text).join(members, "fp", "left_semi").dropDuplicates(["fp"]), "tokens")
@@ -377,18 +370,43 @@ def jaccard_join(docs: DataFrame, k: int = K, percent: int = THRESHOLD, text: st
         labels = store.written(spark, labels.join(step, "c", "left").select("fp", F.coalesce("to", "c").alias("c")), "labels")
         if last:
             break
-    label = F.when(F.col("s") > 0, F.coalesce("c", "fp"))
-    # The smallest id of each class first: a class may hold a third of all rows.
-    classes = rows.where("s > 0").groupBy("fp", "s").agg(F.min("doc_id").alias("least")).join(labels, "fp", "left").select("fp", label.alias("c"), "least")
-    smallest = classes.groupBy("c").agg(F.min("least").alias("component_id"))
-    by_class = classes.join(smallest, "c").select("fp", "component_id")
+    return rows, labels
+
+
+def _least(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """fp, c and the least row of each class; and c and the least row of each component.
+
+    The class comes first, since one may hold a third of all rows. Rows come by
+    their id, those without one last.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k")).alias("least")
+    classes = rows.where("s > 0").groupBy("fp").agg(first).join(labels, "fp", "left").select("fp", F.coalesce("c", "fp").alias("c"), "least")
+    return classes, classes.groupBy("c").agg(F.min("least").alias("least"))
+
+
+def jaccard_join(docs: DataFrame, k: int = K, percent: int = THRESHOLD, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of each row.
+
+    Words are runs of other bytes than ASCII white space, A-Z lower-cased; a text
+    of fewer than k words has one shingle, all of it; a null text or one without
+    words has none and is linked with nothing. Rows of equal sets are linked, so
+    repeated rows are. A null doc_id counts as no id: its component is the
+    smallest id among the others, or null. Empty tables give empty results; other
+    columns are left out.
+    """
+    rows, labels = _solve(docs, k, percent, text)
+    classes, least = _least(rows, labels)
+    by_class = classes.select("fp", "c").join(least, "c").select("fp", F.col("least.doc_id").alias("component_id"))
     return rows.join(by_class, "fp", "left").select("doc_id", F.col("s").alias("n_shingles"), F.when(F.col("s") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one of the smallest id."""
-    found = store.written(spark, jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each component, that of the smallest id; all without words. Rows that repeat an id and text are one document."""
+    rows, labels = _solve(docs, K, THRESHOLD, "text")
+    _, least = _least(rows, labels)
+    found = store.written(spark, least.select("least._k").unionByName(rows.where("s = 0").select("_k").distinct()), "kept")
+    own, restore = aside(docs, {"doc_id", "text"})
+    return restore(own.withColumn("_k", F.xxhash64("doc_id", "text")).join(found, "_k", "left_semi").dropDuplicates(["_k"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

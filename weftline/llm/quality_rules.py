@@ -219,7 +219,8 @@ def fit(stats_rows: DataFrame, steps: int = STEPS, least: int = LEAST) -> DataFr
     model = store.written(spark, _start(sample), "mcd-0")
     for i in range(steps):
         model = store.written(spark, _step(sample, model), f"mcd-{i + 1}")
-    return keys.join(model, keys.own == model.k).select("g", "centre", "inv")
+    # Written, so that the planner knows its size: a few numbers for each group.
+    return store.written(spark, keys.join(model, keys.own == model.k).select("g", "centre", "inv"), "mcd-model")
 
 
 def judge(stats_rows: DataFrame, model: DataFrame) -> DataFrame:
