@@ -315,3 +315,46 @@ def perplexity(docs: DataFrame, text: str = "text") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = perplexity(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+SQL = r"""
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) AS ws FROM documents
+), crc AS (
+  SELECT d AS doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(d::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b:
+    list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)) AS r
+  FROM (SELECT DISTINCT doc_id AS d FROM documents)
+), tok AS (
+  SELECT id, unnest(ws) AS w, unnest(list_prepend('', ws[:-2])) AS v FROM doc
+), held AS (
+  SELECT id, doc.doc_id, xor(r, 4294967295::BIGINT) % 10 = 0 AS held_out FROM doc JOIN crc USING (doc_id)
+), train AS (
+  SELECT w, v FROM tok JOIN held USING (id) WHERE NOT held_out
+), uni AS (
+  SELECT w, count(*) AS c FROM train GROUP BY w
+), bi AS (
+  SELECT v, w, count(*) AS c FROM train GROUP BY v, w
+), ctx AS (
+  SELECT v, sum(c) AS t, count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2, count(*) FILTER (c > 2) AS n3 FROM bi GROUP BY v
+), fol AS (
+  SELECT w, count(*) AS k FROM bi GROUP BY w
+), g AS (
+  SELECT (SELECT count(*) FROM uni) AS types, (SELECT sum(c) FROM uni) AS total, (SELECT count(*) FROM bi) AS pairs
+), nb AS (
+  SELECT count(*) FILTER (c = 1) AS a, count(*) FILTER (c = 2) AS b, count(*) FILTER (c = 3) AS d, count(*) FILTER (c = 4) AS e FROM bi
+), nf AS (
+  SELECT count(*) FILTER (k = 1) AS a, count(*) FILTER (k = 2) AS b, count(*) FILTER (k = 3) AS d, count(*) FILTER (k = 4) AS e, count(*) FILTER (k > 2) AS m FROM fol
+), cut AS (
+  SELECT 1 - 2 * a / (a + 2 * b) * b / a AS d1, 2 - 3 * a / (a + 2 * b) * d / b AS d2, 3 - 4 * a / (a + 2 * b) * e / d AS d3 FROM nb
+), low AS (
+  SELECT *, e1 * a + e2 * b + e3 * m AS spare FROM (SELECT a, b, m, 1 - 2 * a / (a + 2 * b) * b / a AS e1, 2 - 3 * a / (a + 2 * b) * d / b AS e2, 3 - 4 * a / (a + 2 * b) * e / d AS e3 FROM nf)
+), p AS (
+  SELECT tok.id, coalesce(uni.c, 0) AS n, coalesce(bi.c, 0) AS c, ctx.t, ctx.n1, ctx.n2, ctx.n3,
+    greatest(coalesce(k, 0) - CASE coalesce(k, 0) WHEN 0 THEN 0 WHEN 1 THEN e1 WHEN 2 THEN e2 ELSE e3 END, 0) / pairs + spare / pairs / (types + 1) AS q
+  FROM tok CROSS JOIN g CROSS JOIN low LEFT JOIN uni ON uni.w = tok.w LEFT JOIN fol ON fol.w = tok.w LEFT JOIN ctx ON ctx.v = tok.v LEFT JOIN bi ON bi.v = tok.v AND bi.w = tok.w
+)
+SELECT held.doc_id, held.held_out, count(*) AS n_tokens, count(*) FILTER (n > 0) AS n_known, any_value(total)::BIGINT AS train_tokens,
+  round(sum(log10((n + 0.1) / (total + 0.1 * (types + 1)))), 6) AS base_score,
+  round(sum(log10(CASE WHEN t IS NULL THEN q ELSE greatest(c - CASE c WHEN 0 THEN 0 WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0) / t + (d1 * n1 + d2 * n2 + d3 * n3) / t * q END)), 6) AS score
+FROM p JOIN held USING (id) CROSS JOIN g CROSS JOIN cut GROUP BY id, held.doc_id, held.held_out
+"""

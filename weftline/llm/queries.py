@@ -23,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quotes": quotes.SQL,
+        "op6_ngram_model": ngram_model.SQL,
         "op8_repeats": repeats.SQL,
         "op9_jaccard_join": jaccard_join.SQL,
     }
