@@ -48,7 +48,7 @@ def test_summary(spark):
 
 
 def test_readers(spark, tmp_path):
-    (tmp_path / "list.json").write_text('[{"website_url": "u1", "x": 1}, {"website_url": "u2"}]')
+    (tmp_path / "list.json").write_text('[{"website_url": "u1",\n "x": 1},\n {"website_url": "u2"}]')
     got = readers.json_array(spark, str(tmp_path / "list.json")).orderBy("ord").collect()
     assert [r["website_url"] for r in got] == ["u1", "u2"] and json.loads(got[0]["raw"]) == {"website_url": "u1", "x": 1}
     (tmp_path / "bad.json").write_text("[{")
@@ -67,7 +67,7 @@ def test_models():
 
 
 def test_gold(spark, tmp_path):
-    (tmp_path / "a.json").write_text('[{"url": "http://a.org", "ground_truth": {"venue": {"city": "X"}}, "aliases": {"venue.city": "Y", "p": ["q"], "n": null}}, 3, {"no": 1}]')
+    (tmp_path / "a.json").write_text('[\n{"url": "http://a.org",\n "ground_truth": {"venue": {"city": "X"}}, "aliases": {"venue.city": "Y", "p": ["q"], "n": null}}, 3, {"no": 1}]')
     (tmp_path / "b.json").write_text('{"url": "https://www.a.org/", "venue": {"city": "Z"}}')
     (tmp_path / "c.json").write_text("{")
     (tmp_path / "d.txt").write_text('{"url": "http://d.org"}')
@@ -138,10 +138,38 @@ def test_benchmark_and_writers(spark, run, tmp_path):
     assert out.count() == 2 and "m/1: avg_fill" in (tmp_path / "summary.txt").read_text()
     assert json.loads((tmp_path / "benchmark.json").read_text())["models"] == [{"name": "m/1", "vllm_extra_args": ["--x"]}]
     assert (tmp_path / "results" / "model_dir=m_1" / "url_name=a_org").is_dir()
+    back = {r["url"]: r for r in readers.results(spark, str(tmp_path / "results")).collect()}
+    assert set(back) == {"http://a.org", "http://none.org"} and back["http://a.org"]["confidence"]["venue.country"] == "low" and back["http://a.org"]["model"] == "m/1"
     writers.report({"a": "é"}, str(tmp_path / "r.json"))
     assert "é" in (tmp_path / "r.json").read_text()
 
 
+def test_run_list(spark, run, tmp_path):
+    (tmp_path / "in.json").write_text('[{"website_url": "http://none.org", "x": 1}, {"website_url": "http://a.org"}, {"website_url": "http://b.org"}]')
+    inputs = readers.json_array(spark, str(tmp_path / "in.json"))
+    done = spark.createDataFrame([("http://b.org", "m"), ("http://a.org", "other")], "website_url string, model string")
+    out = benchmark.run_list(inputs, spark.createDataFrame(run[0]), reply, str(tmp_path / "w"), "m", done=done)
+    writers.batch_rows(out, str(tmp_path / "out.json"), [{"wikicfp": {"website_url": "http://b.org"}}])
+    rows = json.loads((tmp_path / "out.json").read_text())
+    assert [r["wikicfp"]["website_url"] for r in rows] == ["http://b.org", "http://none.org", "http://a.org"] and rows[1]["wikicfp"]["x"] == 1
+    assert rows[2]["meta"]["status"] == "ok" and rows[2]["extracted"]["conference"]["full_name"] == "Neural Systems" and rows[1]["meta"]["attempts"] == 0
+    again = readers.earlier_results(spark, str(tmp_path / "out.json"), "wikicfp struct<website_url:string>, meta struct<model:string>")
+    assert again.where("meta.model = 'm'").count() == 2
+
+
+def test_command_line(spark, run, tmp_path, capsys):
+    from weftline import cli
+
+    assert cli.main(["evaluate", "--gold", str(tmp_path / "none"), "--results", str(tmp_path)]) == 2
+    (tmp_path / "gold").mkdir()
+    (tmp_path / "gold" / "a.json").write_text('{"url": "http://a.org", "ground_truth": {"venue": {"city": "X"}}}')
+    (tmp_path / "res" / "m").mkdir(parents=True)
+    (tmp_path / "res" / "m" / "u.json").write_text('{"model": "m", "url": "http://a.org", "status": "ok", "data": {"venue": {"city": "x"}}}')
+    assert cli.main(["evaluate", "--gold", str(tmp_path / "gold"), "--results", str(tmp_path / "res"), "--json-out", str(tmp_path / "o.json"), "--text-out", str(tmp_path / "o.txt"), "--debug"]) == 0
+    got = json.loads((tmp_path / "o.json").read_text())
+    assert got["n_gold"] == 1 and got["models"][0]["overall"]["tp"] == 1 and "m " in (tmp_path / "o.txt").read_text()
+
+
 def test_servers():
     assert extraction.server("vllm").endswith(":8000") and extraction.server("x").endswith(":11434")
     with pytest.raises(ValueError, match="Unknown backend"):

@@ -45,6 +45,23 @@ def _extract(a: argparse.Namespace) -> int:
     return 0
 
 
+def _batch(a: argparse.Namespace) -> int:
+    """Run models over a JSON list of sites, one output file for each model."""
+    spark = session()
+    inputs = readers.json_array(spark, a.input)
+    inputs = batch.part(inputs, "ord", a.offset, a.limit)
+    sites = inputs.select(F.col("website_url").alias("site_url")).distinct()
+    fetch.crawl(sites, lambda u: fetch.fetch(u.repartition(a.workers))).write.mode("overwrite").parquet(f"{a.out}/pages")
+    crawled, ask = spark.read.parquet(f"{a.out}/pages"), extraction.over_http(a.backend, a.base_url)
+    for i, (model, args) in enumerate([(m, []) for m in a.model] if a.model else batch.DEFAULT_MODELS):
+        path = f"{a.out}/{model.replace('/', '_').replace(':', '_')}.json"
+        earlier = readers.earlier_results(spark, path, "wikicfp struct<website_url:string>, meta struct<model:string>")
+        done = earlier.select("wikicfp.website_url", "meta.model")
+        out = benchmark.run_list(inputs, crawled, ask, f"{a.out}/runs/{i}", model, a.backend, args, done)
+        writers.batch_rows(out, path, [json.loads(r["raw"]) for r in earlier.orderBy("ord").collect()])
+    return 0
+
+
 def _evaluate(a: argparse.Namespace) -> int:
     spark = session()
     try:
@@ -105,6 +122,16 @@ def main(args: list[str] | None = None) -> int:
     e.add_argument("--workers", type=int, default=10)
     e.add_argument("--prompts", action="store_true", help="keep prompts and answers")
     e.set_defaults(run=_extract)
+    b = sub.add_parser("batch", help=_batch.__doc__)
+    b.add_argument("--input", required=True)
+    b.add_argument("--out", default="results")
+    b.add_argument("--model", action="append")
+    b.add_argument("--backend", choices=sorted(extraction.DEFAULT_SERVER), default="ollama")
+    b.add_argument("--base-url")
+    b.add_argument("--offset", type=int, default=0)
+    b.add_argument("--limit", type=int)
+    b.add_argument("--workers", type=int, default=10)
+    b.set_defaults(run=_batch)
     v = sub.add_parser("evaluate")
     v.add_argument("--gold", default="gold")
     v.add_argument("--results", default="results")

@@ -106,17 +106,23 @@ def country_code(s: Column) -> Column:
     return F.coalesce(F.element_at(table, name), F.when(F.length(name) == 2, name))
 
 
+def _resolve(base: str | None, href: str | None) -> str | None:
+    try:
+        return urljoin(base or "", href or "").split("#")[0].split("?")[0]
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     """A link's URL without query and fragment; null where it can't be one."""
+    return pd.Series([_resolve(b, h) for b, h in zip(base, href)], dtype=object)
 
-    def one(b: str | None, h: str | None) -> str | None:
-        try:
-            return urljoin(b or "", h or "").split("#")[0].split("?")[0]
-        except ValueError:
-            return None
 
-    return pd.Series([one(b, h) for b, h in zip(base, href)], dtype=object)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def resolve_all(base: pd.Series, hrefs: pd.Series) -> pd.Series:
+    """resolve() for all links of a page."""
+    return pd.Series([None if hs is None else [_resolve(b, h) for h in hs] for b, hs in zip(base, hrefs)], dtype=object)
 
 
 def ordinal(day: Column) -> Column:

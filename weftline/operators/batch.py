@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # The models and sites of a run that names none.
@@ -30,9 +29,10 @@ def part(rows: DataFrame, order: str, offset: int = 0, limit: int | None = None)
 
 
 def combinations(models: DataFrame, urls: DataFrame) -> DataFrame:
-    """Every model with every URL, numbered model by model. Both are what a user lists for a run."""
-    both = models.crossJoin(urls)
-    return both.withColumn("ord", F.row_number().over(W.orderBy("model_ord", "url_ord")))
+    """Every model with every URL, numbered model by model; model_ord and url_ord count from 0. The models are the few that a user lists."""
+    n = urls.agg(F.count("*").alias("_n"))
+    both = urls.crossJoin(models.crossJoin(n))
+    return both.withColumn("ord", F.col("model_ord") * F.col("_n") + F.col("url_ord") + 1).drop("_n")
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, resolve, same_site, strip
+from ..functions.text import contains_any, resolve_all, same_site, strip
 
 # What is boilerplate, what is never taken for it, and the limits.
 DROPPED = {"script", "style", "nav", "footer", "noscript", "svg", "iframe"}
@@ -196,18 +196,12 @@ def subpages(parsed: DataFrame, url: str = "url", words: list[str] | None = None
     The first anchor to a page decides whether its text makes it useful.
     """
     keys = [c for c in parsed.columns if c != "links"]
-    rows = parsed.withColumn("_row", F.monotonically_increasing_id())
-    each = rows.select("_row", *keys, F.posexplode_outer("links").alias("_i", "_a"))
-    each = each.select("_row", *keys, "_i", F.col("_a.href").alias("_href"), F.col("_a.text").alias("_text"))
-    each = each.withColumn("_to", F.when(is_page(F.col("_href")), resolve(F.col(url), F.col("_href"))))
-    each = each.withColumn("_to", F.when(same_site(F.col("_to"), F.col(url)), F.col("_to")))
-    each = each.withColumn("_link", F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("to"), useful(F.col("_href"), F.col("_text"), words).alias("useful"), F.col("_i").alias("i"))))
-    # All links of a page were one row's array, so they make one again.
-    gathered = each.groupBy("_row").agg(*(F.first(c).alias(c) for c in keys), F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_link").alias("l")))).alias("_l"))
-    links = F.filter(F.transform("_l", lambda x: x["l"]), lambda x: x.isNotNull())
-    firsts = F.filter(links, lambda x, i: ~F.exists(F.slice(links, F.lit(1), i), lambda y: y["to"] == x["to"]))
+    rows = parsed.withColumn("_to", resolve_all(F.col(url), F.transform("links", lambda a: a["href"])))
+    each = F.zip_with("links", "_to", lambda a, to: F.struct(to.alias("to"), is_page(a["href"]).alias("page"), useful(a["href"], a["text"], words).alias("useful")))
+    rows = rows.withColumn("_l", F.filter(each, lambda x: x["page"] & same_site(x["to"], F.col(url))))
+    firsts = F.filter("_l", lambda x, i: F.array_position(F.transform("_l", lambda y: y["to"]), x["to"]) == i + 1)
     chosen = F.transform(F.filter(firsts, lambda x: x["useful"]), lambda x: x["to"])
-    return gathered.select(*keys, F.slice(chosen, 1, limit).alias("subpages"))
+    return rows.select(*keys, F.slice(chosen, 1, limit).alias("subpages"))
 
 
 def title_of(html: Column) -> Column:

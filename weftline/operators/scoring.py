@@ -95,7 +95,7 @@ def label(entries: DataFrame, gold: DataFrame) -> DataFrame:
     """
     failed = F.coalesce(F.exists("warnings", lambda w: F.contains(w, F.lit(NO_PAGES))), F.lit(False))
     rows = entries.withColumn("url_key", url_key(F.coalesce("url", F.lit("?"))))
-    met = rows.join(gold.withColumn("_there", F.lit(True)), "url_key", "left")
+    met = rows.join(gold.drop("url").withColumn("_there", F.lit(True)), "url_key", "left")
     kind = F.when(F.col("_there").isNull(), "missing").when(F.coalesce(F.col("status") == "error", F.lit(False)), "crashed").when(failed, "fetch_failed").otherwise("scored")
     return met.withColumn("scored_as", kind).drop("_there")
 

@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.batch import DEFAULT_MODELS, DEFAULT_URLS, summary_averages, summary_pivot
+from ..operators.batch import DEFAULT_MODELS, DEFAULT_URLS, remaining, summary_averages, summary_pivot
 from ..sources import writers
 from .extraction import Ask, extract
 
@@ -34,12 +34,35 @@ def run(spark: SparkSession, crawled: DataFrame, ask: Callable[[str], Ask], fold
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)
-    writers.entries(all_.drop("seq"), f"{folder}/results")
+    writers.entries(all_.drop("seq").withColumn("confidence", F.map_from_entries("confidence")), f"{folder}/results")
     writers.report({"timestamp": stamp.strftime("%Y%m%d_%H%M%S"), "backend": backend, "models": [{"name": m, "vllm_extra_args": a} for m, a in models], "urls": urls}, f"{folder}/benchmark.json")
     writers.text(summary(all_, [m for m, _ in models], urls), f"{folder}/summary.txt")
     return all_
 
 
+def run_list(inputs: DataFrame, crawled: DataFrame, ask: Ask, folder: str, model: str, backend: str = "ollama", args: list[str] | None = None, done: DataFrame | None = None) -> DataFrame:
+    """Results of one model for a list of sites (ord, raw and website_url, see sources.readers.json_array), in input order.
+
+    wikicfp is the input as it was given, beside it extracted, confidence,
+    warnings and meta. Sites that done (website_url, model) has are left out, be
+    their result an error.
+    """
+    todo = inputs.select("ord", "raw", "website_url").withColumn("model", F.lit(model))
+    if done is not None:
+        todo = remaining(todo, done, ["website_url", "model"])
+    sites = todo.select(F.col("website_url").alias("site_url")).distinct()
+    began = time.time()
+    extract(crawled.join(sites, "site_url", "left_semi"), sites, ask, f"{folder}/work", model, backend).write.mode("overwrite").parquet(f"{folder}/entries")
+    entries = inputs.sparkSession.read.parquet(f"{folder}/entries").drop("model", "backend")
+    seconds = round((time.time() - began) / max(1, entries.count()), 1)
+    meta = F.struct(
+        F.lit(model).alias("model"), F.lit(backend).alias("backend"), "attempts", "pages_fetched", "status", "error", F.lit(seconds).alias("elapsed_sec"), F.lit(datetime.now().isoformat()).alias("extracted_at"),
+        F.array(*map(F.lit, args or [])).cast("array<string>").alias("vllm_extra_args"),
+    )
+    out = todo.drop("model").join(entries, F.col("website_url") == F.col("url"))
+    return out.select("ord", "website_url", F.lit(model).alias("model"), F.col("raw").alias("wikicfp"), F.col("data").alias("extracted"), F.map_from_entries("confidence").alias("confidence"), "warnings", meta.alias("meta"))
+
+
 def summary(entries: DataFrame, models: list[str], urls: list[str]) -> str:
     """Models by sites, and each model's means, as text; both tables are as small as the lists."""
     names = list(dict.fromkeys(models))

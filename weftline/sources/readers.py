@@ -14,7 +14,7 @@ from ..schemas import ENTRY, RECORD
 
 def json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Objects of a JSON array in one file, in order: their members as columns, with ord and all of each as raw."""
-    text = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), "value")
     bad = text.where(F.col("v").isNull()).limit(1).count()
     if bad:
         raise ValueError(f"{path} holds no JSON")
@@ -72,8 +72,7 @@ def gold(spark: SparkSession, path: str) -> DataFrame:
     Files that are no JSON, elements that are no objects and those without a URL
     are left out; of entries with one key the last counts, by file and place.
     """
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json")
-    files = read.text(path).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v")).where("v is not null")
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v")).where("v is not null")
     items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
     each = files.select("file", F.posexplode(items).alias("pos", "v")).where(F.schema_of_variant("v").startswith("OBJECT"))
     raw = F.to_json("v")
@@ -91,8 +90,17 @@ def gold_rows(rows: DataFrame) -> DataFrame:
 
 
 def results(spark: SparkSession, folder: str) -> DataFrame:
-    """Entries of a results folder, one file each in folders of models, with seq in the order of their paths; those without a model are left out."""
-    text = spark.read.option("wholetext", True).text(f"{folder}/*/*.json").select(F.col("_metadata.file_path").alias("seq"), "value").where(F.try_parse_json("value").isNotNull())
+    """Entries of a results folder, with seq in the order of their paths; those without a model are left out.
+
+    One file each, in folders of models: <model>/<url>.json, or as writers.entries
+    leaves them. Files elsewhere under the folder are others'.
+    """
+    sc = spark.sparkContext
+    root = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
+    place = F.substring_index(F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:/+", "/"), root.rstrip("/") + "/", -1)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    text = files.where(place.rlike(r"^[^/]+/[^/]+\.json$|^model_dir=[^/]+/url_name=[^/]+/[^/]+\.json$")).select(F.col("_metadata.file_path").alias("seq"), "value").where(F.try_parse_json("value").isNotNull())
     there = F.array_contains(F.json_object_keys("value"), "model")
     schema = f"struct<{', '.join(_pairs(ENTRY))}>"
     return text.where(there).select("seq", F.from_json("value", schema).alias("e")).select("seq", "e.*")
