@@ -109,30 +109,51 @@ _ITEMS = {
 }
 
 
+_KINDS = {"VOID": "null", "STRING": "string", "BOOLEAN": "boolean", "BIGINT": "integer", "OBJECT": "object", "ARRAY": "array"}
+
+
 def _kind(value: Column) -> Column:
     """The JSON type of a variant's value."""
-    t = F.schema_of_variant(value)
-    return (
-        F.when(t.isNull() | (t == "VOID"), "null").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t == "BIGINT", "integer")
-        .when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").otherwise("number")
-    )
+    names = F.create_map(*(F.lit(x) for pair in _KINDS.items() for x in pair))
+    return F.coalesce(F.element_at(names, F.substring_index(F.coalesce(F.schema_of_variant(value), F.lit("VOID")), "<", 1)), F.lit("number"))
 
 
 def _wrong(value: Column, kinds: list[str]) -> Column:
     """What is said of a value that is of none of the kinds; null when it is of one."""
-    kind = _kind(value)
-    names = " or ".join(f"'{k}'" for k in kinds) if len(kinds) == 1 else ", ".join(f"'{k}'" for k in kinds)
-    fits = kind.isin(*kinds) | (F.lit("number" in kinds) & (kind == "integer"))
-    return F.when(~fits, F.concat(F.coalesce(F.to_json(value), F.lit("null")), F.lit(f" is not of type {names}")))
+    names = ", ".join(f"'{k}'" for k in kinds)
+    return F.when(~_kind(value).isin(*kinds), F.concat(F.coalesce(F.to_json(value), F.lit("null")), F.lit(f" is not of type {names}")))
+
+
+_VARIANTS = "map<string,variant>"
+
+
+def _bound(value: Column, make) -> Column:
+    """make(value), with value computed once."""
+    return F.transform(F.array(value), make)[0]
+
+
+def _members(value: Column) -> Column:
+    """Members of a variant that is an object; null for others."""
+    return F.try_variant_get(value, "$", _VARIANTS)
+
+
+def _required(have: Column, keys: list[str]) -> list[Column]:
+    return [F.when(~F.map_contains_key(have, k), F.lit(f"'{k}' is a required property")) for k in keys]
 
 
-def _item_errors(members: dict[str, list[str]]):
-    def check(v: Column) -> Column:
-        have = F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
-        own = [F.when((_kind(v) == "object") & F.array_contains(have, k), _wrong(F.try_variant_get(v, f"$.{k}", "variant"), kinds)) for k, kinds in members.items()]
-        return F.array(_wrong(v, ["object"]), *own)
+def _typed(have: Column, members: dict[str, list[str]]) -> list[Column]:
+    return [F.when(F.map_contains_key(have, k), _wrong(F.element_at(have, F.lit(k)), kinds)) for k, kinds in members.items()]
 
-    return check
+
+def _object_errors(value: Column, members: dict[str, list[str]], required: bool) -> Column:
+    """Messages of an object and its members; a single one for what is no object."""
+    inside = lambda have: F.array(*(_required(have, list(members)) if required else []), *_typed(have, members))
+    return F.when(_kind(value) == "object", _bound(_members(value), inside)).otherwise(F.array(_wrong(value, ["object"])))
+
+
+def _items(value: Column, each) -> Column:
+    """Messages of an array and its items; a single one for what is no array."""
+    return F.when(_kind(value) == "array", F.flatten(F.transform(F.try_variant_get(value, "$", "array<variant>"), each))).otherwise(F.array(_wrong(value, ["array"])))
 
 
 def shape_errors(record: Column) -> Column:
@@ -141,31 +162,26 @@ def shape_errors(record: Column) -> Column:
     Missing sections and members of the first section are named, values of wrong
     types are quoted. Text that is no JSON object has one message.
     """
-    doc = F.try_parse_json(record)
-    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    said: list[Column] = []
-    missing = lambda have, k: F.when(~F.array_contains(have, k), F.lit(f"'{k}' is a required property"))
-    for s, members in _SHAPES.items():
-        part = F.try_variant_get(doc, f"$.{s}", "variant")
-        text = F.get_json_object(record, f"$.{s}")
-        inner = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-        there = F.array_contains(keys, s)
-        said += [missing(keys, s), F.when(there, _wrong(part, ["object"]))]
-        is_object = there & (_kind(part) == "object")
-        for k, kinds in members.items():
-            if s == "conference":
-                said.append(F.when(is_object, missing(inner, k)))
-            said.append(F.when(is_object & F.array_contains(inner, k), _wrong(F.try_variant_get(doc, f"$.{s}.{k}", "variant"), kinds)))
-    lists: list[Column] = []
-    for s in LISTS:
-        there = F.array_contains(keys, s)
-        part = F.try_variant_get(doc, f"$.{s}", "variant")
-        said += [missing(keys, s), F.when(there, _wrong(part, ["array"]))]
-        items = F.when(there & (_kind(part) == "array"), F.try_variant_get(doc, f"$.{s}", "array<variant>"))
-        if s == "topics":
-            lists.append(F.transform(items, lambda v: _wrong(v, _TEXT)))
-        else:
-            lists.append(F.flatten(F.transform(items, _item_errors(_ITEMS[s]))))
     none = F.array().cast("array<string>")
-    all_ = F.array_compact(F.concat(F.array(*said), *(F.coalesce(x, none) for x in lists)))
-    return F.when(_kind(doc) == "object", all_).otherwise(F.array(F.concat(F.coalesce(record, F.lit("null")), F.lit(" is not of type 'object'"))))
+
+    def check(top: Column) -> Column:
+        parts = []
+        for s, members in _SHAPES.items():
+            parts += [F.array(*_required(top, [s])), F.when(F.map_contains_key(top, s), _section(top, s, members)).otherwise(none)]
+        for s in LISTS:
+            parts += [F.array(*_required(top, [s])), F.when(F.map_contains_key(top, s), _list_section(top, s)).otherwise(none)]
+        return F.array_compact(F.concat(*parts))
+
+    def whole(doc: Column) -> Column:
+        return F.when(_kind(doc) == "object", _bound(_members(doc), check)).otherwise(F.array(F.concat(F.coalesce(record, F.lit("null")), F.lit(" is not of type 'object'"))))
+
+    return _bound(F.try_parse_json(record), whole)
+
+
+def _section(top: Column, s: str, members: dict[str, list[str]]) -> Column:
+    return _bound(F.element_at(top, F.lit(s)), lambda v: _object_errors(v, members, s == "conference"))
+
+
+def _list_section(top: Column, s: str) -> Column:
+    each = (lambda v: F.array(_wrong(v, _TEXT))) if s == "topics" else (lambda v: _object_errors(v, _ITEMS[s], False))
+    return _bound(F.element_at(top, F.lit(s)), lambda v: _items(v, each))

@@ -435,3 +435,64 @@ def confidence_levels(spark, sf):
 @query("SELECT o_orderkey, c_name AS full_name, CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS start_date, o_orderpriority AS publisher FROM orders JOIN customer ON c_custkey = o_custkey")
 def nullify_low(spark, sf):
     return _verified(spark, sf).select("o_orderkey", "record.conference.full_name", "record.dates.start_date", "record.publication.publisher")
+
+
+# --- evaluation of runs ----------------------------------------------------------------------------------------------------
+
+_RUNS = """
+e AS (SELECT o_orderkey AS seq, o_orderpriority AS model, 'HTTP://www.Site' || (o_custkey % 40) || '.org/' AS url, CASE WHEN o_orderkey % 13 = 0 THEN 'error' WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'ok' END AS status,
+    o_orderkey % 19 = 0 AS failed, (o_custkey % 7)::DOUBLE AS sec, (o_custkey % 3)::INT AS attempts, o_orderstatus AS backend FROM orders),
+x AS (SELECT *, CASE WHEN replace(lower(url), 'http://www.', '') NOT IN (SELECT 'site' || n_nationkey || '.org/' FROM nation) THEN 'missing' WHEN status = 'error' THEN 'crashed' WHEN failed THEN 'fetch_failed' ELSE 'scored' END AS scored_as FROM e)
+"""
+
+
+def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    status = F.when(k % 13 == 0, "error").when(k % 17 != 0, "ok")
+    said = F.when(k % 19 == 0, F.array(F.lit("Could not fetch any pages"))).otherwise(F.array().cast("array<string>"))
+    e = o.select(k.alias("seq"), F.col("o_orderpriority").alias("model"), F.concat(F.lit("HTTP://www.Site"), c % 40, F.lit(".org/")).alias("url"), status.alias("status"), said.alias("warnings"), (c % 7).cast("double").alias("elapsed_sec"), (c % 3).cast("int").alias("attempts"), F.col("o_orderstatus").alias("backend"), F.array().cast("array<string>").alias("vllm_extra_args"))
+    gold = table(spark, sf, "nation").select(text.url_key(F.concat(F.lit("https://site"), "n_nationkey", F.lit(".org"))).alias("url_key"))
+    return e, gold
+
+
+@query(f"WITH {_RUNS} SELECT model, scored_as, count(*) AS n FROM x GROUP BY ALL")
+def entry_labels(spark, sf):
+    return scoring.label(*_runs(spark, sf)).groupBy("model", "scored_as").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_RUNS} SELECT model, count(*) AS n_entries, count(*) FILTER (status IS DISTINCT FROM 'ok') AS errors, count(*) FILTER (failed) AS fetch_failures,
+  round(avg(sec) FILTER (status = 'ok'), 9) AS avg_latency_sec, round(avg(attempts) FILTER (status = 'ok'), 9) AS avg_attempts, arg_min(backend, seq) AS backend FROM x WHERE scored_as <> 'missing' GROUP BY model""")
+def run_stats(spark, sf):
+    out = scoring.run_stats(scoring.label(*_runs(spark, sf)).where("scored_as <> 'missing'"))
+    return out.select("model", "n_entries", "errors", "fetch_failures", F.round("avg_latency_sec", 9).alias("avg_latency_sec"), F.round("avg_attempts", 9).alias("avg_attempts"), "backend")
+
+
+@query("""SELECT l_orderkey, l_linenumber, concat_ws('; ', CASE WHEN l_linenumber % 2 = 0 THEN '''acronym'' is a required property' END, CASE WHEN l_linenumber % 3 = 0 THEN l_partkey || ' is not of type ''string''' END,
+  CASE WHEN l_suppkey % 2 = 0 THEN '''publication'' is a required property' END, CASE WHEN l_suppkey % 5 = 0 THEN l_quantity::INT || ' is not of type ''string''' END) AS messages FROM lineitem""")
+def record_shape(spark, sf):
+    """Records as JSON, some without a member or section, some with numbers for texts."""
+    part, n, s = F.col("l_partkey").cast("string"), F.col("l_linenumber"), F.col("l_suppkey")
+    name = F.when(n % 3 == 0, part).otherwise(F.concat(F.lit('"'), part, F.lit('"')))
+    acronym = F.when(n % 2 == 0, "").otherwise('"acronym":"a",')
+    topic = F.when(s % 5 == 0, F.col("l_quantity").cast("int").cast("string")).otherwise('"t"')
+    last = F.when(s % 2 == 0, "").otherwise(',"publication":{"publisher":null}')
+    doc = F.concat(F.lit('{"conference":{"full_name":'), name, F.lit(","), acronym, F.lit('"url":"u","edition_number":null},"dates":{},"venue":{},"deadlines":{},"topics":['), topic, F.lit('],"keynote_speakers":[],"program_committee":[]'), last, F.lit("}"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", doc.alias("doc"))
+    return rows.select("l_orderkey", "l_linenumber", F.array_join(records.shape_errors(F.col("doc")), "; ").alias("messages"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, l_returnflag AS model, list(l_partkey % 4 ORDER BY l_linenumber) FILTER (l_linenumber % 2 = 0) AS g, list(l_partkey % 4 ORDER BY l_linenumber) FILTER (l_linenumber % 2 = 1) AS p FROM lineitem GROUP BY ALL),
+t AS (SELECT k, model, coalesce(len(g), 0) AS n, coalesce(len(p), 0) AS m, list_sum(list_transform(range(0, 4), lambda v: least(len(list_filter(coalesce(g, []), lambda x: x = v)), len(list_filter(coalesce(p, []), lambda x: x = v))))) AS tp FROM l)
+SELECT model, sum(tp)::BIGINT AS tp, sum(n - tp)::BIGINT AS fn, sum(m - tp)::BIGINT AS fp_wrong, count(*) FILTER (n = 0 AND m = 0) AS tn FROM t GROUP BY model""")
+def list_scores(spark, sf):
+    """Lists of speakers, by the whole scoring path: pairs decided, matched greedily, counted."""
+    names = ["alpha", "beta", "gamma", "delta"]
+    person = F.struct(F.element_at(F.array(*map(F.lit, names)), (F.col("l_partkey") % 4 + 1).cast("int")).alias("name"))
+    side = lambda r: F.transform(F.array_sort(F.collect_list(F.when(F.col("l_linenumber") % 2 == r, F.struct("l_linenumber", person.alias("p"))))), lambda x: x["p"])
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("model")).agg(side(0).alias("g"), side(1).alias("p"))
+    none = F.array().cast("array<string>")
+    record = lambda c: F.struct(none.alias("topics"), F.col(c).alias("keynote_speakers"), F.array().cast("array<struct<name:string>>").alias("program_committee"))
+    scored = rows.select("k", "model", record("g").alias("ground_truth"), record("p").alias("data"))
+    out = scoring.list_counts(scored, ["k", "model"]).where("path = 'keynote_speakers'")
+    return out.groupBy("model").agg(*(F.sum(c).alias(c) for c in ("tp", "fn", "fp_wrong", "tn")))
