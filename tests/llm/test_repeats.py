@@ -31,6 +31,10 @@ def test_documents(monkeypatch, docs, rows, pack):
     assert got == brute(rows) and any(r[2] for r in got)
 
 
+def test_without_an_index(docs, rows):
+    assert run(docs, indexed=False) == brute(rows)
+
+
 def test_short_windows(docs, rows):
     assert run(docs, block=3) == brute(rows, 5)
 

@@ -156,8 +156,11 @@ class _Probe:
         return out
 
 
-def _candidates(w: words.Words, probe: _Probe, block: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, starts in the row, and hashes of the windows that hold a hit."""
+def _candidates(w: words.Words, probe: _Probe | None, block: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, starts in the row, and hashes of the windows that hold a hit; without an index, of all."""
+    if probe is None:
+        at, row, h = windows(w, window)
+        return row, at - w.first[row], h
     at, row, h = windows(w, block)
     fits = w.first[row + 1] - w.first[row] >= window
     at, row, h = at[fits], row[fits], h[fits]
@@ -170,20 +173,25 @@ def _candidates(w: words.Words, probe: _Probe, block: int, window: int) -> tuple
     return row, at - w.first[row], h
 
 
-def repeats(docs: DataFrame, block: int = BLOCK, text: str = "text") -> DataFrame:
-    """_k, starts and ends (binary int32): the runs of words, in the rows of key _k, that lie in a repeated window."""
+def repeats(docs: DataFrame, block: int = BLOCK, text: str = "text", indexed: bool = True) -> DataFrame:
+    """_k, starts and ends (binary int32): the runs of words, in the rows of key _k, that lie in a repeated window.
+
+    indexed=False is for inputs whose index workers can't map: nothing is sorted
+    out then, and every window's hash is dealt out, about 14 bytes a word.
+    """
     spark = docs.sparkSession
     lean.small_batches(spark)
     window = 2 * block - 1
     n = ranges(docs)
     uri = store.folder(spark, "blocks")
-    _index(docs, n, block, window, uri, text)
-    present = {x.r for x in spark.read.schema("r int, n long").parquet(f"{uri}/ranges").select("r").collect()}  # at most n small numbers
+    if indexed:
+        _index(docs, n, block, window, uri, text)
+    present = not indexed or {x.r for x in spark.read.schema("r int, n long").parquet(f"{uri}/ranges").select("r").collect()}  # at most n small numbers
 
     schema = "r int, h binary, many binary, keys binary, pos binary"
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probes = _Probe(uri, n, present)
+        probes = _Probe(uri, n, present) if indexed else None
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -257,7 +265,7 @@ def repeats(docs: DataFrame, block: int = BLOCK, text: str = "text") -> DataFram
     return places.groupBy("b").applyInArrow(lean.group(merge), "_k long, starts binary, ends binary")
 
 
-def without_repeats(docs: DataFrame, block: int = BLOCK, text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, block: int = BLOCK, text: str = "text", indexed: bool = True) -> DataFrame:
     """doc_id, text without repeated words, n_words and n_removed of each row.
 
     Of every window of 2 * block - 1 words that occurs twice or more, in one
@@ -286,7 +294,7 @@ def without_repeats(docs: DataFrame, block: int = BLOCK, text: str = "text") ->
 
     rows = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64("doc_id", text).alias("_k"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = rows.join(repeats(docs, block, text), "_k", "left").select("doc_id", "text", "starts", "ends")
+    joined = rows.join(repeats(docs, block, text, indexed), "_k", "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(lean.batches(cut), f"doc_id {kind}, text string, n_words long, n_removed long")
 
 
