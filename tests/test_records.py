@@ -76,7 +76,7 @@ def test_shape(values):
 
 def validated(spark, doc, source):
     df = spark.createDataFrame([("k", json.dumps(doc), source)], "k string, j string, source string").select("k", F.from_json("j", RECORD).alias("record"), "source")
-    return verify.validate(df, ["k"]).first()
+    return verify.validate(df).first()
 
 
 def test_validate(spark):

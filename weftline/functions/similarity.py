@@ -99,14 +99,19 @@ def _arrow(function):
 partial_ratio, token_sort_ratio, token_set_ratio = map(_arrow, (partial, token_sort, token_set))
 
 
-@F.pandas_udf(T.BooleanType())
-def written_in(value: pd.Series, text: pd.Series, least: pd.Series) -> pd.Series:
-    """Whether a text holds a value, word for word or about: short values by partial, others by token_set."""
+def written_in(value: str | None, text: str | None, least: int) -> bool:
+    """Whether a text in lower case holds a value, word for word or about: short values by partial, others by token_set."""
+    if not value or not text:
+        return False
+    value = value.lower().strip()
+    return value in text or (partial if len(value) < 40 else token_set)(value, text) >= least
 
-    def one(v: str | None, t: str | None, n: int) -> bool:
-        if not v or not t:
-            return False
-        v, t = v.lower().strip(), t.lower()
-        return v in t or (partial if len(v) < 40 else token_set)(v, t) >= n
 
-    return pd.Series([one(*x) for x in zip(value, text, least)])
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def about(values: pd.Series, least: pd.Series, low: pd.Series) -> pd.Series:
+    """medium or low for each value of a row by written_in; null for null values, and for rows without any."""
+
+    def one(vs, ns, text):
+        return None if vs is None else [None if v is None else "medium" if written_in(v, text, n) else "low" for v, n in zip(vs, ns)]
+
+    return pd.Series([one(*row) for row in zip(values, least, low)], dtype=object)

@@ -133,7 +133,7 @@ def attempt(tried: DataFrame, sources: DataFrame) -> DataFrame:
     merged = tried.withColumn("error", F.coalesce("error", _same_types(F.col("basic"), F.col("speakers"), F.col("committee"))))
     merged = merged.withColumn("record", merge(F.col("site_url"), F.col("basic"), F.col("speakers"), F.col("committee"))).withColumn("_none", none)
     usable = merged.where(~F.col("_none") & F.col("error").isNull()).select("site_url", "attempt", "record").join(sources, "site_url")
-    done = validate(usable, ["site_url", "attempt"], shape=shape_errors(F.to_json("record", {"ignoreNullFields": "false"})))
+    done = validate(usable, shape=shape_errors(F.to_json("record", {"ignoreNullFields": "false"})))
     kept = done.select("site_url", "attempt", F.lit(None).cast("string").alias("error"), "record", "confidence", "warnings")
     rest = merged.where(F.col("_none") | F.col("error").isNotNull()).select("site_url", "attempt", "error", F.lit(None).cast(kept.schema["record"].dataType).alias("record"), F.array().cast(kept.schema["confidence"].dataType).alias("confidence"), F.array().cast("array<string>").alias("warnings"))
     return kept.unionByName(rest)

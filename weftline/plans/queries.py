@@ -337,7 +337,8 @@ def date_in_source(spark, sf):
         .when(n == 3, F.concat(word(F.year(s)), F.lit(": "), word(F.dayofmonth(s)), F.date_format(s, " MMM"))).otherwise("soon")
     )
     iso = F.date_format(F.date_add(s.cast("date"), (F.col("l_quantity").cast("int") % 3)), "yyyy-MM-dd")
-    return l.select("l_orderkey", "l_linenumber", dates.found_in(iso, F.concat(F.lit("Held "), shown, F.lit("."))).alias("found"))
+    rows = l.select("l_orderkey", "l_linenumber", F.inline(F.array(F.struct(iso.alias("iso"), F.concat(F.lit("Held "), shown, F.lit(".")).alias("source"))))).withColumn("low", F.lower("source"))
+    return rows.select("l_orderkey", "l_linenumber", dates.found_in(F.col("iso"), F.col("source"), F.col("low")).alias("found"))
 
 
 # --- answers ---------------------------------------------------------------------------------------------------------------
@@ -419,7 +420,7 @@ def _verified(spark: SparkSession, sf: str) -> DataFrame:
     basic = F.to_json(F.struct(F.col("c_name").alias("full_name"), day.alias("start_date"), F.col("o_orderpriority").alias("publisher")))
     source = F.concat(F.lit("For "), F.lower("c_name"), F.lit(" "), F.col("o_orderpriority"), F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit(" on "), F.date_format("o_orderdate", "dd MMMM yyyy"))).otherwise(""))
     r = o.select("o_orderkey", records.merge(F.lit("u"), basic, none, none).alias("record"), source.alias("source"))
-    return verify.validate(r, ["o_orderkey"])
+    return verify.validate(r)
 
 
 _LEVEL = "CASE WHEN o_orderkey % 4 = 0 THEN 'high' ELSE 'low' END"
