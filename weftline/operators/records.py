@@ -14,6 +14,11 @@ NULL_SHARE = 0.35
 RENAMED = {"submission": "submission_deadline", "notification": "notification_date", "camera_ready": "camera_ready_date"}
 
 
+def _bound(value: Column, make) -> Column:
+    """make(value), with value computed once."""
+    return F.transform(F.array(value), make)[0]
+
+
 def _list(answer: Column, key: str, kind: str) -> Column:
     """A list of an answer: missing is empty, an explicit null stays null."""
     parsed = F.from_json(answer, f"struct<`{key}`:{kind}>")[key]
@@ -23,16 +28,20 @@ def _list(answer: Column, key: str, kind: str) -> Column:
 
 def merge(url: Column, basic: Column, speakers: Column, committee: Column) -> Column:
     """One record of the three answers (JSON objects, each may be null)."""
-    b = F.from_json(basic, BASIC)
-    member = lambda k: F.coalesce(b[k], F.lit("")) if k in ("full_name", "acronym") else url if k == "url" else b[RENAMED.get(k, k)]
-    section = lambda s: F.struct(*(member(k).alias(k) for k in SECTIONS[s])).alias(s)
-    return F.struct(
-        section("conference"), section("dates"), section("venue"), section("deadlines"),
-        _list(basic, "topics", "array<string>").alias("topics"),
-        _list(speakers, "keynote_speakers", SPEAKERS).alias("keynote_speakers"),
-        _list(committee, "program_committee", COMMITTEE).alias("program_committee"),
-        section("publication"),
-    )
+
+    def made(b: Column) -> Column:
+        member = lambda k: F.coalesce(b[k], F.lit("")) if k in ("full_name", "acronym") else url if k == "url" else b[RENAMED.get(k, k)]
+        section = lambda s: F.struct(*(member(k).alias(k) for k in SECTIONS[s])).alias(s)
+        return F.struct(
+            section("conference"), section("dates"), section("venue"), section("deadlines"),
+            _list(basic, "topics", "array<string>").alias("topics"),
+            _list(speakers, "keynote_speakers", SPEAKERS).alias("keynote_speakers"),
+            _list(committee, "program_committee", COMMITTEE).alias("program_committee"),
+            section("publication"),
+        )
+
+    # Parsed once, not for each member.
+    return _bound(F.from_json(basic, BASIC), made)
 
 
 def empty(url: Column) -> Column:
@@ -127,11 +136,6 @@ def _wrong(value: Column, kinds: list[str]) -> Column:
 _VARIANTS = "map<string,variant>"
 
 
-def _bound(value: Column, make) -> Column:
-    """make(value), with value computed once."""
-    return F.transform(F.array(value), make)[0]
-
-
 def _members(value: Column) -> Column:
     """Members of a variant that is an object; null for others."""
     return F.try_variant_get(value, "$", _VARIANTS)
