@@ -40,6 +40,8 @@ OFTEN, HEAVY = 4, 1 << 20
 #: In a task, the members of a token found in more sets than this are dealt out by set, not by token.
 MANY = 16
 ROUNDS = 6
+#: Bytes of input for each range of tokens.
+BUCKET_BYTES = 4 << 20
 GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -158,7 +160,7 @@ def _buckets(docs: DataFrame, k: int, percent: int, uri: str, ordered: bool, tex
     All tokens of a range that the same classes share are one b, with the place
     of the first.
     """
-    n = ranges(docs)
+    n = ranges(docs, BUCKET_BYTES)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = None

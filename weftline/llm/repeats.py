@@ -39,12 +39,12 @@ RANGE_BYTES = 16 << 20
 U64 = np.uint64
 
 
-def ranges(df: DataFrame) -> int:
-    """A power of two in proportion to the size of the input, as the planner knows it."""
+def ranges(df: DataFrame, each: int = RANGE_BYTES) -> int:
+    """A power of two, one for each so many bytes of the input, as the planner knows its size."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:  # unknown
-        size = df.rdd.getNumPartitions() * RANGE_BYTES
-    return 1 << max(2, min(14, (size // RANGE_BYTES).bit_length()))
+        size = df.rdd.getNumPartitions() * each
+    return 1 << max(2, min(14, (size // each).bit_length()))
 
 
 def _range_of(h: np.ndarray, n: int) -> np.ndarray:
