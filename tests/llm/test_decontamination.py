@@ -110,3 +110,12 @@ def test_slots_are_aligned():
     (t,) = decontaminate.templates(pa.array(["go 5 km with Ann Lee now or 5 later"]))
     a, b = (np.frombuffer(x, np.uint64) for x in decontaminate._slots(t, np.array([0, 1]), 4))
     assert a[1] == b[0] and a[0] == 0
+
+
+def test_items_of_one_template_with_other_equal_values(spark):
+    items = spark.createDataFrame([ITEMS[-1], (8, TEXTS[-1][1]), (None, "a word that has no number in it is the item"), (None, "a word that has no number in it is the item")], "item_id long, text string")
+    docs = spark.createDataFrame([*TEXTS[-2:], (11, ITEMS[-1][1]), (12, "a word that has no number in it is the item")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, items).collect()}
+    assert set(got) == {(9, 7), (9, 8), (10, 8), (11, 7), (11, 8), (12, None)}
+    assert got[10, 8]["exact"] and got[10, 8]["share"] == 1.0 and got[11, 7]["exact"] and not got[11, 8]["exact"]
+    assert got[12, None]["n_items"] == 1

@@ -155,8 +155,18 @@ def _slots(t: Templates, at: np.ndarray, k: int) -> list[bytes | None]:
     return [t.slots[i : i + k].tobytes() if m else None for i, m in zip(at.tolist(), (some[at + k] > some[at]).tolist())]
 
 
+def _equal(slots: np.ndarray) -> np.ndarray:
+    """Which slots hold equal values: for each slot, a hash of the first that has its value."""
+    _, at, back = np.unique(slots[slots != 0], return_index=True, return_inverse=True)
+    return words.mix(at[back].astype(U64) + U64(1))
+
+
+def _hash(*parts: np.ndarray) -> np.int64:
+    return np.array([words.whole(np.concatenate(parts))], U64).view(np.int64)[0]
+
+
 def _items(benchmark: DataFrame, window: int, least: int, text: str) -> DataFrame:
-    """item_id, class (hash of all its tokens), k, pos, h, slots and total of each window of each item."""
+    """item_id, class (hash of all its tokens and of which slots are equal), key (hash of its values), k, pos, h, slots and total of each window of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,18 +180,18 @@ def _items(benchmark: DataFrame, window: int, least: int, text: str) -> DataFram
                     k = min(window, hi - lo)
                     _, at, h = one.windows(k)
                     n = len(at)
-                    whole = np.int64(np.array([words.whole(one.tokens)], U64).view(np.int64)[0])
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, b.schema.field(0).type), pa.array([whole] * n, pa.int64()), pa.array([k] * n, pa.int32()), pa.array(at, pa.int64()), pa.array(h.view(np.int64)), pa.array(_slots(one, at, k), pa.binary()), pa.array([n] * n, pa.int64())], names=["item_id", "class", "k", "pos", "h", "slots", "total"])
+                    whole, key = _hash(one.tokens, _equal(one.slots)), _hash(one.slots)
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, b.schema.field(0).type), pa.array([whole] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array([k] * n, pa.int32()), pa.array(at, pa.int64()), pa.array(h.view(np.int64)), pa.array(_slots(one, at, k), pa.binary()), pa.array([n] * n, pa.int64())], names=["item_id", "class", "key", "k", "pos", "h", "slots", "total"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return benchmark.select("item_id", text).mapInArrow(lean.batches(run), f"item_id {kind}, class long, k int, pos long, h long, slots binary, total long")
+    return benchmark.select("item_id", text).mapInArrow(lean.batches(run), f"item_id {kind}, class long, key long, k int, pos long, h long, slots binary, total long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = LEAST, text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, n_item_windows, share, exact and n_items of each document and item it holds.
 
-    Items of one template are one: item_id is their smallest, n_items their
-    number. exact: no slot's value was changed. Items of fewer than least tokens
+    Items of one template whose equal values stand in the same slots are one:
+    item_id is their smallest, n_items their number. exact: no slot's value was changed. Items of fewer than least tokens
     are not looked for; those shorter than a window are one window. Null texts
     and texts without tokens hold nothing and are no items; rows with the same
     doc_id and text are one; a null doc_id is reported as null. Empty tables give
@@ -195,9 +205,10 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: flo
     spark = docs.sparkSession
     lean.small_batches(spark)
     found = _items(benchmark, window, least, text)
-    reps = found.groupBy("class").agg(F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"))
-    # Items without an id, and repeated rows of one, count once.
-    items = store.written(spark, found.join(reps, ["class", "item_id"]).dropDuplicates(["class", "item_id", "pos"]), "items")
+    # Items without an id, and repeated rows of one, count once. The values compared are those of one row.
+    first = F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "key")).alias("first")
+    reps = found.groupBy("class").agg(first, F.count_distinct(F.struct("item_id")).alias("n_items")).select("class", "first.item_id", "first.key", "n_items")
+    items = store.written(spark, found.drop("item_id").join(reps, ["class", "key"]).dropDuplicates(["class", "pos"]), "items")
     size = int(str(items._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n = 1 << (size // RANGE_BYTES).bit_length()
     uri = store.folder(spark, "windows")
