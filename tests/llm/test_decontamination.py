@@ -119,3 +119,13 @@ def test_items_of_one_template_with_other_equal_values(spark):
     assert set(got) == {(9, 7), (9, 8), (10, 8), (11, 7), (11, 8), (12, None)}
     assert got[10, 8]["exact"] and got[10, 8]["share"] == 1.0 and got[11, 7]["exact"] and not got[11, 8]["exact"]
     assert got[12, None]["n_items"] == 1
+
+
+def test_items_of_slots_are_found_word_for_word(spark):
+    texts = ["What is 12 * 7 + 3 - 4 ?", "what is 12 * 8 + 3 - 4 ?", "Ann Lee, Bob Ray, Tom Fox", "x 1 2 3 4 5 6 7 8 9 10 11 12", "Ann 5 Bob 6 Tom 7 Joe 8 Kim 9 Lou 10 and so on for all of the others in it"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = [(n, f"here stands Zoe {t} Eve and more") for n, t in enumerate(texts)]
+    docs += [(10, "what is 13 * 7 + 3 - 4 ?"), (11, "Ann Lee, Bob Ray, Tom Dow"), (12, "x 1 2 3 4 5 6 7 9 9 10 11 12")]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(0, 0), (1, 0), (2, 2), (3, 3), (4, 4)}
+    assert got[0, 0]["exact"] and got[0, 0]["n_items"] == 2 and (got[3, 3]["n_windows"], got[3, 3]["n_item_windows"]) == (6, 6)

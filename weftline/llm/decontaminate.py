@@ -7,8 +7,11 @@ are lower-cased. Windows of WINDOW such tokens are joined by hash with those of
 the benchmark's items, so that a question is found whatever its parameters. Then
 the values in the slots are compared: along one alignment each of the item's
 values must stand for one value of the document. Windows without slots always
-count. A document is contaminated by an item when it holds at least SHARE of
-the item's windows.
+count. Windows of which more than half are slots would be met anywhere and are
+left out there. Beside these, windows of WINDOW words as they are (in lower case)
+are joined in the same way, so that an item is found word for word whatever
+it is made of. A document is contaminated by an item when it holds at least
+SHARE of the item's windows of either sort.
 
 A bit map of the benchmark's windows, in the folder that all executors share,
 sorts out the other windows of a document before anything is shuffled; it may
@@ -26,13 +29,15 @@ from pyspark.sql import functions as F
 
 from . import lean, store, words
 from .columns import aside
-from .repeats import RANGE_BYTES, U64, bit_map, in_map
+from .repeats import RANGE_BYTES, U64, bit_map, in_map, windows
 
 WINDOW = 8
 SHARE = 0.3
 #: Tokens that an item needs; shorter ones would be found in any text.
 LEAST = 5
 NUM, NAME, UNIT = (U64(words.mix_int(i)) for i in (101, 102, 103))
+#: Sets the hashes of windows of words apart from those of templates.
+PLAIN = U64(words.mix_int(104))
 
 #: Units, as they stand after a number.
 UNITS = """
@@ -80,9 +85,9 @@ def _capital(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Templates:
-    """Some rows' canonical tokens, their slots' values (0: none), and where each row's begin."""
+    """Some rows' canonical tokens, their slots' values (0: none), and where each row's begin; their words, and the word that each token begins with."""
 
-    __slots__ = ("rows", "tokens", "slots", "first")
+    __slots__ = ("rows", "tokens", "slots", "first", "words", "at")
 
     def __init__(self, w: words.Words):
         data, starts, ends, h = w.data, w.starts, w.ends, w.hashes
@@ -117,10 +122,10 @@ class Templates:
             many = (last - keep) > 1
             slot = np.where(many, words.mix(total[last] - total[keep]), slot[keep])
             token = token[keep]
-            self.first = np.searchsorted(keep, w.first)
+            self.first, self.at = np.searchsorted(keep, w.first), keep
         else:
-            self.first = w.first
-        self.tokens, self.slots = token, slot
+            self.first, self.at = w.first, np.arange(n)
+        self.tokens, self.slots, self.words = token, slot, w
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, starts (among all tokens) and hashes of the windows of k tokens, at least half of which are words."""
@@ -132,6 +137,11 @@ class Templates:
         at = np.flatnonzero((row[k - 1 :] == row[: len(row) - k + 1]) & (2 * (plain[k:] - plain[:-k]) >= k))
         return row[at], at, h[at]
 
+    def plain(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, starts (among all words) and hashes of the windows of k words."""
+        at, row, h = windows(self.words, k)
+        return row, at, h ^ PLAIN
+
 
 _units: list[np.ndarray] = []
 
@@ -166,33 +176,52 @@ def _hash(*parts: np.ndarray) -> np.int64:
 
 
 def _items(benchmark: DataFrame, window: int, least: int, text: str) -> DataFrame:
-    """item_id, class (hash of all its tokens and of which slots are equal), key (hash of its values), k, pos, h, slots and total of each window of each item."""
+    """Each window of each item, with its item_id, class (hash of its tokens and of which slots are equal) and key (hash of its values).
+
+    variant is null for windows of tokens. For windows of words, which have no
+    slots, it is a hash of the class and the words that each token has, so that
+    pos is the same place in all items of a variant.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in templates(b.column(1)):
                 for j, i in enumerate(t.rows):
                     lo, hi = int(t.first[j]), int(t.first[j + 1])
-                    if hi - lo < least:
+                    span = t.words.of(j)
+                    size = int(span.stop - span.start)
+                    if size < least:
                         continue
-                    one = Templates.__new__(Templates)
-                    one.rows, one.tokens, one.slots, one.first = range(1), t.tokens[lo:hi], t.slots[lo:hi], np.array([0, hi - lo])
-                    k = min(window, hi - lo)
-                    _, at, h = one.windows(k)
-                    n = len(at)
-                    whole, key = _hash(one.tokens, _equal(one.slots)), _hash(one.slots)
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, b.schema.field(0).type), pa.array([whole] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array([k] * n, pa.int32()), pa.array(at, pa.int64()), pa.array(h.view(np.int64)), pa.array(_slots(one, at, k), pa.binary()), pa.array([n] * n, pa.int64())], names=["item_id", "class", "key", "k", "pos", "h", "slots", "total"])
+                    tokens, slots = t.tokens[lo:hi], t.slots[lo:hi]
+                    whole, key = _hash(tokens, _equal(slots)), _hash(slots)
+                    k = min(window, size)
+                    h = words.runs(t.words.hashes[span], k) ^ PLAIN
+                    variant = _hash(np.array([whole]).view(U64), words.mix(np.diff(t.at[lo:hi], append=span.stop).astype(U64)))
+                    sorts = [(variant, k, np.arange(len(h)), h, [None] * len(h))]
+                    if hi - lo >= least:
+                        one = Templates.__new__(Templates)
+                        one.rows, one.tokens, one.slots, one.first = range(1), tokens, slots, np.array([0, hi - lo])
+                        k = min(window, hi - lo)
+                        _, at, h = one.windows(k)
+                        sorts.append((None, k, at, h, _slots(one, at, k)))
+                    for variant, k, at, h, values in sorts:
+                        n = len(at)
+                        same = lambda x, kind, n=n: pa.array([x] * n, kind)
+                        yield pa.RecordBatch.from_arrays([same(b.column(0)[i].as_py(), b.schema.field(0).type), same(whole, pa.int64()), same(key, pa.int64()), same(variant, pa.int64()), same(k, pa.int32()), pa.array(at, pa.int64()), pa.array(h.view(np.int64)), pa.array(values, pa.binary()), same(n, pa.int64())], names=["item_id", "class", "key", "variant", "k", "pos", "h", "slots", "total"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return benchmark.select("item_id", text).mapInArrow(lean.batches(run), f"item_id {kind}, class long, key long, k int, pos long, h long, slots binary, total long")
+    return benchmark.select("item_id", text).mapInArrow(lean.batches(run), f"item_id {kind}, class long, key long, variant long, k int, pos long, h long, slots binary, total long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = LEAST, text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, n_item_windows, share, exact and n_items of each document and item it holds.
 
     Items of one template whose equal values stand in the same slots are one:
-    item_id is their smallest, n_items their number. exact: no slot's value was changed. Items of fewer than least tokens
-    are not looked for; those shorter than a window are one window. Null texts
+    item_id is their smallest, n_items their number. n_windows, n_item_windows and share are those of the template's
+    windows or, where their share is larger, of the windows of words as they
+    are. exact: no slot's value was changed. Items of fewer than least words
+    are not looked for, those of fewer tokens only word for word; those shorter
+    than a window are one window. Null texts
     and texts without tokens hold nothing and are no items; rows with the same
     doc_id and text are one; a null doc_id is reported as null. Empty tables give
     empty results.
@@ -207,8 +236,9 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: flo
     found = _items(benchmark, window, least, text)
     # Items without an id, and repeated rows of one, count once. The values compared are those of one row.
     first = F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "key")).alias("first")
-    reps = found.groupBy("class").agg(first, F.count_distinct(F.struct("item_id")).alias("n_items")).select("class", "first.item_id", "first.key", "n_items")
-    items = store.written(spark, found.drop("item_id").join(reps, ["class", "key"]).dropDuplicates(["class", "pos"]), "items")
+    reps = found.groupBy("class").agg(first, F.count_distinct(F.struct("item_id")).alias("n_items")).select("class", "first.item_id", F.col("first.key").alias("own"), "n_items")
+    items = found.drop("item_id").join(reps, "class").where("variant is not null or key = own").drop("key", "own")
+    items = store.written(spark, items.dropDuplicates(["class", "variant", "pos", "h"]), "items")
     size = int(str(items._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n = 1 << (size // RANGE_BYTES).bit_length()
     uri = store.folder(spark, "windows")
@@ -220,7 +250,7 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: flo
 
     spread = F.pmod(F.col("h"), F.lit(n)).cast("int").alias("r")
     present = {x.r for x in items.select(spread, "h").groupBy("r").applyInArrow(lean.group(write), "r int").collect()}  # at most n small numbers
-    lengths = [x.k for x in items.select("k").distinct().collect()]  # at most window small numbers
+    lengths = [(x.k, x.plain) for x in items.select("k", F.col("variant").isNotNull().alias("plain")).distinct().collect()]  # at most 2 * window small numbers
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = {r: store.get(uri, f"w-{r}") for r in present}
@@ -238,19 +268,20 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: flo
 
         for b in batches:
             for t in templates(b.column(2)):
-                for k in lengths:
-                    row, at, h = t.windows(k)
+                for k, plain in lengths:
+                    row, at, h = t.plain(k) if plain else t.windows(k)
                     some = hit(h)
                     row, at, h = row[some], at[some], h[some]
                     if len(at):
                         which = pa.array(row + t.rows.start)
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), pa.array(at - t.first[row]), pa.array(h.view(np.int64)), pa.array(_slots(t, at, k), pa.binary())], names=["doc_id", "_k", "at", "h", "values"])
+                        values = [None] * len(at) if plain else _slots(t, at, k)
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), pa.array(at - (t.words.first if plain else t.first)[row]), pa.array(h.view(np.int64)), pa.array(values, pa.binary())], names=["doc_id", "_k", "at", "h", "values"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("_k"), text)
     hits = rows.mapInArrow(lean.batches(probe), f"doc_id {kind}, _k long, at long, h long, values binary")
     met = hits.join(items, "h").withColumn("shift", F.col("at") - F.col("pos"))
-    met = met.select("doc_id", "_k", "item_id", "class", "pos", "shift", "total", "n_items", "slots", "values")
+    met = met.select("doc_id", "_k", "item_id", "class", "variant", "pos", "shift", "total", "n_items", "slots", "values")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each window: the item's values, and the document's, slot by slot."""
@@ -264,14 +295,16 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: flo
             yield keep.append_column("pairs", pa.array(pairs, pa.list_(pa.struct([("s", pa.int64()), ("v", pa.int64())]))))
 
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    met = met.mapInArrow(lean.batches(compare), f"doc_id {kind}, _k long, item_id {item_kind}, class long, pos long, shift long, total long, n_items long, pairs array<struct<s:long,v:long>>")
+    met = met.mapInArrow(lean.batches(compare), f"doc_id {kind}, _k long, item_id {item_kind}, class long, variant long, pos long, shift long, total long, n_items long, pairs array<struct<s:long,v:long>>")
     met = store.written(spark, met, "met")
     line = ["_k", "class", "shift"]
     values = met.select(*line, F.explode("pairs").alias("p")).groupBy(*line, "p.s").agg(F.min("p.v").alias("lo"), F.max("p.v").alias("hi"))
     sound = values.groupBy(*line).agg(F.bool_and(F.col("lo") == F.col("hi")).alias("sound"), F.bool_and((F.col("lo") == F.col("s")) & (F.col("hi") == F.col("s"))).alias("same"))
     counted = met.join(sound, line, "left").where("size(pairs) = 0 or sound")
-    out = counted.groupBy("doc_id", "_k", "class", "item_id", "total", "n_items").agg(F.count_distinct("pos").alias("n_windows"), F.coalesce(F.bool_and("same"), F.lit(True)).alias("exact"))
-    out = out.withColumn("share", F.col("n_windows") / F.col("total")).where(F.col("share") >= share)
+    same = F.bool_and(F.when(F.col("variant").isNull(), F.col("same")))
+    parts = counted.groupBy("doc_id", "_k", "class", "variant", "item_id", "total", "n_items").agg(F.count_distinct("pos").alias("n_windows"), F.coalesce(same, F.lit(True)).alias("exact"))
+    parts = parts.withColumn("share", F.col("n_windows") / F.col("total")).where(F.col("share") >= share)
+    out = parts.groupBy("doc_id", "_k", "class", "item_id", "n_items").agg(F.max(F.struct("share", "exact", "n_windows", "total")).alias("p")).select("doc_id", "_k", "item_id", "n_items", "p.*")
     return out.select("_k", "doc_id", "item_id", "n_windows", F.col("total").alias("n_item_windows"), "share", "exact", "n_items")
 
 
