@@ -129,3 +129,26 @@ def test_items_of_slots_are_found_word_for_word(spark):
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert set(got) == {(0, 0), (1, 0), (2, 2), (3, 3), (4, 4)}
     assert got[0, 0]["exact"] and got[0, 0]["n_items"] == 2 and (got[3, 3]["n_windows"], got[3, 3]["n_item_windows"]) == (6, 6)
+
+
+def test_first_words_within_a_sentence(spark):
+    items = [(1, "What is the capital of France"), (2, "Which Dane wrote most of it"), (3, "Hours of work were lost last year"), (4, "what color are the tall trees")]
+    docs = [
+        (1, "in the quiz What is the capital of France was asked"), (2, "then the quiz What is the capital of Spain was asked"), (3, "so Rome is the capital of Italy as said"), (4, "for Ann What is the capital of Peru was hard"),
+        (5, "on and on Which Swede wrote most of it is unclear"), (6, "on and on Old Which Swede wrote most of it is unclear"), (7, "some 5 hours of work were lost last year"), (8, "see What color are the tall trees now"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 1), (4, 1), (5, 2), (6, 2), (7, 3), (8, 4)}
+    assert got[1, 1]["exact"] and not got[2, 1]["exact"]
+
+
+def test_opened_windows():
+    texts = ["see Ann Lee now or 5 km with Joe Fox", "x y", "", "then Bob"]
+    for t in decontaminate.templates(pa.array(texts)):
+        row, at, h, slots = t.opened(3)
+        got = [(int(r), int(a - t.first[r]), s.tolist()) for r, a, s in zip(row, at, slots)]
+        ann = int(t.slots[t.first[0] + 1])
+        # ann NAME now; lee now or; km with NAME.
+        assert got == [(0, 0, [0, ann, 0]), (0, 1, [0, 0, 0]), (0, 5, [0, 0, int(t.slots[t.first[1] - 1])])]
+        (lee,) = decontaminate.templates(pa.array(["lee now or"]))
+        assert h[1] == lee.windows(3)[2][0]

@@ -13,6 +13,10 @@ are joined in the same way, so that an item is found word for word whatever
 it is made of. A document is contaminated by an item when it holds at least
 SHARE of the item's windows of either sort.
 
+The first word of an item is read as a word, though the same may be a name or a
+unit where it follows others in a document. So windows of a document that begin
+with one are read with it as a word too, to be met by items' first windows only.
+
 A bit map of the benchmark's windows, in the folder that all executors share,
 sorts out the other windows of a document before anything is shuffled; it may
 let some through, and the join sees them.
@@ -137,6 +141,29 @@ class Templates:
         at = np.flatnonzero((row[k - 1 :] == row[: len(row) - k + 1]) & (2 * (plain[k:] - plain[:-k]) >= k))
         return row[at], at, h[at]
 
+    def opened(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows of k tokens whose first is a word read as a name or unit otherwise, at least half of which are words: rows, starts, hashes, and the tokens' slots.
+
+        A name of several words may be cut after any; what is left of it is the second token, with the value of all.
+        """
+        word = np.arange(len(self.words.hashes))
+        of = np.searchsorted(self.at, word, "right") - 1
+        word = word[np.isin(self.tokens[of], (NAME, UNIT))]
+        of = of[word]
+        row = np.searchsorted(self.first, of, "right") - 1
+        # The token that follows the word: the same where some of the name is left.
+        left = word + 1 < np.append(self.at, len(self.words.hashes))[of + 1]
+        next_ = of + 1 - left
+        fits = next_ + k - 1 <= self.first[row + 1]
+        word, row, next_ = word[fits], row[fits], next_[fits]
+        if not len(word):
+            return row, next_, np.empty(0, U64), np.empty((0, k), U64)
+        at = next_[:, None] + np.arange(k - 1)
+        slots = np.concatenate([np.zeros((len(at), 1), U64), self.slots[at]], axis=1)
+        some = np.flatnonzero(2 * (slots == 0).sum(axis=1) >= k)
+        tokens = np.concatenate([self.words.hashes[word, None], self.tokens[at]], axis=1)[some]
+        return row[some], next_[some] - 1, words.runs(tokens.ravel(), k)[::k], slots[some]
+
     def plain(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, starts (among all words) and hashes of the windows of k words."""
         at, row, h = windows(self.words, k)
@@ -266,6 +293,10 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: flo
                     out[at] = in_map(maps[int(r)], h[at])
             return out
 
+        def record(b: pa.RecordBatch, which: pa.Array, at: np.ndarray, h: np.ndarray, values: list, opened: bool) -> pa.RecordBatch:
+            columns = [b.column(0).take(which), b.column(1).take(which), pa.array(at), pa.array(h.view(np.int64)), pa.array(values, pa.binary()), pa.array([opened] * len(at))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "_k", "at", "h", "values", "opened"])
+
         for b in batches:
             for t in templates(b.column(2)):
                 for k, plain in lengths:
@@ -275,12 +306,18 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: flo
                     if len(at):
                         which = pa.array(row + t.rows.start)
                         values = [None] * len(at) if plain else _slots(t, at, k)
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), pa.array(at - (t.words.first if plain else t.first)[row]), pa.array(h.view(np.int64)), pa.array(values, pa.binary())], names=["doc_id", "_k", "at", "h", "values"])
+                        yield record(b, which, at - (t.words.first if plain else t.first)[row], h, values, False)
+                    if not plain:
+                        row, at, h, slots = t.opened(k)
+                        some = np.flatnonzero(hit(h))
+                        if len(some):
+                            values = [x.tobytes() if x.any() else None for x in slots[some]]
+                            yield record(b, pa.array(row[some] + t.rows.start), (at - t.first[row])[some], h[some], values, True)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("_k"), text)
-    hits = rows.mapInArrow(lean.batches(probe), f"doc_id {kind}, _k long, at long, h long, values binary")
-    met = hits.join(items, "h").withColumn("shift", F.col("at") - F.col("pos"))
+    hits = rows.mapInArrow(lean.batches(probe), f"doc_id {kind}, _k long, at long, h long, values binary, opened boolean")
+    met = hits.join(items, "h").where("not opened or (pos = 0 and variant is null)").withColumn("shift", F.col("at") - F.col("pos"))
     met = met.select("doc_id", "_k", "item_id", "class", "variant", "pos", "shift", "total", "n_items", "slots", "values")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
