@@ -96,3 +96,18 @@ def test_stage(spark, docs, rows):
     assert Counter(r["doc_id"] for r in kept.collect()) == want
     texts = {i: t for i, t, *_ in rows}
     assert all(r["text"] == texts[r["doc_id"]] for r in kept.where("doc_id is not null").collect())
+
+
+def test_each_statistic_rejects_by_itself(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(4, 8)))
+    rows = [(i, " ".join(word() for _ in range(r.randrange(150, 250)))) for i in range(300)]
+    few = [word() for _ in range(12)]
+    rows += [(1000, "\n".join(r.choice(few) for _ in range(90)))]
+    passage = [word() for _ in range(49)]
+    rows += [(1001, " ".join([word() for _ in range(102)] + passage + passage))]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
+    out = {x["doc_id"]: x for x in q.quality(df).collect()}
+    assert not out[1000]["base_failed"] and out[1000]["n_repeat_words"] < 0.3 * out[1000]["n_words"] and not out[1000]["kept"]
+    assert not out[1001]["base_failed"] and out[1001]["n_dup_lines"] == 0 and not out[1001]["kept"]
+    assert sum(not out[i]["kept"] for i in range(300)) == 0

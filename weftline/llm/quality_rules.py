@@ -37,9 +37,10 @@ LEAST = 60
 STEPS = 4
 #: Of squared distance: BINS_PER_DOUBLING bins for each factor of two.
 BINS_PER_DOUBLING = 16
-#: Quantile of the chi-squared distribution with P degrees of freedom that the cutoff is, and its value.
-CUTOFF_QUANTILE = 1 - 1e-9
-CUTOFF = 47.8
+#: Quantile of the chi-squared distribution with P degrees of freedom that the cutoff is, and its value. Over FLOOR alone
+#: duplicate lines reach 35.9 and repeated words (log(0.1) to log(0.6)) 20.1, so either can reject a text by itself.
+CUTOFF_QUANTILE = 0.999
+CUTOFF = 18.47
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
