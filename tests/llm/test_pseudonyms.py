@@ -85,3 +85,26 @@ def test_query(spark, docs, none):
     assert staged.columns == df.columns and sorted(str(r["kinds"]) for r in staged.collect()) == ["None", "None", "clash", "x", "y"]
     staged = pseudonyms.stage(spark, docs, "")
     assert staged.columns == docs.columns and staged.where("n_chars <> length(text)").count() == 0
+
+
+@pytest.mark.parametrize("value, kind", [
+    ("2021-03-04T10:00:00Z", "day"), ("3/4/2021", "day"), ("2021-3-4", "day"), ("3/14/2021", "day"), ("03/4/2021", "day"), ("12/9/2021", "day"),
+    ("3782 822463 10005", "card"), ("3782-822463-10005", "card"), ("555 123 4567", "phone"), ("BE68 5390 0754 7034 BANK", "iban"), ("BE68 5390 0754 7034 BANK CODE", "iban"),
+])
+def test_more_forms(value, kind):
+    go = Pseudonyms(b"k")
+    out = go(f"so {value} it was")
+    assert dict(go.found) == {kind: 1} and value[:12] not in out and Pseudonyms(b"k", True)(out) == f"so {value} it was"
+    assert re.sub(r"[0-9]", "0", out) == re.sub(r"[0-9]", "0", f"so {value} it was")
+
+
+def test_dates_link_across_timestamps():
+    go = Pseudonyms(b"k")
+    assert go("2021-03-04T10:00:00Z").startswith(go("2021-03-04") + "T10:00:00Z") and go("2021-03-04Tx 2021-03-04x") == "2021-03-04Tx 2021-03-04x"
+
+
+def test_short_dates_are_permuted():
+    go, back = Pseudonyms(b"k"), Pseudonyms(b"k", True)
+    for shape in ("{d}/{m}/2021", "{m}/{d}/2021", "2021-{m}-{d}", "{d:02d}.{m}.2021"):
+        values = {shape.format(d=d, m=m) for d in range(1, 29) for m in range(1, 13)}
+        assert len({go(v) for v in values}) == len(values) and all(back(go(v)) == v for v in values)

@@ -87,6 +87,22 @@ def card(p: Permutation, s: str, back: bool) -> str | None:
     return _refill(s, y + luhn_digit(y))
 
 
+#: Characters of each country's IBANs.
+IBAN_LENGTHS = {
+    c: n for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items() for c in cs.split()
+}
+
+
+def _iban_ends(s: str) -> list[int]:
+    """Where s may end, between words: first at its country's length, so that a pseudonym is read as its value was, then the longest."""
+    ends = [len(s), *(m.start() for m in re.finditer(" ", s))]
+    own = [i for i in ends if len(s[:i].replace(" ", "")) == IBAN_LENGTHS.get(s[:2])]
+    return own + sorted(set(ends) - set(own), reverse=True)
+
+
 def iban(p: Permutation, s: str, back: bool) -> str | None:
     d = s.replace(" ", "").upper()
     number = lambda t: int("".join(str(int(c, 36)) for c in t))
@@ -132,7 +148,8 @@ def day(p: Permutation, s: str, back: bool) -> str | None:
     """A date between 1900 and 2099, written year first, or day first, or, where that is none, month first."""
     a, b, c = map(int, re.split(r"[-/.]", s))
     sep = re.search(r"[-/.]", s)[0]
-    orders = ["ymd"] if len(re.split(r"[-/.]", s)[0]) == 4 else ["dmy", "mdy"]
+    sizes = [len(x) for x in re.split(r"[-/.]", s)]
+    orders = ["ymd"] if sizes[0] == 4 else ["dmy", "mdy"]
     for order in orders:
         v = dict(zip(order, (a, b, c)))
         try:
@@ -141,12 +158,15 @@ def day(p: Permutation, s: str, back: bool) -> str | None:
             continue
         if _FIRST <= at <= _LAST:
             # Days past the 12th are read alike either way round; others are kept among themselves, so that the reading stays.
-            def ok(x: int, order: str = order) -> bool:
+            # Days and months of one digit stay such.
+            size = dict(zip(order, sizes))
+
+            def ok(x: int, order: str = order, size: dict = size) -> bool:
                 t = date.fromordinal(_FIRST + x)
-                return order == "ymd" or order == "dmy" or t.day > 12
+                return (order == "ymd" or order == "dmy" or t.day > 12) and (size["d"] == 2 or t.day < 10) and (size["m"] == 2 or t.month < 10)
 
             t = date.fromordinal(_FIRST + p(_LAST - _FIRST + 1, at - _FIRST, b"date" + order.encode(), back, ok))
-            w = {"y": f"{t.year:04d}", "m": f"{t.month:02d}", "d": f"{t.day:02d}"}
+            w = {"y": f"{t.year:04d}", "m": f"{t.month:0{size['m']}d}", "d": f"{t.day:0{size['d']}d}"}
             return sep.join(w[k] for k in order)
     return None
 
@@ -193,12 +213,13 @@ SECRET = re.compile(r"(?i)(?<![A-Z0-9])((?:api[_-]?key|access[_-]?key|auth[_-]?t
 NUMBER = re.compile(
     r"(?<![\w.+])(?:"
     r"(?P<ipv4>\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
-    r"|(?P<day>(?:\d{4}(?P<s>[-/.])\d{2}(?P=s)\d{2}|\d{2}(?P<q>[-/.])\d{2}(?P=q)\d{4})(?![\d-]))"
+    r"|(?P<day>(?:\d{4}(?P<s>[-/.])\d{1,2}(?P=s)\d{1,2}|\d{1,2}(?P<q>[-/.])\d{1,2}(?P=q)\d{4})(?![\d-]))"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))"
-    r"|(?P<card>\d{4}(?P<t>[ -])\d{4}(?P=t)\d{4}(?P=t)\d{1,7}(?!\d)|\d{13,19}(?!\d))"
+    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|\d{3} \d{3} \d{4}(?![\d-]))"
+    r"|(?P<card>\d{4}(?P<t>[ -])\d{4}(?P=t)\d{4}(?P=t)\d{1,7}(?!\d)|\d{4}(?P<u>[ -])\d{6}(?P=u)\d{5}(?!\d)|\d{13,19}(?!\d))"
     r"|(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r")(?![A-Za-z_])"
+    # A time may follow a date.
+    r")(?(day)(?!(?!T\d\d)[A-Za-z_])|(?![A-Za-z_]))"
 )
 DIGITS = re.compile(r"\d\D?\d")
 KINDS: dict[str, Callable[[Permutation, str, bool], str | None]] = {"ipv4": ipv4, "day": day, "ssn": ssn, "phone": phone, "card": card, "iban": iban}
@@ -213,6 +234,11 @@ class Pseudonyms:
         self.found: Counter = Counter()
 
     def _put(self, kind: str, s: str) -> str:
+        if kind == "iban" and " " in s:
+            # Words may follow that look like a part of it; those may hold values of their own.
+            at = next((i for i in _iban_ends(s) if self.value(kind, s[:i]) is not None), len(s))
+            if at < len(s):
+                return self._put(kind, s[:at]) + self._plain(s, at, len(s))
         out = self.value(kind, s)
         if out is None:
             return s
