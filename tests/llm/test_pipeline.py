@@ -14,6 +14,7 @@ def test_stages_take_effect(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, ids = docs.columns, lambda d: sorted(r["doc_id"] for r in d.select("doc_id").collect())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "jaccard_join", "decontaminate", "pseudonyms", "sentence_pieces"]
+    spark.conf.set(pseudonyms.KEY_SETTING, "named")
     for name, stage in corpus_pipeline.STAGES:
         out = store.written(spark, stage(spark, docs, DATA), "test")
         if name == "quality_rules":
@@ -32,6 +33,7 @@ def test_stages_take_effect(spark):
             back = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(out, back=True).collect()}
             assert back == {r["doc_id"]: r["text"] for r in docs.collect()}
         docs = out
+    spark.conf.unset(pseudonyms.KEY_SETTING)
     assert docs.where("not round_trip").count() == 0
 
 

@@ -1,7 +1,10 @@
+import ipaddress
 import random
 import re
-from datetime import date
+from datetime import date, datetime
+from itertools import product
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,6 +12,7 @@ from hypothesis import strategies as st
 from weftline.llm import pseudonyms
 from weftline.llm.pseudonyms import Permutation, Pseudonyms, luhn_digit
 
+KEY = b"a key of the tests"
 TEXT = (
     "card 4149601755386017, 4111 1111 1111 1111 bad 4149601755386018 ip 192.168.0.1. 999.1.1.1 tel +1 (521) 555-6210 +442079460958 (212) 555-1234 212-555-1234 ssn 123-45-6789 000-12-3456 "
     'd 2020-02-29 2021-02-29 31/12/1999 12/31/1999 mail hein.19@mail5.example.com### token = "1eb9c654e721b4f812088970e66a6345cee33dd6" TOKEN = "1EB9C654E721B4F812088970E66A6345CEE33DD6"!! '
@@ -23,7 +27,7 @@ def test_permutations(n):
     assert sorted(got) == list(range(n)) and [p(n, y, b"t", True) for y in got] == list(range(n))
 
 
-@given(st.sampled_from([10**15, 1 << 32, 16**40, 7**60, 36**20]), st.integers(0, 1 << 200), st.binary(max_size=4))
+@given(st.sampled_from([10**15, 1 << 32, 10**19, 7**60, 36**200]), st.integers(0, 1 << 1100), st.binary(max_size=4))
 @settings(max_examples=100, deadline=None)
 def test_large_permutations(n, x, tweak):
     p = Permutation(b"k")
@@ -74,13 +78,13 @@ def test_any_text_can_be_turned_back_or_is_left(t):
 
 def test_query(spark, docs, none):
     df = spark.createDataFrame([(1, TEXT, "clash"), (2, None, None), (2, None, None), (3, "", "x"), (None, "4149601755386017", "y")], "doc_id long, text string, kinds string")
-    out = sorted(pseudonyms.pseudonymise(df).collect(), key=str)
+    out = sorted(pseudonyms.pseudonymise(df, KEY).collect(), key=str)
     assert len(out) == 5 and sum(r["n_private"] for r in out) == 18 and sum(r["text"] is None for r in out) == 2
-    again = pseudonyms.pseudonymise(pseudonyms.pseudonymise(df), back=True)
+    again = pseudonyms.pseudonymise(pseudonyms.pseudonymise(df, KEY), KEY, back=True)
     assert sorted((str(r["text"]) for r in again.collect())) == sorted(str(r["text"]) for r in df.collect())
     one = next(r["text"] for r in out if r["doc_id"] is None)
     assert one in next(r["text"] for r in out if r["doc_id"] == 1)
-    assert pseudonyms.pseudonymise(none).collect() == []
+    assert pseudonyms.pseudonymise(none, KEY).collect() == []
     staged = pseudonyms.stage(spark, df, "")
     assert staged.columns == df.columns and sorted(str(r["kinds"]) for r in staged.collect()) == ["None", "None", "clash", "x", "y"]
     staged = pseudonyms.stage(spark, docs, "")
@@ -108,3 +112,97 @@ def test_short_dates_are_permuted():
     for shape in ("{d}/{m}/2021", "{m}/{d}/2021", "2021-{m}-{d}", "{d:02d}.{m}.2021"):
         values = {shape.format(d=d, m=m) for d in range(1, 29) for m in range(1, 13)}
         assert len({go(v) for v in values}) == len(values) and all(back(go(v)) == v for v in values)
+
+
+@pytest.mark.parametrize("sizes", [[2], [3, 2], [2, 3, 2], [5, 4, 3, 2]])
+def test_string_permutations(sizes):
+    p, k = Permutation(b"k"), np.array(sizes)
+    every = list(product(*(range(n) for n in sizes)))
+    got = [tuple(p.string(k, np.array(x), b"t").tolist()) for x in every]
+    assert sorted(got) == every and [tuple(p.string(k, np.array(y), b"t", True).tolist()) for y in got] == every
+
+
+@pytest.mark.parametrize("n", [16, 17, 34, 100, 300, 600, 1025, 2000, 5000])
+@pytest.mark.parametrize("letters", ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_every_place_of_a_secret_changes_as_often_as_chance_has_it(n, letters):
+    r = random.Random(n)
+    same, runs = np.zeros(n), 60
+    for _ in range(runs):
+        s = "".join(r.choice(letters) for _ in range(n))
+        out = pseudonyms.secret(Permutation(b"k"), s, False)
+        assert pseudonyms.secret(Permutation(b"k"), out, True) == s and len(out) == n
+        same += np.array([x == y for x, y in zip(s, out)])
+    # One in 10 to 26 by chance: 60 tries give over 24 for none of some thousand places.
+    assert same.max() <= 24 and 0.02 < same.mean() / runs < 0.12
+    one = pseudonyms.secret(Permutation(b"k"), "a1" * (n // 2), False)
+    two = pseudonyms.secret(Permutation(b"k"), "a1" * (n // 2 - 1) + "a2", False)
+    assert sum(x == y for x, y in zip(one, two)) < 0.3 * n + 6
+
+
+def test_long_values_go_whole():
+    go, back = Pseudonyms(b"k"), Pseudonyms(b"k", True)
+    s = "".join(random.Random(3).choice("abcdefXYZ0189_/") for _ in range(300_000))
+    out = go(f'token = "{s}" end')
+    assert dict(go.found) == {"secret": 1} and back(out) == f'token = "{s}" end'
+    for i in range(0, len(s), 30_000):
+        assert out[9 + i : 39 + i] != s[i : i + 30]
+    local = "a" * 5000
+    assert (mail := go(f"{local}@example.com"))[:1000] != local[:1000] and back(mail) == f"{local}@example.com"
+
+
+def plain_kind(w):
+    """What a word by itself is, by the standard library and sums written out."""
+    if re.fullmatch(r"\d+\.\d+\.\d+\.\d+", w):
+        try:
+            return "ipv4" if ipaddress.IPv4Address(w) is not None else None
+        except ValueError:
+            return None
+    for shape in ("%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%d-%m-%Y", "%d/%m/%Y", "%d.%m.%Y", "%m-%d-%Y", "%m/%d/%Y", "%m.%d.%Y"):
+        try:
+            if re.fullmatch(r"\d{1,4}(.)\d\d?\1\d{1,4}", w) and 1900 <= datetime.strptime(w, shape).year <= 2099:
+                return "day"
+        except ValueError:
+            pass
+    if m := re.fullmatch(r"(\d{3})-(\d\d)-(\d{4})", w):
+        a, b, c = map(int, m.groups())
+        return "ssn" if a not in (0, 666) and a < 900 and b and c else None
+    if re.fullmatch(r"\d{13,19}", w) and len(set(w)) > 1:
+        total = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(w[::-1]))
+        return "card" if total % 10 == 0 else None
+    return None
+
+
+def test_against_a_plain_detector():
+    """Random words of the shapes of numbers and dates, one by one and in texts: found, left alone, linked, valid again."""
+    r = random.Random(12)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    made = [
+        lambda: ".".join(str(r.randrange(300)) for _ in range(4)), lambda: f"{r.randrange(1890, 2110)}{(s := r.choice('-/.'))}{r.randrange(14):02d}{s}{r.randrange(33):02d}",
+        lambda: f"{r.randrange(33):02d}{(s := r.choice('-/.'))}{r.randrange(14):02d}{s}{r.randrange(1890, 2110)}", lambda: f"{r.choice(['000', '666', '9' + digits(2), digits(3)])}-{digits(2)}-{digits(4)}",
+        lambda: digits(r.randrange(12, 21)), lambda: (x := digits(r.randrange(12, 19))) + luhn_digit(x), lambda: digits(r.randrange(1, 6)), lambda: f"{digits(3)}.{digits(2)}", lambda: "word",
+    ]
+    words = list({r.choice(made)() for _ in range(3000)})
+    go, back = Pseudonyms(b"k"), Pseudonyms(b"k", True)
+    found = {}
+    for w in words:
+        go.found.clear()
+        found[w] = go(w)
+        want = plain_kind(w)
+        assert dict(go.found) == ({want: 1} if want else {}), w
+        assert plain_kind(found[w]) == want and back(found[w]) == w
+    assert len(set(found.values())) == len(words)
+    for _ in range(200):
+        some = [r.choice(words) for _ in range(30)]
+        assert go(" and ".join(some)) == " and ".join(found[w] for w in some)
+
+
+def test_without_a_key_it_fails(spark, docs):
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(docs)
+    one, two = (sorted(str(r["text"]) for r in pseudonyms.stage(spark, docs.where("text is not null").selectExpr("doc_id", "concat('ip 10.1.2.3 ', text) as text"), "").limit(5).collect()) for _ in range(2))
+    assert one != two and pseudonyms.run_key(spark) != pseudonyms.run_key(spark)
+    spark.conf.set(pseudonyms.KEY_SETTING, "named")
+    try:
+        assert pseudonyms.key_of(spark) == pseudonyms.run_key(spark) == b"named"
+    finally:
+        spark.conf.unset(pseudonyms.KEY_SETTING)

@@ -8,18 +8,23 @@ the format; where that has fewer values than the network, it is walked until a
 valid one is met, which keeps it a permutation. Equal values have equal
 pseudonyms wherever they stand, different ones different, and whoever has the
 key can turn them back. E-mail addresses and assigned secrets are permuted in
-the same way, letters within letters and digits within digits.
+the same way, letters within letters and digits within digits, by a network over
+their characters: each half is shifted, character by character, by a stream made
+of all of the other half, so it takes any length and leaves no part as it was.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import secrets
 from collections import Counter
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,23 +34,36 @@ from .columns import aside
 
 ROUNDS = 8
 KEY_SETTING = "weftline.pseudonym.key"
-#: Used where neither the argument nor the session names a key; production must name one.
-DEFAULT_KEY = b"weftline-test-key"
+#: Pseudonyms of longer values are not kept for the next time.
+KEPT = 100
 
 
 class Permutation:
-    """Keyed permutations of 0 .. n-1."""
+    """Keyed permutations of 0 .. n-1, and of strings over given alphabets."""
 
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
     def _f(self, tweak: bytes, i: int, n: int, x: int) -> int:
-        size = max(16, (n.bit_length() + 7) // 8 + 8)
-        return int.from_bytes(hashlib.blake2b(b"%d|%d|%d|" % (i, n, x) + tweak, key=self.key, digest_size=min(size, 64)).digest(), "big")
+        """At least 64 bits more than n has."""
+        message = b"%d|%d|" % (i, len(tweak)) + tweak + b"%d|%d" % (n, x)
+        return int.from_bytes(hashlib.shake_256(self.key + message).digest(n.bit_length() // 8 + 9), "big")
+
+    def string(self, sizes: np.ndarray, x: np.ndarray, tweak: bytes, back: bool = False) -> np.ndarray:
+        """x, whose i-th number is under sizes[i], permuted among all such: two halves, each shifted by a stream made of the other."""
+        half = len(x) // 2
+        parts = [x[:half].astype(np.int64), x[half:].astype(np.int64)]
+        of = [sizes[:half].astype(np.int64), sizes[half:].astype(np.int64)]
+        for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            to, by = i % 2, 1 - i % 2
+            message = b"s%d|%d|%d|" % (i, len(tweak), len(x)) + tweak + parts[by].astype(np.uint8).tobytes()
+            stream = np.frombuffer(hashlib.shake_256(self.key + message).digest(4 * len(parts[to])), "<u4").astype(np.int64)
+            parts[to] = (parts[to] + (-stream if back else stream)) % of[to]
+        return np.concatenate(parts)
 
     def _network(self, n: int, x: int, tweak: bytes, back: bool) -> int:
         """A permutation of 0 .. a*b-1, where a*b is the least such product at or above n."""
-        a = max(1, int(n**0.5)) if n < 1 << 100 else 1 << (n.bit_length() // 2)
+        a = math.isqrt(n)
         b = -(-n // a)
         left, right = divmod(x, b)  # left < a, right < b
         for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
@@ -174,24 +192,34 @@ def day(p: Permutation, s: str, back: bool) -> str | None:
 _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+@lru_cache(8)
+def _tables(sets: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The set of each ASCII character (-1: none), its place in it, and the characters of each."""
+    letters = [np.frombuffer(c.encode(), np.uint8) for c in sets]
+    kind, place = np.full(128, -1), np.zeros(128, np.int64)
+    for i, c in enumerate(letters):
+        kind[c], place[c] = i, np.arange(len(c))
+    return kind, place, letters
+
+
+def _within(p: Permutation, s: str, sets: tuple[str, ...], tweak: bytes, back: bool) -> str:
+    """Each character of s among those of the set it is in; the rest stays."""
+    table, place, letters = _tables(sets)
+    codes = np.frombuffer(s.encode("utf-32-le"), "<u4")
+    kind = np.where(codes < 128, table[np.minimum(codes, 127)], -1)
+    at = np.flatnonzero(kind >= 0)
+    sizes = np.array([len(c) for c in sets])[kind[at]]
+    shape = "".join("0aA"[k] if k >= 0 else c for k, c in zip(kind.tolist(), s)).encode()
+    x = p.string(sizes, place[codes[at]], tweak + shape, back)
+    out = codes.copy()
+    for i, c in enumerate(letters):
+        out[at[kind[at] == i]] = c[x[kind[at] == i]]
+    return out.tobytes().decode("utf-32-le")
+
+
 def classes(p: Permutation, s: str, tweak: bytes, back: bool) -> str:
     """Letters among letters of their case, digits among digits, all in one permutation; the rest stays."""
-    sets = [next((k for k in _SETS if c in k), "") for c in s]
-    n = x = 0
-    n = 1
-    for c, k in zip(s, sets):
-        if k:
-            n *= len(k)
-            x = x * len(k) + k.index(c)
-    shape = "".join("0aA"[_SETS.index(k)] if k else c for c, k in zip(s, sets)).encode()
-    x = p(n, x, tweak + shape, back)
-    out = []
-    for c, k in zip(reversed(s), reversed(sets)):
-        if k:
-            x, r = divmod(x, len(k))
-            c = k[r]
-        out.append(c)
-    return "".join(reversed(out))
+    return _within(p, s, _SETS, tweak, back)
 
 
 def email(p: Permutation, s: str, back: bool) -> str | None:
@@ -203,7 +231,7 @@ def email(p: Permutation, s: str, back: bool) -> str | None:
 def secret(p: Permutation, s: str, back: bool) -> str | None:
     """Hexadecimal strings stay such."""
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s) and re.search(r"[A-Fa-f]", s):
-        out = format(p(16 ** len(s), int(s, 16), b"hex%d" % len(s), back), f"0{len(s)}x")
+        out = _within(p, s.lower(), ("0123456789abcdef",), b"hex", back)
         return out if s == s.lower() else out.upper()
     return classes(p, s, b"secret", back)
 
@@ -230,9 +258,14 @@ class Pseudonyms:
 
     def __init__(self, key: bytes, back: bool = False):
         p = Permutation(key)
-        self.value = lru_cache(1 << 16)(lambda kind, s: {**KINDS, "email": email, "secret": secret}[kind](p, s, back))
+        made = {**KINDS, "email": email, "secret": secret}
+        self.kept = lru_cache(1 << 16)(lambda kind, s: made[kind](p, s, back))
+        self.made = lambda kind, s: made[kind](p, s, back)
         self.found: Counter = Counter()
 
+    def value(self, kind: str, s: str) -> str | None:
+        return self.kept(kind, s) if len(s) <= KEPT else self.made(kind, s)
+
     def _put(self, kind: str, s: str) -> str:
         if kind == "iban" and " " in s:
             # Words may follow that look like a part of it; those may hold values of their own.
@@ -272,13 +305,22 @@ class Pseudonyms:
 
 
 def key_of(spark: SparkSession, key: bytes | None = None) -> bytes:
-    named = spark.conf.get(KEY_SETTING, None)
-    return key or (named.encode() if named else DEFAULT_KEY)
+    """The argument, or what the session names; without either, values can't be given pseudonyms."""
+    key = key or (spark.conf.get(KEY_SETTING, None) or "").encode()
+    if not key:
+        raise ValueError(f"pseudonyms need a key: an argument, or {KEY_SETTING} in the session")
+    return key
+
+
+def run_key(spark: SparkSession) -> bytes:
+    """The session's key, or one drawn for this run and kept nowhere: values are linked within the run, and nobody turns them back."""
+    return key_of(spark, None if spark.conf.get(KEY_SETTING, None) else secrets.token_bytes(32))
 
 
 def pseudonymise(docs: DataFrame, key: bytes | None = None, text: str = "text", back: bool = False) -> DataFrame:
     """docs with private values replaced in text, and n_private and kinds (as 'card:2,email:1') added.
 
+    Without a key, here or as weftline.pseudonym.key of the session, it fails.
     Every row stays. A null text stays null and has none. Nulls, repeated rows,
     empty tables and other columns pass through; columns named n_private or
     kinds are replaced.
@@ -307,11 +349,12 @@ def pseudonymise(docs: DataFrame, key: bytes | None = None, text: str = "text",
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with pseudonyms; n_chars counts the new text."""
+    """Every document, with pseudonyms under run_key; n_chars counts the new text."""
     own, restore = aside(docs, {"doc_id", "text", "n_chars"})
-    out = pseudonymise(own)
+    out = pseudonymise(own, run_key(spark))
     return restore(out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Each document with pseudonyms under run_key."""
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), run_key(spark))
