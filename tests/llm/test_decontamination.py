@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -30,7 +31,8 @@ def plain_tokens(t):
     """Canonical tokens and slots, by regular expressions."""
     t = t or ""
     out = []
-    last_end, stop = 0, True
+    last_end = 0
+    common = {w for w in re.findall("[a-z]+", decontaminate.COMMON if isinstance(decontaminate.COMMON, str) else " ".join(decontaminate.COMMON))}
     for m in re.finditer(r"(?:[A-Za-z0-9\x80-\U0010ffff]|(?<=[0-9])[.,:/](?=[0-9]))+", t):
         s = m[0]
         between = t[last_end : m.start()]
@@ -39,8 +41,8 @@ def plain_tokens(t):
         cap = lambda c: ("A" <= c <= "Z") or ("À" <= c <= "Þ" and c != "×")
         if re.search("[0-9]", s):
             out.append(["<num>", low])
-        elif cap(s[0]) and not stop and len(s) > 1 and not cap(s[1]):
-            if out and out[-1][0] == "<name>":
+        elif cap(s[0]) and len(s) > 1 and not cap(s[1]) and low not in common:
+            if out and out[-1][0] == "<name>" and not stop:
                 out[-1][1] += " " + low
             else:
                 out.append(["<name>", low])
@@ -61,7 +63,7 @@ def test_templates():
             got = t.tokens[t.first[j] : t.first[j + 1]]
             assert len(got) == len(want), texts[i]
             for g, (w, slot), s in zip(got, want, t.slots[t.first[j] : t.first[j + 1]]):
-                assert names.setdefault(w, g) == g and (s != 0) == (slot is not None)
+                assert names.setdefault(w, g) == g and (s != 0) == (slot is not None), (texts[i], w)
     assert len({int(x) for x in names.values()}) == len(names)
 
 
@@ -71,24 +73,158 @@ def test_windows_need_words():
     assert [(int(r), int(a - t.first[r])) for r, a in zip(row, at)] == [(0, 3), (0, 4), (1, 0), (1, 1)]
 
 
+def plain_found(items, docs, window=8, share=decontaminate.SHARE, least=decontaminate.LEAST):
+    """doc_id and smallest item_id of each class that a text holds, straight from the docstring; items by template windows and word windows."""
+    read = {}
+
+    def words_of(t):
+        return [("".join(c.lower() if c.isascii() or "À" <= c <= "Þ" else c for c in m[0])) for m in re.finditer(r"(?:[A-Za-z0-9\x80-\U0010ffff]|(?<=[0-9])[.,:/](?=[0-9]))+", t or "")]
+
+    def shape(t):
+        """Tokens with the number of their words, and which slots are equal."""
+        if t not in read:
+            tokens = plain_tokens(t)
+            spans, at = [], 0
+            for w, slot in tokens:
+                n = len(slot.split(" ")) if w == "<name>" else 1
+                spans.append((at, at + n))
+                at += n
+            read[t] = tokens, spans, words_of(t)
+        return read[t]
+
+    def wordy(win):
+        return 2 * sum(x is None for _, x in win) >= len(win)
+
+    def readings(t, k):
+        """(place to align, tokens, opened) of each window; opened: first word of a name or unit as a word."""
+        tokens, spans, ws = shape(t)
+        for i in range(len(tokens) - k + 1):
+            yield i, tokens[i : i + k], False
+        for i, (w, slot) in enumerate(tokens):
+            if w in ("<name>", "<unit>"):
+                for p in range(*spans[i]):
+                    rest = i if p + 1 < spans[i][1] else i + 1
+                    if rest + k - 1 <= len(tokens):
+                        yield rest - 1, [[ws[p], None], *tokens[rest : rest + k - 1]], p if p else "first"
+
+    classes, out = {}, set()
+    for i, t in items:
+        tokens, spans, ws = shape(t)
+        if ws:
+            slots = [x for _, x in tokens if x is not None]
+            key = tuple(w for w, _ in tokens), tuple(slots.index(x) for x in slots)
+            classes.setdefault(key, []).append((i is None, i, t))
+    for key, members in classes.items():
+        members.sort(key=lambda m: (m[0], m[1] or 0))
+        rep = members[0][2]
+        tokens, spans, ws = shape(rep)
+        for d, text in docs:
+            dtokens, dspans, dws = shape(text)
+            best = 0.0
+            if len(ws) >= least and len(tokens) >= least:
+                k = min(window, len(tokens))
+                own = [(i, i, w) for i, w, o in readings(rep, k) if not o and wordy(w)]
+                total = len(own)
+                if own and own[0][0] == 0:
+                    own += [(0, i, w) for i, w, o in readings(rep, k) if o == "first" and wordy(w)]
+                lines = {}
+                for at, have, opened in readings(text, k):
+                    if wordy(have):
+                        for pos, off, w in own:
+                            if (not opened or pos == 0) and [x for x, _ in w] == [x for x, _ in have]:
+                                lines.setdefault(at - off, []).append((pos, [(x, y) for j, ((_, x), (_, y)) in enumerate(zip(w, have)) if x is not None and not (pos == 0 and j == 0)]))
+                good = set()
+                for hits in lines.values():
+                    pairs = {p for _, ps in hits for p in ps}
+                    sound = len({x for x, _ in pairs}) == len(pairs)
+                    good |= {pos for pos, ps in hits if sound or not ps}
+                best = len(good) / total if total else 0.0
+            variants = {}
+            for *_, t in members:
+                variants.setdefault(tuple(b - a for a, b in shape(t)[1]), []).append(shape(t)[2])
+            for same in variants.values():
+                n = len(same[0])
+                if n < least:
+                    best = max(best, float(dws in same))
+                else:
+                    k = min(window, n)
+                    there = {tuple(dws[j : j + k]) for j in range(len(dws) - k + 1)}
+                    best = max(best, len({j for x in same for j in range(n - k + 1) if tuple(x[j : j + k]) in there}) / (n - k + 1))
+            if best >= share:
+                out.add((d, members[0][1]))
+    return out
+
+
 def test_brute_force(spark, docs, rows):
-    """Items cut from documents are found in those that hold them, and in no others."""
+    """Items cut from documents, and short ones, are found in those that hold them, and in no others."""
     source = [(i, t) for i, t, *_ in rows if t and len(t.split()) > 60 and i is not None][:12]
-    items = [(n, " ".join(t.split()[10:50])) for n, (_, t) in enumerate(source)]
+    items = [(n, " ".join(t.split()[10:50])) for n, (_, t) in enumerate(source)] + [(50, "One two"), (51, "one two three")]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    canon = lambda t: [w for w, _ in plain_tokens(t)]
-    grams = lambda ws: [tuple(ws[k : k + 8]) for k in range(len(ws) - 7)]
-    classes: dict = {}
-    for n, t in items:
-        classes.setdefault(tuple(canon(t)), n)
-    want = set()
-    for i, t, *_ in rows:
-        have = set(grams(canon(t)))
-        for c, n in classes.items():
-            g = grams(list(c))
-            if sum(x in have for x in g) >= decontaminate.SHARE * len(g):
-                want.add((i, n))
-    assert got == want and got
+    assert got == plain_found(items, [(i, t) for i, t, *_ in rows]) and {n for _, n in got} >= {0, 50} and 51 not in {n for _, n in got}
+
+
+def test_brute_force_with_slots(spark):
+    """Random texts of names, numbers, units, common and other words, in pieces that recur with other values."""
+    r = random.Random(21)
+    names, plain = ["Ann", "Bob", "Joe Fox", "Kim", "Zoé", "Élan Roy"], ["sold", "clips", "apples", "half", "red", "goes", "long", "way"]
+
+    def piece(n):
+        return [r.choice(["%n", "%d", "%d km", "%d kg", "In", "The", "in", "the", ".", ",", "? What", "!", *plain, *plain]) for _ in range(n)]
+
+    def fill(ws, values):
+        out = []
+        for w in ws:
+            for mark, some in (("%n", names), ("%d", [str(x) for x in range(9)] + ["3.5", "1,000"])):
+                if mark in w:
+                    w = w.replace(mark, values.setdefault((mark, r.randrange(2)), r.choice(some)) if values is not None else r.choice(some))
+            out.append(w)
+        return " ".join(out)
+
+    pieces = [piece(r.randrange(3, 30)) for _ in range(25)]
+    items = [(i if i % 9 else None, fill(pieces[i % 25], {} if i % 3 else None)) for i in range(60)] + [(1000, "What is 12 + 30 + 45 + 7 ?"), (1001, "km km"), (1002, "sold 5 km")]
+    docs = [(i, " ".join(fill(r.choice(pieces)[r.randrange(3) :], {} if r.random() < 0.7 else None) for _ in range(r.randrange(1, 4)))) for i in range(150)]
+    docs += [(200 + i, "so Zed " * (i % 2) + t + " Then on.") for i, (_, t) in enumerate(items)]
+    out = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = plain_found(items, docs)
+    assert {(x["doc_id"], x["item_id"]) for x in out} == want and len(want) > 150 and sum(not x["exact"] for x in out) > 30
+
+
+PROBLEMS = [
+    "{a} sold 48 clips in April. {a} sold half as many in May. {a} gave 5 clips to {b}.", "{a} earns $12 an hour for babysitting. Yesterday, {a} did 50 minutes of it. How much did {a} earn?",
+    "{a} has 3 boxes of pencils with 24 in each. {b} takes 10 of them home. How many pencils are left for {a}?", "{a} and {b} drive 300 km to Lisbon at 60 kph. How many hours do they need if they rest for 2 hours?",
+    "{a} writes a 3 page letter to 2 friends twice a week. How many pages does {a} write in a year?", "{a} bakes 7 trays of rolls and each holds 12. {b} buys 20 rolls. How many are there when {b} has left?",
+    "The garden of {a} has 9 rows of tulips and 14 rows of roses. {a} digs up 5 rows. How many rows remain in the end?", "{a} reads 14 pages on Monday and twice as many on Tuesday. {a} wants to read 120 pages. How many pages remain?",
+]
+
+
+def test_questions_with_other_parameters(spark):
+    """Of planted questions whose names and numbers were exchanged, at least nine in ten are found, and no other text is."""
+    r = random.Random(4)
+    names, months = ["Natalia", "Maria", "Weng", "Betty", "Julie", "James", "Mark", "Ken", "Olga", "Ravi", "Zoe", "Ahmed"], ["April", "May", "June", "July", "March"]
+
+    def changed(t):
+        a, b = r.sample(names, 2)
+        t = re.sub(r"\b\d+", lambda m: str(r.randrange(2, 400)), t.format(a=a, b=b))
+        some = r.sample(months, 2)
+        return t.replace("April", some[0]).replace("in May", f"in {some[1]}").replace("Lisbon", r.choice(["Oslo", "Rome"])).replace(" km ", r.choice([" km ", " miles "]))
+
+    items = [(i, t.format(a="Natalia", b="Bob")) for i, t in enumerate(PROBLEMS)]
+    filler = lambda: " ".join(r.choice(["lorem", "ipsum", "Dolor", "sit", "the", "amet", "7", "of"]) for _ in range(40)) + ". "
+    docs = [(100 * i + j, filler() + changed(t) + " " + filler()) for i, t in enumerate(PROBLEMS) for j in range(10)]
+    clean = [(5000 + i, filler() + f"{r.choice(names)} has {i} of them, and {r.choice(names)} sold some in May. How many hours did they walk on Monday? " + filler()) for i in range(60)]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(spark.createDataFrame(docs + clean, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(d // 100 == i for d, i in got) and len(got) >= 0.9 * len(docs)
+
+
+def test_items_with_windows_in_common_are_told_apart(spark):
+    """A long preamble that all items share is no reason to compare a text with all of them, and hides none."""
+    head = "Read the question with care and choose the one letter of the answer that fits it best of all here."
+    r = random.Random(6)
+    tail = lambda: " ".join("".join(r.choice("aeiou") + r.choice("bdgkl") for _ in range(3)) for _ in range(30))
+    items = [(i, head + " " + tail()) for i in range(30)]
+    docs = [(i, "see " + t) for i, t in items] + [(100, head + " " + tail())]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == plain_found(items, docs) and {(i, i) for i in range(30)} <= got
 
 
 def test_empty(spark, docs, none):
@@ -145,7 +281,7 @@ def test_first_words_within_a_sentence(spark):
 def test_opened_windows():
     texts = ["see Ann Lee now or 5 km with Joe Fox", "x y", "", "then Bob"]
     for t in decontaminate.templates(pa.array(texts)):
-        row, at, h, slots = t.opened(3)
+        row, at, h, slots, word = t.opened(3)
         got = [(int(r), int(a - t.first[r]), s.tolist()) for r, a, s in zip(row, at, slots)]
         ann = int(t.slots[t.first[0] + 1])
         # ann NAME now; lee now or; km with NAME.

@@ -1,21 +1,29 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts are read as tokens: runs of letters and digits, numbers with their points
-and signs as one. Numbers, names (capitalised within a sentence; several in a
-row are one) and units (after a number) become typed placeholders, other words
-are lower-cased. Windows of WINDOW such tokens are joined by hash with those of
-the benchmark's items, so that a question is found whatever its parameters. Then
-the values in the slots are compared: along one alignment each of the item's
-values must stand for one value of the document. Windows without slots always
-count. Windows of which more than half are slots would be met anywhere and are
-left out there. Beside these, windows of WINDOW words as they are (in lower case)
-are joined in the same way, so that an item is found word for word whatever
-it is made of. A document is contaminated by an item when it holds at least
-SHARE of the item's windows of either sort.
-
-The first word of an item is read as a word, though the same may be a name or a
-unit where it follows others in a document. So windows of a document that begin
-with one are read with it as a word too, to be met by items' first windows only.
+as one. Numbers, names and units (after a number) become typed placeholders,
+other words are lower-cased. A name is a capitalised word that is not among the
+COMMON words that open sentences, wherever it stands; several in a row are one.
+Windows of WINDOW such tokens are joined by hash with those of the benchmark's
+items, so that a question is found whatever its parameters. Then the values in
+the slots are compared: along one alignment each of the item's values must stand
+for one value of the document; only the slot that an item begins with, which
+words before it may lengthen, is not. Windows without slots always count.
+Windows of which more than half are slots would be met anywhere and are left out
+there. Beside these, windows of WINDOW words as they are (in lower case) are
+joined in the same way, so that an item is found word for word whatever it is
+made of. A document is contaminated by an item when it holds at least SHARE of
+the item's windows of either sort. Items of fewer than LEAST words, which stand
+in any text, are compared with whole texts.
+
+The word that an item begins with may be read otherwise in a document: as a unit,
+as a part of a longer name, or as a word. So windows that begin with a name or
+unit, of documents and at items' beginnings, are read with it as a word too; of
+documents these are met by items' first windows only.
+
+Windows that many items have in common are no candidates' reason: an item must
+be met by one of so many of its rarest windows that without them SHARE can't be
+reached. Only documents and items that meet so are compared by all windows.
 
 A bit map of the benchmark's windows, in the folder that all executors share,
 sorts out the other windows of a document before anything is shuffled; it may
@@ -25,10 +33,11 @@ let some through, and the join sees them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lean, store, words
@@ -37,11 +46,14 @@ from .repeats import RANGE_BYTES, U64, bit_map, in_map, windows
 
 WINDOW = 8
 SHARE = 0.3
-#: Tokens that an item needs; shorter ones would be found in any text.
+#: Words of an item to be looked for within texts; shorter ones are compared with whole texts.
 LEAST = 5
 NUM, NAME, UNIT = (U64(words.mix_int(i)) for i in (101, 102, 103))
 #: Sets the hashes of windows of words apart from those of templates.
 PLAIN = U64(words.mix_int(104))
+#: And those of whole texts of fewer than LEAST words apart from both.
+WHOLE = U64(words.mix_int(105))
+TEMPLATES, WORDS, TEXTS = range(3)
 
 #: Units, as they stand after a number.
 UNITS = """
@@ -52,6 +64,18 @@ UNITS = """
     k c f degree degrees percent dollar dollars cent cents euro euros usd eur gbp yen b kb mb gb tb bytes bits
 """.split()
 
+#: Words that open sentences and are no names, though capitalised there.
+COMMON = """
+    a an the this that these those some any each every both all many most much more few several one two three four five six seven eight nine ten
+    i you he she it we they who whom whose what which when where why how my your his her its our their there here
+    in on at by to of for from with without after before during while until since as if then than or and but so because although though
+    however therefore thus hence also next first second third last finally now today yesterday tomorrow later once again still yet
+    is are was were be been being do does did has have had can could will would shall should may might must let given suppose assume consider
+    find calculate compute determine solve evaluate simplify express write give state explain describe show prove use using choose select
+    answer question read following about approximately exactly only not no yes none nothing another other such same different
+    after among between over under above below per during through
+""".split()
+
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _SOLID = _DIGIT.copy()
@@ -103,21 +127,21 @@ class Templates:
         sums = lambda mask: np.concatenate([[0], np.cumsum(mask)])
         digits, stops = sums(_DIGIT[data]), sums(_STOP[data])
         num = digits[ends] > digits[starts]
-        after_stop = new.copy()
+        after_stop = new.copy()  # of a row, or after a stop
         after_stop[1:] |= stops[starts[1:]] > stops[ends[:-1]]
         letters = np.concatenate([data, np.zeros(4, np.uint8)])
         first, size = _capital(letters, starts)
-        name = first & ~after_stop & ~num & (ends - starts > size) & ~_capital(letters, starts + size)[0]
-        unit = np.isin(h, _unit_hashes()) & ~name
+        name = first & ~num & (ends - starts > size) & ~_capital(letters, starts + size)[0] & ~np.isin(h, _hashes("COMMON"))
+        unit = np.isin(h, _hashes("UNITS")) & ~name
         unit[1:] &= num[:-1] & ~new[1:]
         unit[:1] = False
         token, slot = h.copy(), np.zeros(n, U64)
         for mask, mark in ((num, NUM), (name, NAME), (unit, UNIT)):
             slot[mask] = h[mask]
             token[mask] = mark
-        # A run of names is one, with the value of all.
+        # A run of names is one, with the value of all; it ends with its sentence.
         more = np.zeros(n, bool)
-        more[1:] = name[1:] & name[:-1] & ~new[1:]
+        more[1:] = name[1:] & name[:-1] & ~after_stop[1:]
         if more.any():
             keep = np.flatnonzero(~more)
             total = np.zeros(n + 1, U64)
@@ -141,8 +165,8 @@ class Templates:
         at = np.flatnonzero((row[k - 1 :] == row[: len(row) - k + 1]) & (2 * (plain[k:] - plain[:-k]) >= k))
         return row[at], at, h[at]
 
-    def opened(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows of k tokens whose first is a word read as a name or unit otherwise, at least half of which are words: rows, starts, hashes, and the tokens' slots.
+    def opened(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows of k tokens whose first is a word read as a name or unit otherwise, at least half of which are words: rows, starts, hashes, the tokens' slots, and the words.
 
         A name of several words may be cut after any; what is left of it is the second token, with the value of all.
         """
@@ -157,26 +181,36 @@ class Templates:
         fits = next_ + k - 1 <= self.first[row + 1]
         word, row, next_ = word[fits], row[fits], next_[fits]
         if not len(word):
-            return row, next_, np.empty(0, U64), np.empty((0, k), U64)
+            return row, next_, np.empty(0, U64), np.empty((0, k), U64), word
         at = next_[:, None] + np.arange(k - 1)
         slots = np.concatenate([np.zeros((len(at), 1), U64), self.slots[at]], axis=1)
         some = np.flatnonzero(2 * (slots == 0).sum(axis=1) >= k)
         tokens = np.concatenate([self.words.hashes[word, None], self.tokens[at]], axis=1)[some]
-        return row[some], next_[some] - 1, words.runs(tokens.ravel(), k)[::k], slots[some]
+        return row[some], next_[some] - 1, words.runs(tokens.ravel(), k)[::k], slots[some], word[some]
 
     def plain(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, starts (among all words) and hashes of the windows of k words."""
         at, row, h = windows(self.words, k)
         return row, at, h ^ PLAIN
 
+    def short(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of the rows that have just k words."""
+        at, row, h = windows(self.words, k)
+        some = np.diff(self.words.first)[row] == k
+        return row[some], at[some], h[some] ^ WHOLE
 
-_units: list[np.ndarray] = []
+    def alone(self, j: int) -> Templates:
+        """The j-th row by itself."""
+        one = Templates.__new__(Templates)
+        lo, hi, span = int(self.first[j]), int(self.first[j + 1]), self.words.of(j)
+        w = words.Words(range(1), None, None, None, self.words.hashes[span], np.array([0, int(span.stop - span.start)]))
+        one.rows, one.tokens, one.slots, one.first, one.words, one.at = range(1), self.tokens[lo:hi], self.slots[lo:hi], np.array([0, hi - lo]), w, self.at[lo:hi] - int(span.start)
+        return one
 
 
-def _unit_hashes() -> np.ndarray:
-    if not _units:
-        _units.append(np.concatenate([w.hashes for w in words.split(pa.array(UNITS), lower=True)]))
-    return _units[0]
+@lru_cache(2)
+def _hashes(name: str) -> np.ndarray:
+    return np.concatenate([w.hashes for w in words.split(pa.array({"UNITS": UNITS, "COMMON": COMMON}[name]), lower=True, spans=_token_spans)])
 
 
 def templates(column: pa.Array) -> Iterator[Templates]:
@@ -202,12 +236,18 @@ def _hash(*parts: np.ndarray) -> np.int64:
     return np.array([words.whole(np.concatenate(parts))], U64).view(np.int64)[0]
 
 
+_ITEM = "class long, key long, sort int, variant long, k int, pos long, off long, h long, slots binary, total long"
+
+
 def _items(benchmark: DataFrame, window: int, least: int, text: str) -> DataFrame:
     """Each window of each item, with its item_id, class (hash of its tokens and of which slots are equal) and key (hash of its values).
 
-    variant is null for windows of tokens. For windows of words, which have no
-    slots, it is a hash of the class and the words that each token has, so that
-    pos is the same place in all items of a variant.
+    sort: TEMPLATES, WORDS, or TEXTS for the whole of a short item. off is the
+    place that slots are aligned by: pos, but one less where the first token is
+    the rest of a name whose first word is read as a word. variant is 0 for
+    windows of tokens. For windows of words, which have no slots, it is a hash of
+    the class and the words that each token has, so that pos is the same place in
+    all items of a variant.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,27 +257,44 @@ def _items(benchmark: DataFrame, window: int, least: int, text: str) -> DataFram
                     lo, hi = int(t.first[j]), int(t.first[j + 1])
                     span = t.words.of(j)
                     size = int(span.stop - span.start)
-                    if size < least:
+                    if not size:
                         continue
                     tokens, slots = t.tokens[lo:hi], t.slots[lo:hi]
                     whole, key = _hash(tokens, _equal(slots)), _hash(slots)
+                    variant = int(_hash(np.array([whole]).view(U64), words.mix(np.diff(t.at[lo:hi], append=span.stop).astype(U64))))
+                    here = t.words.hashes[span]
                     k = min(window, size)
-                    h = words.runs(t.words.hashes[span], k) ^ PLAIN
-                    variant = _hash(np.array([whole]).view(U64), words.mix(np.diff(t.at[lo:hi], append=span.stop).astype(U64)))
-                    sorts = [(variant, k, np.arange(len(h)), h, [None] * len(h))]
-                    if hi - lo >= least:
-                        one = Templates.__new__(Templates)
-                        one.rows, one.tokens, one.slots, one.first = range(1), tokens, slots, np.array([0, hi - lo])
-                        k = min(window, hi - lo)
-                        _, at, h = one.windows(k)
-                        sorts.append((None, k, at, h, _slots(one, at, k)))
-                    for variant, k, at, h, values in sorts:
-                        n = len(at)
-                        same = lambda x, kind, n=n: pa.array([x] * n, kind)
-                        yield pa.RecordBatch.from_arrays([same(b.column(0)[i].as_py(), b.schema.field(0).type), same(whole, pa.int64()), same(key, pa.int64()), same(variant, pa.int64()), same(k, pa.int32()), pa.array(at, pa.int64()), pa.array(h.view(np.int64)), pa.array(values, pa.binary()), same(n, pa.int64())], names=["item_id", "class", "key", "variant", "k", "pos", "h", "slots", "total"])
+                    if size < least:
+                        parts = [(TEXTS, variant, size, np.zeros(1, np.int64), None, words.runs(here, size) ^ WHOLE, [None], 1)]
+                    else:
+                        h = words.runs(here, k) ^ PLAIN
+                        parts = [(WORDS, variant, k, np.arange(len(h)), None, h, [None] * len(h), len(h))]
+                        if hi - lo >= least:
+                            one = t.alone(j)
+                            k = min(window, hi - lo)
+                            _, at, h = one.windows(k)
+                            parts.append((TEMPLATES, 0, k, at, None, h, _slots(one, at, k), len(at)))
+                            _, off, h, values, word = one.opened(k)
+                            if len(h) and word[0] == 0 and len(at) and at[0] == 0:
+                                parts.append((TEMPLATES, 0, k, np.zeros(1, np.int64), off[:1], h[:1], [values[0].tobytes() if values[0].any() else None], len(at)))
+                    for sort, variant_, k, pos, off, h, values, total in parts:
+                        same = lambda x, kind, n=len(pos): pa.array([x] * n, kind)
+                        cols = [same(b.column(0)[i].as_py(), b.schema.field(0).type), same(whole, pa.int64()), same(key, pa.int64()), same(sort, pa.int32()), same(variant_, pa.int64()), same(k, pa.int32()), pa.array(pos), pa.array(pos if off is None else off), pa.array(h.view(np.int64)), pa.array(values, pa.binary()), same(total, pa.int64())]
+                        yield pa.RecordBatch.from_arrays(cols, names=["item_id", "class", "key", "sort", "variant", "k", "pos", "off", "h", "slots", "total"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return benchmark.select("item_id", text).mapInArrow(lean.batches(run), f"item_id {kind}, class long, key long, variant long, k int, pos long, h long, slots binary, total long")
+    return benchmark.select("item_id", text).mapInArrow(lean.batches(run), f"item_id {kind}, {_ITEM}")
+
+
+def _rarest(items: DataFrame, share: float) -> DataFrame:
+    """items with rare: whether a window is one of those of which a document that holds share of its item has at least one."""
+    own = ["class", "sort", "variant"]
+    often = items.select("h", "class").distinct().groupBy("h").agg(F.count("*").alias("often"))
+    places = items.join(often, "h").groupBy(*own, "pos", "total").agg(F.max("often").alias("often"))
+    nth = F.row_number().over(Window.partitionBy(*own).orderBy("often", "pos"))
+    # An item's windows, so a text's: no table is dealt out by less.
+    places = places.withColumn("rare", nth <= F.col("total") - F.ceil(F.col("total") * share - 1e-9) + 1)
+    return items.join(places.select(*own, "pos", "rare"), [*own, "pos"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, least: int = LEAST, text: str = "text") -> DataFrame:
@@ -247,11 +304,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     item_id is their smallest, n_items their number. n_windows, n_item_windows and share are those of the template's
     windows or, where their share is larger, of the windows of words as they
     are. exact: no slot's value was changed. Items of fewer than least words
-    are not looked for, those of fewer tokens only word for word; those shorter
+    are found in texts that have those words and no others, those of fewer tokens only word for word; others shorter
     than a window are one window. Null texts
     and texts without tokens hold nothing and are no items; rows with the same
-    doc_id and text are one; a null doc_id is reported as null. Empty tables give
-    empty results.
+    doc_id and text are one; a null doc_id is reported as null, items without an
+    id are known by their class. Empty tables give empty results.
     """
     return _contaminated(docs, benchmark, window, share, least, text).drop("_k")
 
@@ -264,8 +321,8 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: flo
     # Items without an id, and repeated rows of one, count once. The values compared are those of one row.
     first = F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "key")).alias("first")
     reps = found.groupBy("class").agg(first, F.count_distinct(F.struct("item_id")).alias("n_items")).select("class", "first.item_id", F.col("first.key").alias("own"), "n_items")
-    items = found.drop("item_id").join(reps, "class").where("variant is not null or key = own").drop("key", "own")
-    items = store.written(spark, items.dropDuplicates(["class", "variant", "pos", "h"]), "items")
+    items = found.drop("item_id").join(reps, "class").where(f"sort <> {TEMPLATES} or key = own").drop("key", "own")
+    items = store.written(spark, _rarest(items.dropDuplicates(["class", "sort", "variant", "pos", "h"]), share), "items")
     size = int(str(items._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n = 1 << (size // RANGE_BYTES).bit_length()
     uri = store.folder(spark, "windows")
@@ -277,7 +334,7 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: flo
 
     spread = F.pmod(F.col("h"), F.lit(n)).cast("int").alias("r")
     present = {x.r for x in items.select(spread, "h").groupBy("r").applyInArrow(lean.group(write), "r int").collect()}  # at most n small numbers
-    lengths = [(x.k, x.plain) for x in items.select("k", F.col("variant").isNotNull().alias("plain")).distinct().collect()]  # at most 2 * window small numbers
+    lengths = [(x.k, x.sort) for x in items.select("k", "sort").distinct().collect()]  # at most 2 * window + least small numbers
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = {r: store.get(uri, f"w-{r}") for r in present}
@@ -293,53 +350,65 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: flo
                     out[at] = in_map(maps[int(r)], h[at])
             return out
 
-        def record(b: pa.RecordBatch, which: pa.Array, at: np.ndarray, h: np.ndarray, values: list, opened: bool) -> pa.RecordBatch:
-            columns = [b.column(0).take(which), b.column(1).take(which), pa.array(at), pa.array(h.view(np.int64)), pa.array(values, pa.binary()), pa.array([opened] * len(at))]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "_k", "at", "h", "values", "opened"])
+        def record(b: pa.RecordBatch, which: np.ndarray, at: np.ndarray, h: np.ndarray, values: list, opened: bool) -> Iterator[pa.RecordBatch]:
+            # Where no slot is aligned, one place of a window in a text says as much as all.
+            bare = np.array([v is None for v in values], bool)
+            _, once = np.unique(words.mix(which.astype(U64)) ^ h, return_index=True)
+            keep = ~bare
+            keep[once] = True
+            some = np.flatnonzero(keep)
+            if len(some):
+                rows = pa.array(which[some])
+                columns = [b.column(0).take(rows), b.column(1).take(rows), pa.array(at[some]), pa.array(h[some].view(np.int64)), pa.array([values[i] for i in some.tolist()], pa.binary()), pa.array([opened] * len(some))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_k", "at", "h", "values", "opened"])
 
         for b in batches:
             for t in templates(b.column(2)):
-                for k, plain in lengths:
-                    row, at, h = t.plain(k) if plain else t.windows(k)
+                for k, sort in lengths:
+                    row, at, h = t.windows(k) if sort == TEMPLATES else t.plain(k) if sort == WORDS else t.short(k)
                     some = hit(h)
                     row, at, h = row[some], at[some], h[some]
                     if len(at):
-                        which = pa.array(row + t.rows.start)
-                        values = [None] * len(at) if plain else _slots(t, at, k)
-                        yield record(b, which, at - (t.words.first if plain else t.first)[row], h, values, False)
-                    if not plain:
-                        row, at, h, slots = t.opened(k)
+                        values = _slots(t, at, k) if sort == TEMPLATES else [None] * len(at)
+                        yield from record(b, row + t.rows.start, at - (t.first if sort == TEMPLATES else t.words.first)[row], h, values, False)
+                    if sort == TEMPLATES:
+                        row, at, h, slots, _ = t.opened(k)
                         some = np.flatnonzero(hit(h))
                         if len(some):
                             values = [x.tobytes() if x.any() else None for x in slots[some]]
-                            yield record(b, pa.array(row[some] + t.rows.start), (at - t.first[row])[some], h[some], values, True)
+                            yield from record(b, row[some] + t.rows.start, (at - t.first[row])[some], h[some], values, True)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("_k"), text)
     hits = rows.mapInArrow(lean.batches(probe), f"doc_id {kind}, _k long, at long, h long, values binary, opened boolean")
-    met = hits.join(items, "h").where("not opened or (pos = 0 and variant is null)").withColumn("shift", F.col("at") - F.col("pos"))
-    met = met.select("doc_id", "_k", "item_id", "class", "variant", "pos", "shift", "total", "n_items", "slots", "values")
+    hits = store.written(spark, hits, "hits")
+    fits = f"not opened or (pos = 0 and sort = {TEMPLATES})"
+    own = ["class", "sort", "variant"]
+    pairs = hits.select("_k", "h", "opened").distinct().join(items.where("rare"), "h").where(fits).select("_k", *own).distinct()
+    met = pairs.join(items.drop("k", "rare"), own).join(hits, ["_k", "h"]).where(fits).withColumn("shift", F.col("at") - F.col("off"))
+    met = met.select("doc_id", "_k", "item_id", *own, "pos", "shift", "total", "n_items", "slots", "values")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each window: the item's values, and the document's, slot by slot."""
+        """Of each window: the item's values, and the document's, slot by slot; not of the slot that an item begins with."""
         for b in batches:
             pairs = []
-            for s, v in zip(b.column("slots").to_pylist(), b.column("values").to_pylist()):
+            for at, s, v in zip(*(b.column(c).to_pylist() for c in ("pos", "slots", "values"))):
                 s, v = (np.frombuffer(x, np.int64) if x else np.empty(0, np.int64) for x in (s, v))
                 m = min(len(s), len(v))
-                pairs.append([{"s": int(x), "v": int(y)} for x, y in zip(s[:m], v[:m]) if x])
+                lo = int(at == 0)
+                pairs.append([{"s": int(x), "v": int(y)} for x, y in zip(s[lo:m], v[lo:m]) if x])
             keep = b.drop_columns(["slots", "values"])
             yield keep.append_column("pairs", pa.array(pairs, pa.list_(pa.struct([("s", pa.int64()), ("v", pa.int64())]))))
 
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    met = met.mapInArrow(lean.batches(compare), f"doc_id {kind}, _k long, item_id {item_kind}, class long, variant long, pos long, shift long, total long, n_items long, pairs array<struct<s:long,v:long>>")
+    met = met.mapInArrow(lean.batches(compare), f"doc_id {kind}, _k long, item_id {item_kind}, class long, sort int, variant long, pos long, shift long, total long, n_items long, pairs array<struct<s:long,v:long>>")
     met = store.written(spark, met, "met")
     line = ["_k", "class", "shift"]
     values = met.select(*line, F.explode("pairs").alias("p")).groupBy(*line, "p.s").agg(F.min("p.v").alias("lo"), F.max("p.v").alias("hi"))
     sound = values.groupBy(*line).agg(F.bool_and(F.col("lo") == F.col("hi")).alias("sound"), F.bool_and((F.col("lo") == F.col("s")) & (F.col("hi") == F.col("s"))).alias("same"))
     counted = met.join(sound, line, "left").where("size(pairs) = 0 or sound")
-    same = F.bool_and(F.when(F.col("variant").isNull(), F.col("same")))
-    parts = counted.groupBy("doc_id", "_k", "class", "variant", "item_id", "total", "n_items").agg(F.count_distinct("pos").alias("n_windows"), F.coalesce(same, F.lit(True)).alias("exact"))
+    same = F.bool_and(F.when(F.col("sort") == TEMPLATES, F.col("same")))
+    parts = counted.groupBy("doc_id", "_k", *own, "item_id", "total", "n_items").agg(F.count_distinct("pos").alias("n_windows"), F.coalesce(same, F.lit(True)).alias("exact"))
     parts = parts.withColumn("share", F.col("n_windows") / F.col("total")).where(F.col("share") >= share)
     out = parts.groupBy("doc_id", "_k", "class", "item_id", "n_items").agg(F.max(F.struct("share", "exact", "n_windows", "total")).alias("p")).select("doc_id", "_k", "item_id", "n_items", "p.*")
     return out.select("_k", "doc_id", "item_id", "n_windows", F.col("total").alias("n_item_windows"), "share", "exact", "n_items")
