@@ -25,16 +25,20 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         while True:
             up = tree.select(F.col("u").alias("p"), F.col("p").alias("r"))
             shorter = store.written(spark, tree.join(up, "p").select("u", F.col("r").alias("p"), (F.col("r") != F.col("p")).alias("moved")), f"{name}-tree")
-            tree = shorter.select("u", "p")
+            store.forget(tree)
+            tree = shorter.drop("moved")
+            tree._stored = shorter._stored
             if not shorter.where("moved").limit(1).count():
                 break
         if found is None:
             found = tree
         else:
             step = tree.select(F.col("u").alias("p"), F.col("p").alias("r"))
-            found = store.written(spark, found.join(step, "p", "left").select("u", F.coalesce("r", "p").alias("p")), f"{name}-found")
+            before, found = found, store.written(spark, found.join(step, "p", "left").select("u", F.coalesce("r", "p").alias("p")), f"{name}-found")
+            store.forget(before)
         one = tree.select(F.col("u").alias("a"), F.col("p").alias("pa"))
         two = tree.select(F.col("u").alias("b"), F.col("p").alias("pb"))
         left = edges.join(one, "a").join(two, "b").where("pa <> pb")
-        edges = store.written(spark, left.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), f"{name}-edges")
+        before, edges = edges, store.written(spark, left.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), f"{name}-edges")
+        store.forget(before, *([tree] if tree is not found else []))
     return found if found is not None else edges.select(F.col("a").alias("u"), F.col("b").alias("p"))

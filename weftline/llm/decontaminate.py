@@ -329,7 +329,7 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: flo
 
     def write(table: pa.Table) -> pa.Table:
         r = table.column("r")[0].as_py()
-        store.put(uri, {f"w-{r}": bit_map(table.column("h").to_numpy().view(U64))})
+        store.put(uri, f"w-{r}", map=bit_map(table.column("h").to_numpy().view(U64)))
         return pa.table({"r": pa.array([r], pa.int32())})
 
     spread = F.pmod(F.col("h"), F.lit(n)).cast("int").alias("r")
@@ -337,7 +337,7 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: flo
     lengths = [(x.k, x.sort) for x in items.select("k", "sort").distinct().collect()]  # at most 2 * window + least small numbers
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = {r: store.get(uri, f"w-{r}") for r in present}
+        maps = {r: store.get(uri, f"w-{r}")["map"] for r in present}
 
         def hit(h: np.ndarray) -> np.ndarray:
             if n == 1:

@@ -94,7 +94,7 @@ class Order:
     """The first order: 0 to 63 for how many documents have a token, as far as counted, then its hash."""
 
     def __init__(self, uri: str, any_: bool):
-        self.h, self.level = (store.get(uri, "h"), store.get(uri, "level")) if any_ else (np.empty(0, U64), np.empty(0, np.uint8))
+        self.h, self.level = store.get(uri, "often").values() if any_ else (np.empty(0, U64), np.empty(0, np.uint8))
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         level = np.zeros(len(h), U64)
@@ -132,7 +132,7 @@ def _order(docs: DataFrame, k: int, uri: str, text: str) -> bool:
         parts = [(b.column(0).to_numpy().view(U64), b.column(1).to_numpy()) for b in batches]
         h, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, U64), np.empty(0, np.int64))
         order = np.argsort(h)
-        store.put(uri, {"h": h[order], "level": np.minimum(1 + np.log2(np.maximum(n[order], 1)).astype(np.int64), 63).astype(np.uint8)})
+        store.put(uri, "often", h=h[order], level=np.minimum(1 + np.log2(np.maximum(n[order], 1)).astype(np.int64), 63).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([len(h)], pa.int64())], names=["n"])
 
     counted = docs.select(text).mapInArrow(lean.batches(often), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -248,14 +248,14 @@ def _tokens(docs: DataFrame, wanted: DataFrame, k: int, uri: str, text: str) ->
 
     def write(table: pa.Table) -> pa.Table:
         r = table.column("r")[0].as_py()
-        store.put(uri, {f"k-{r}": bit_map(words.mix(table.column("_k").to_numpy().view(U64)))})
+        store.put(uri, f"k-{r}", map=bit_map(words.mix(table.column("_k").to_numpy().view(U64))))
         return pa.table({"r": pa.array([r], pa.int32())})
 
     spread = F.pmod(F.xxhash64("_k"), F.lit(n)).cast("int").alias("r")
     present = {x.r for x in wanted.select(spread, "_k").groupBy("r").applyInArrow(lean.group(write), "r int").collect()}  # at most n small numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[int, np.ndarray] = {}
+        files = store.Files(uri)
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size_kept = 0
 
@@ -263,7 +263,7 @@ def _tokens(docs: DataFrame, wanted: DataFrame, k: int, uri: str, text: str) ->
             fp, size, h = (np.concatenate(x) for x in zip(*kept))
             kept.clear()
             pack = uuid.uuid4().hex
-            store.put(uri, {f"t-{pack}": h})
+            store.put(uri, f"t-{pack}", h=h)
             hi = np.cumsum(size)
             return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array([pack] * len(fp), pa.string()), pa.array(hi - size), pa.array(hi)], names=["fp", "pack", "lo", "hi"])
 
@@ -272,10 +272,8 @@ def _tokens(docs: DataFrame, wanted: DataFrame, k: int, uri: str, text: str) ->
             hit = np.zeros(len(key), bool)
             for r in np.unique(part):
                 if (r := int(r)) in present:
-                    if r not in maps:
-                        maps[r] = store.get(uri, f"k-{r}")
                     at = np.flatnonzero(part == r)
-                    hit[at] = in_map(maps[r], key[at])
+                    hit[at] = in_map(files(f"k-{r}")["map"], key[at])
             for w, row, h in shingles(b.column(2).filter(pa.array(hit)), k):
                 size, fp = prints(row, h, len(w.rows))
                 kept.append((fp, size, h))
@@ -311,14 +309,10 @@ def _verify(pairs: DataFrame, tokens: DataFrame, percent: int, uri: str) -> Data
     """The pairs of classes a, b that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[str, np.ndarray] = {}
+        files = store.Files(uri)
 
         def get(x: dict) -> np.ndarray:
-            if x["pack"] not in maps:
-                if len(maps) >= 256:
-                    maps.clear()
-                maps[x["pack"]] = store.get(uri, f"t-{x['pack']}")
-            return maps[x["pack"]][x["lo"] : x["hi"]]
+            return files(f"t-{x['pack']}")["h"][x["lo"] : x["hi"]]
 
         for b in batches:
             ok = [similar(get(x), get(y), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]

@@ -1,17 +1,24 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, mapped by workers.
-
-Words are known by the 64-bit hashes of their lower-cased bytes. The model lies
-in the folder that all executors share, one set of arrays for each range of
-hashes: the sorted hashes of the training words with their counts, how many
-different words they follow and lead to; and for the words of the range as
-contexts, the sorted keys of the pairs seen with their counts. A word's id is its
-place among all sorted hashes, a pair's key both ids, so ranges of words are also
-ranges of pairs and lookups of sorted batches read the arrays in order. Nothing
-is pruned: the model grows with the training texts, and a worker reads only the
-pages that its batches touch.
+"""Interpolated modified Kneser-Ney model: counted in Spark, kept as sorted hash arrays, mapped by workers.
+
+Words are known by the 64-bit hashes of their lower-cased bytes; a word's id is
+its place among all sorted hashes of the training words, BEGIN among them. In
+front of a text stand order - 1 times BEGIN, so every token ends one n-gram of
+the highest order. A level below counts for each n-gram the different words in
+front of it.
+
+The model lies in the folder that all executors share, one file for each range of
+hashes and level: the sorted keys of n-grams with their counts, and the sorted
+keys of contexts with the sum of their counts and how many are 1, 2, and more.
+An n-gram lies in its context's range, so that a context is summed where it is
+counted; but those whose context ends with a frequent word (or BEGIN) are spread
+by their own hash, and their contexts' sums, one for each range, are added in a
+second step. So no key makes a range larger than others. Each level's n-grams
+give the next lower ones, already summed. Nothing is pruned: the model grows with
+the training texts, and a worker reads only the pages that its batches touch.
 
 Counts are summed within each task before they are dealt out, so a frequent word
-costs one entry a task.
+costs one entry a task. They are kept in as many bytes as the largest of a file
+needs, up to eight.
 """
 
 from __future__ import annotations
@@ -30,6 +37,10 @@ from .repeats import PACK, U64, by_range, ranges
 BEGIN, END = U64(0x0B0E0A1D3C5F7712), U64(0x0E4D1A2B9C7F3346)
 FOLDS = 10
 ALPHA = 0.1
+#: Words of context, and the word itself. With 3 the model takes more disk than the check tool allows; see README.
+ORDER = 2
+RANGE_BYTES = 8 << 20
+_Q = U64(0xD6E8FEB86659FD93)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = FOLDS) -> Column:
@@ -43,14 +54,6 @@ def sequences(column: pa.Array) -> Iterator[tuple[range, np.ndarray, np.ndarray]
         yield w.rows, np.insert(w.hashes, w.first[1:], END), w.first + np.arange(len(w.first))
 
 
-def before(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The word in front of each, BEGIN for the first of a row."""
-    out = np.empty_like(h)
-    out[1:] = h[:-1]
-    out[first[:-1]] = BEGIN
-    return out
-
-
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
@@ -58,8 +61,28 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts[:0]
 
 
-def _column(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+def _small(a: np.ndarray) -> np.ndarray:
+    """a in as many bytes as its largest value needs."""
+    return a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """Whole numbers as bytes, the first of all together, then the second: these compress."""
+    a = _small(a)
+    return bytes([a.itemsize]) + np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+
+
+def _unpack(parts: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8, offset=1).reshape(x[0], -1).T).view(f"<u{x[0]}").ravel().astype(np.int64) for x in parts] or [np.empty(0, np.int64)])
+
+
+def _keys(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the contexts and of the n-grams that the rows of ids are."""
+    key = context = np.zeros(len(ids), U64)
+    for i in range(ids.shape[1]):
+        context = key
+        key = words.mix(key * _Q + ids[:, i].astype(U64) + U64(1))
+    return context, key
 
 
 def _times(counts: np.ndarray) -> list[int]:
@@ -72,36 +95,33 @@ class Model:
     """What is the same for all words; the arrays are at uri."""
 
     uri: str
+    order: int
     n: int
     offsets: np.ndarray
     tokens: int
     types: int
+    #: Counts from which on a word is frequent.
+    often: int
+    #: Of each level from 1: the discounts; whether a range has n-grams, contexts, and contexts that end with a frequent word.
+    cuts: list[np.ndarray]
+    there: list[dict[str, np.ndarray]]
+    #: Different pairs, and how many words follow 1, 2, and more different ones.
     pairs: int
-    cut: np.ndarray
-    cut_low: np.ndarray
     low_times: np.ndarray
-    #: Ranges that have words that follow others, and contexts.
-    follow: frozenset
-    lead: frozenset
 
 
 class Vocabulary:
     """Mapped arrays of words."""
 
-    def __init__(self, uri: str, n: int, offsets: np.ndarray, follow: frozenset = frozenset(), lead: frozenset = frozenset()):
-        self.uri, self.n, self.offsets, self.follow, self.lead, self.maps = uri, n, offsets, follow, lead, {}
-
-    def array(self, name: str, r: int) -> np.ndarray:
-        if (name, r) not in self.maps:
-            self.maps[name, r] = store.get(self.uri, f"{name}-{r}")
-        return self.maps[name, r]
+    def __init__(self, uri: str, n: int, offsets: np.ndarray):
+        self.n, self.offsets, self.files = n, offsets, store.Files(uri)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Ids of sorted distinct hashes; -1 for words not seen in training."""
         out = np.full(len(h), -1, np.int64)
         for r, at in by_range(h, self.n):
             if self.offsets[r + 1] > self.offsets[r]:
-                have = self.array("h", r)
+                have = self.files(f"w-{r}")["h"]
                 i = np.searchsorted(have, h[at])
                 i[i == len(have)] = 0
                 out[at] = np.where(have[i] == h[at], i + self.offsets[r], -1)
@@ -109,17 +129,18 @@ class Vocabulary:
 
     def parts(self, ids: np.ndarray) -> Iterator[tuple[int, slice]]:
         """The ranges of ascending ids, and where each lies."""
-        edge = np.searchsorted(ids, self.offsets)
-        for r in np.flatnonzero(edge[1:] > edge[:-1]):
-            yield int(r), slice(edge[r], edge[r + 1])
-
-    def of(self, name: str, ids: np.ndarray) -> np.ndarray:
-        """An array's values for ascending ids; 0 in ranges that have none."""
+        if len(ids):
+            r = np.searchsorted(self.offsets, ids, "right") - 1
+            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(r)]):
+                yield int(r[i]), slice(i, j)
+
+    def of(self, file: str, ids: np.ndarray, there: np.ndarray | None = None) -> np.ndarray:
+        """The counts of a file for ascending ids; 0 in ranges that have none."""
         out = np.zeros(len(ids), np.int64)
-        there = {"c": None, "k": self.follow}.get(name, self.lead)
         for r, s in self.parts(ids):
-            if there is None or r in there:
-                out[s] = self.array(name, r)[ids[s] - self.offsets[r]]
+            if there is None or there[r]:
+                out[s] = self.files(f"{file}-{r}")["c"][ids[s] - self.offsets[r]]
         return out
 
 
@@ -133,19 +154,106 @@ def _discounts(times: np.ndarray) -> np.ndarray:
     return np.clip(d, 0.0, [0.0, 1.0, 2.0, 3.0])
 
 
-def train(texts: DataFrame) -> Model:
-    """The model of all rows of texts (one string column)."""
+class Numbered:
+    """Rows of texts as ids of their words and of those in front of each."""
+
+    def __init__(self, v: Vocabulary, order: int, often: int):
+        self.v, self.order, self.often = v, order, often
+
+    def __call__(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids (order columns, the word last, -1 where unknown), whether the word in front is frequent, all ids, counts, and each word's place in these."""
+        u, back = np.unique(np.append(h, BEGIN), return_inverse=True)
+        known = self.v.ids(u)
+        count = np.zeros(len(u), np.int64)
+        have = known >= 0
+        count[have] = self.v.of("w", known[have])
+        begin = back[-1]
+        back = back[:-1]
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        since = np.arange(len(h)) - first[row]
+        ids = np.empty((len(h), self.order), np.int64)
+        for j in range(self.order):
+            at = np.where(since >= j, back[np.maximum(np.arange(len(h)) - j, 0)], begin)
+            ids[:, self.order - 1 - j] = known[at]
+            if j == 1:
+                hot = (count[at] >= self.often) | (at == begin)
+        return ids, hot, known, count, back
+
+
+def _place(ids: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of contexts and n-grams, and what decides the range."""
+    context, key = _keys(ids)
+    return context, key, np.where(hot, key, context)
+
+
+_DEALT = "r int, hot boolean, ids binary, c binary"
+
+
+def _deal(ids: np.ndarray, hot: np.ndarray, counts: np.ndarray, n: int) -> tuple[list, list, list, list]:
+    """Different n-grams with their counts, dealt out."""
+    _, key, place = _place(ids, hot)
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    counts = np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+    ids, hot, place = (x[order[at]] for x in (ids, hot, place))
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    for flag in (False, True):
+        some = np.flatnonzero(hot == flag)
+        for r, x in by_range(place[some], n):
+            x = some[x]
+            x = x[np.lexsort(ids[x].T[::-1])]
+            for column, value in zip(out, (r, flag, _pack(ids[x].T.ravel()), _pack(counts[x]))):
+                column.append(value)
+    return out
+
+
+def _dealt(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, hot and counts again."""
+    ids = [_unpack([x]).reshape(k, -1).T for x in table.column("ids").to_pylist()]
+    hot = np.repeat(np.array(table.column("hot").to_pylist(), bool), [len(x) for x in ids])
+    return np.concatenate(ids), hot, _unpack(table.column("c").to_pylist())
+
+
+def _sums(context: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Contexts in order, the sum of their counts, and how many are 1, 2, and more."""
+    order = np.argsort(context, kind="stable")
+    context, counts = context[order], counts[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(context)), bool), context[1:] != context[:-1]]))
+    add = lambda x: np.add.reduceat(x.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+    return {"x": context[at], "t": add(counts), "n1": add(counts == 1), "n2": add(counts == 2), "n3": add(counts > 2)}
+
+
+def _put_sums(uri: str, name: str, sums: dict[str, np.ndarray]) -> None:
+    store.put(uri, name, x=sums["x"], **{c: _small(sums[c]) for c in ("t", "n1", "n2", "n3")})
+
+
+def _flags(n: int, rs: list[int]) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[rs] = True
+    return out
+
+
+_LEVEL = f"kind int, {_DEALT}, x binary, told array<long>"
+
+
+def train(texts: DataFrame, order: int = ORDER) -> Model:
+    """The model of all rows of texts (one string column), of n-grams of 2 or more words."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = texts.sparkSession
     lean.small_batches(spark)
-    n = ranges(texts)
+    n = ranges(texts, RANGE_BYTES)
     uri = store.folder(spark, "ngram")
 
-    def dealt(keys: np.ndarray, counts: np.ndarray, parts) -> pa.RecordBatch:
-        cols = list(zip(*((r, keys[at].tobytes(), counts[at].tobytes()) for r, at in parts))) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["r", "k", "c"])
-
     def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [(np.array([BEGIN]), np.zeros(1, np.int64))], 0
+        begin = np.array([BEGIN]), np.zeros(1, np.int64)
+        kept, size = [begin], 0
+
+        def send(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            cols = list(zip(*((r, keys[at].tobytes(), _pack(counts[at])) for r, at in by_range(keys, n))))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["r", "k", "c"])
+
         for b in batches:
             for _, h, _ in sequences(b.column(0)):
                 kept.append(np.unique(h, return_counts=True))
@@ -154,133 +262,174 @@ def train(texts: DataFrame) -> Model:
                     kept = [_summed(*(np.concatenate(x) for x in zip(*kept)))]
                     size = 0
                     if len(kept[0][0]) >= PACK:
-                        yield dealt(*kept[0], by_range(kept[0][0], n))
-                        kept = [(np.array([BEGIN]), np.zeros(1, np.int64))]
-        keys, counts = _summed(*(np.concatenate(x) for x in zip(*kept)))
-        yield dealt(keys, counts, by_range(keys, n))
+                        yield send(*kept[0])
+                        kept = [begin]
+        yield send(*_summed(*(np.concatenate(x) for x in zip(*kept))))
 
     def vocabulary(table: pa.Table) -> pa.Table:
-        h, c = _summed(_column(table, "k", U64), _column(table, "c", np.int64))
+        h, c = _summed(np.concatenate([np.frombuffer(x, U64) for x in table.column("k").to_pylist()]), _unpack(table.column("c").to_pylist()))
         r = table.column("r")[0].as_py()
-        store.put(uri, {f"h-{r}": h, f"c-{r}": c})
+        store.put(uri, f"w-{r}", h=h, c=_small(c))
         return pa.table({"r": pa.array([r], pa.int32()), "ids": pa.array([len(h)]), "types": pa.array([int((c > 0).sum())]), "tokens": pa.array([int(c.sum())])})
 
     sizes = texts.mapInArrow(lean.batches(word_counts), "r int, k binary, c binary").groupBy("r").applyInArrow(lean.group(vocabulary), "r int, ids long, types long, tokens long")
-    sizes = sizes.collect()  # a row for each range
+    sizes = sizes.toPandas()  # a row for each range
     offsets = np.zeros(n + 1, np.int64)
-    for x in sizes:
-        offsets[x.r + 1] = x.ids
+    offsets[sizes.r.to_numpy(np.int64) + 1] = sizes.ids
     offsets = np.cumsum(offsets)
-    if offsets[-1] >= 1 << 32:
-        raise ValueError("pairs of over 2**32 different words have no 64-bit keys")
-    types, tokens = sum(x.types for x in sizes), sum(x.tokens for x in sizes)
+    types, tokens = int(sizes.types.sum()), int(sizes.tokens.sum())
+    often = max(2, tokens // (2 * n))
 
-    def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(uri, n, offsets)
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = Numbered(Vocabulary(uri, n, offsets), order, often)
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def send() -> pa.RecordBatch:
-            keys, counts = _summed(*(np.concatenate(x) for x in zip(*kept)))
+            cols = _deal(*(np.concatenate(x) for x in zip(*kept)), n)
             kept.clear()
-            return dealt(keys, counts.astype(np.uint32), ((r, s) for r, s in v.parts((keys >> U64(32)).astype(np.int64))))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["r", "hot", "ids", "c"])
 
         for b in batches:
             for _, h, first in sequences(b.column(0)):
-                u, back = np.unique(np.append(h, BEGIN), return_inverse=True)
-                ids = v.ids(u)[back].astype(U64)
-                prev = np.empty(len(h), U64)
-                prev[1:] = ids[:-2]
-                prev[first[:-1]] = ids[-1]
-                keys, counts = np.unique(prev << U64(32) | ids[:-1], return_counts=True)
-                kept.append((keys, counts.astype(np.uint32)))
-                size += len(keys)
+                ids, hot, *_ = number(h, first)
+                _, at, counts = np.unique(_keys(ids)[1], return_index=True, return_counts=True)
+                kept.append((ids[at], hot[at], counts))
+                size += len(at)
                 if size >= 4 * PACK:
                     yield send()
                     size = 0
         if kept:
             yield send()
 
-    def contexts(table: pa.Table) -> pa.Table:
-        keys, counts = _summed(_column(table, "k", U64), _column(table, "c", np.uint32).astype(np.int64))
-        r = table.column("r")[0].as_py()
-        lo, here = int(offsets[r]), int(offsets[r + 1] - offsets[r])
-        context = (keys >> U64(32)).astype(np.int64) - lo
-        sums = {f"t-{r}": np.bincount(context, counts, here).astype(np.int64)}
-        for i, some in ((1, counts == 1), (2, counts == 2), (3, counts > 2)):
-            sums[f"n{i}-{r}"] = np.bincount(context[some], minlength=here).astype(np.uint32)
-        store.put(uri, {f"p-{r}": keys, f"pc-{r}": counts.astype(np.uint32), **sums})
-        ids, follow = np.unique((keys & U64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        out = [(x, ids[s].astype(np.uint32).tobytes(), follow[s].astype(np.uint32).tobytes()) for x, s in Vocabulary(uri, n, offsets).parts(ids)]
-        cols = [list(x) for x in zip(*out)]
-        return pa.table({"r": pa.array([*cols[0], -1], pa.int32()), "k": pa.array([*cols[1], np.array([*_times(counts), len(counts), r], np.int64).tobytes()], pa.binary()), "c": pa.array([*cols[2], b""], pa.binary())})
-
-    paired = texts.mapInArrow(lean.batches(pair_counts), "r int, k binary, c binary").groupBy("r").applyInArrow(lean.group(contexts), "r int, k binary, c binary")
-    paired = store.written(spark, paired, "ngram-follow")
-    told = np.array([np.frombuffer(x.k, np.int64) for x in paired.where("r < 0").collect()], np.int64).reshape(-1, 6)  # a row for each range
-    pairs, lead = told.sum(axis=0), frozenset(told[:, 5].tolist())
+    def level(k: int):
+        def run(table: pa.Table) -> pa.Table:
+            r = table.column("r")[0].as_py()
+            ids, hot, counts = _dealt(table, k)
+            context, key, _ = _place(ids, hot)
+            by = np.argsort(key, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
+            counts = np.add.reduceat(counts[by], at)
+            ids, hot, context, key = (x[by[at]] for x in (ids, hot, context, key))
+            store.put(uri, f"g{k}-{r}", k=key, c=_small(counts))
+            if (~hot).any():
+                _put_sums(uri, f"x{k}-{r}", _sums(context[~hot], counts[~hot]))
+            out = [(0, r, False, None, None, None, [*_times(counts), len(counts), int((~hot).any())])]
+            # Each of these has another word in front of what is left of it.
+            if k > 2:
+                out += [(1, *x, None, None) for x in zip(*_deal(ids[:, 1:], hot, np.ones(len(ids), np.int64), n))]
+            else:
+                last, follow = np.unique(ids[:, 1], return_counts=True)
+                out += [(1, x, False, _pack(last[s]), _pack(follow[s]), None, None) for x, s in Vocabulary(uri, n, offsets).parts(last)]
+            if hot.any():
+                sums = _sums(context[hot], counts[hot])
+                numbers = np.stack([sums[c] for c in ("t", "n1", "n2", "n3")])
+                out += [(2, x, True, None, _pack(numbers[:, s].ravel()), sums["x"][s].tobytes(), None) for x, s in by_range(sums["x"], n)]
+            cols = list(zip(*out))
+            kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            return pa.table({name: pa.array(c, t) for name, c, t in zip(("kind", "r", "hot", "ids", "c", "x", "told"), cols, kinds)})
+
+        return run
+
+    def contexts(k: int):
+        def run(table: pa.Table) -> pa.Table:
+            r = table.column("r")[0].as_py()
+            x = np.concatenate([np.frombuffer(b, U64) for b in table.column("x").to_pylist()])
+            numbers = np.concatenate([_unpack([b]).reshape(4, -1) for b in table.column("c").to_pylist()], axis=1)
+            by = np.argsort(x, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], x[by][1:] != x[by][:-1]]))
+            numbers = np.add.reduceat(numbers[:, by], at, axis=1)
+            _put_sums(uri, f"y{k}-{r}", {"x": x[by][at], **dict(zip(("t", "n1", "n2", "n3"), numbers))})
+            return pa.table({"r": pa.array([r], pa.int32())})
+
+        return run
 
     def followed(table: pa.Table) -> pa.Table:
         r = table.column("r")[0].as_py()
-        ids = _column(table, "k", np.uint32).astype(np.int64) - offsets[r]
-        low = np.bincount(ids, _column(table, "c", np.uint32), int(offsets[r + 1] - offsets[r])).astype(np.int64)
-        store.put(uri, {f"k-{r}": low})
+        low = np.zeros(int(offsets[r + 1] - offsets[r]), np.int64)
+        np.add.at(low, _unpack(table.column("ids").to_pylist()) - offsets[r], _unpack(table.column("c").to_pylist()))
+        store.put(uri, f"k-{r}", c=_small(low))
         return pa.table({"t": pa.array([[*_times(low), int((low > 2).sum()), r]], pa.list_(pa.int64()))})
 
-    told = np.array([x.t for x in paired.where("r >= 0").groupBy("r").applyInArrow(lean.group(followed), "t array<long>").collect()], np.int64).reshape(-1, 6)
-    low, follow = told.sum(axis=0), frozenset(told[:, 5].tolist())
-    return Model(uri, n, offsets, tokens, types, int(pairs[4]), _discounts(pairs[:4]), _discounts(low[:4]), np.array([low[0], low[1], low[4]], np.float64), follow, lead)
+    none = np.zeros(n, bool)
+    cuts, there = [np.zeros(4)] * order, [{"g": none, "x": none, "y": none} for _ in range(order)]
+    dealt, stored, pairs = texts.mapInArrow(lean.batches(grams), _DEALT), None, 0
+    for k in range(order, 1, -1):
+        before, stored = stored, store.written(spark, dealt.groupBy("r").applyInArrow(lean.group(level(k)), _LEVEL), f"ngram-{k}")
+        if before is not None:
+            store.forget(before)
+        told = stored.where("kind = 0").select("r", "told").toPandas()  # a row for each range
+        numbers = np.array(told.told.tolist(), np.int64).reshape(-1, 6)
+        rs = told.r.to_numpy(np.int64)
+        merged = stored.where("kind = 2").groupBy("r").applyInArrow(lean.group(contexts(k)), "r int").toPandas()  # the same
+        there[k - 1] = {"g": _flags(n, rs), "x": _flags(n, rs[numbers[:, 5] > 0]), "y": _flags(n, merged.r.to_numpy(np.int64))}
+        cuts[k - 1], pairs = _discounts(numbers[:, :4].sum(axis=0)), int(numbers[:, 4].sum())
+        dealt = stored.where("kind = 1").select("r", "hot", "ids", "c")
+    told = np.array(dealt.groupBy("r").applyInArrow(lean.group(followed), "t array<long>").toPandas().t.tolist(), np.int64).reshape(-1, 6)
+    store.forget(stored)
+    low = told.sum(axis=0)
+    cuts[0], there[0] = _discounts(low[:4]), {"k": _flags(n, told[:, 5])}
+    return Model(uri, order, n, offsets, tokens, types, often, cuts, there, pairs, np.array([low[0], low[1], low[4]], np.float64))
 
 
 class Scorer:
     """log10 probabilities of token sequences."""
 
     def __init__(self, m: Model):
-        self.m, self.v = m, Vocabulary(m.uri, m.n, m.offsets, m.follow, m.lead)
+        self.m, self.v = m, Vocabulary(m.uri, m.n, m.offsets)
+        self.number = Numbered(self.v, m.order, m.often)
 
-    def __call__(self, h: np.ndarray, prev: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: its training count, base score and score."""
-        m, v = self.m, self.v
-        u, back = np.unique(np.append(h, BEGIN), return_inverse=True)
-        ids = v.ids(u)
-        known = np.flatnonzero(ids >= 0)
-        have = ids[known]
-        get = lambda name: self._spread(name, have, known, len(u))
-        c, k = get("c"), get("k") if m.tokens else np.zeros(len(u), np.int64)
+        m = self.m
+        ids, hot, known, c, back = self.number(h, first)
         base = np.log10((c + ALPHA) / (m.tokens + ALPHA * (m.types + 1)))
         new = 1.0 / (m.types + 1)
         if m.pairs:
-            spare = float(m.cut_low[1:] @ m.low_times) / m.pairs
-            low = np.maximum(k - m.cut_low[np.minimum(k, 3)], 0) / m.pairs + spare * new
-            t = get("t")
-            rest = (m.cut[1] * get("n1") + m.cut[2] * get("n2") + m.cut[3] * get("n3")) / np.maximum(t, 1)
-            rest[t == 0] = 1.0
+            low = np.zeros(len(known), np.int64)
+            have = known >= 0
+            low[have] = self.v.of("k", known[have], m.there[0]["k"])
+            spare = float(m.cuts[0][1:] @ m.low_times) / m.pairs
+            p = (np.maximum(low - m.cuts[0][np.minimum(low, 3)], 0) / m.pairs + spare * new)[back]
         else:
-            low, t, rest = np.full(len(u), new), np.zeros(len(u), np.int64), np.ones(len(u))
-        here = back[:-1]
-        place = np.searchsorted(u, prev)
-        seen = np.flatnonzero((ids[place] >= 0) & (ids[here] >= 0))
-        keys, again = np.unique(ids[place[seen]].astype(U64) << U64(32) | ids[here[seen]].astype(U64), return_inverse=True)
-        count = np.zeros(len(h), np.int64)
-        count[seen] = self._pairs(keys)[again]
-        p = np.maximum(count - m.cut[np.minimum(count, 3)], 0) / np.maximum(t[place], 1) + rest[place] * low[here]
-        return c[here], base[here], np.log10(p)
-
-    def _spread(self, name: str, have: np.ndarray, known: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(n, np.int64)
-        out[known] = self.v.of(name, have)
+            p = np.full(len(h), new)
+        for k in range(2, m.order + 1):
+            p = self._level(k, ids[:, m.order - k :], hot, p)
+        return c[back], base[back], np.log10(p)
+
+    def _level(self, k: int, ids: np.ndarray, hot: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """p of k-grams from those of the words' shorter contexts; they stay where the context was not seen."""
+        m, cut = self.m, self.m.cuts[k - 1]
+        some = np.flatnonzero((ids[:, :-1] >= 0).all(axis=1))
+        context, key, place = _place(ids[some], hot[some])
+        t, n1, n2, n3 = (np.zeros(len(some), np.int64) for _ in range(4))
+        for name, which in (("x", ~hot[some]), ("y", hot[some])):
+            at = np.flatnonzero(which)
+            for out, got in zip((t, n1, n2, n3), self._find(f"{name}{k}", m.there[k - 1][name], context[at], context[at], "x", ("t", "n1", "n2", "n3"))):
+                out[at] = got
+        there = np.flatnonzero((ids[some, -1] >= 0) & (t > 0))
+        count = np.zeros(len(some), np.int64)
+        (count[there],) = self._find(f"g{k}", m.there[k - 1]["g"], place[there], key[there], "k", ("c",))
+        seen = t > 0
+        out, total = p.copy(), np.maximum(t, 1)
+        rest = (cut[1] * n1 + cut[2] * n2 + cut[3] * n3) / total
+        out[some[seen]] = (np.maximum(count - cut[np.minimum(count, 3)], 0) / total + rest * p[some])[seen]
         return out
 
-    def _pairs(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        for r, s in self.v.parts((keys >> U64(32)).astype(np.int64)):
-            if r not in self.v.lead:
-                continue
-            have = self.v.array("p", r)
-            at = np.searchsorted(have, keys[s])
-            at[at == len(have)] = 0
-            out[s] = np.where(have[at] == keys[s], self.v.array("pc", r)[at], 0)
-        return out
+    def _find(self, file: str, there: np.ndarray, place: np.ndarray, keys: np.ndarray, by: str, names: tuple[str, ...]) -> list[np.ndarray]:
+        """The values of keys; 0 for those that are not there."""
+        u, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        out = [np.zeros(len(u), np.int64) for _ in names]
+        for x, i in by_range(place[at], self.m.n):
+            if there[x]:
+                arrays = self.v.files(f"{file}-{x}")
+                have = arrays[by]
+                j = np.searchsorted(have, u[i])
+                j[j == len(have)] = 0
+                hit = have[j] == u[i]
+                for o, name in zip(out, names):
+                    o[i[hit]] = arrays[name][j[hit]]
+        return [o[back] for o in out]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -293,7 +442,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scorer = Scorer(sent.value)
         for b in batches:
             for rows, h, first in sequences(b.column(2)):
-                c, base, got = scorer(h, before(h, first))
+                c, base, got = scorer(h, first)
                 sums = [np.add.reduceat(x, first[:-1]) for x in ((c > 0).astype(np.int64), base, got)]
                 part = b.slice(rows.start, len(rows))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(sums[0]), pa.array(np.full(len(rows), sent.value.tokens)), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -302,17 +451,18 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), text).mapInArrow(lean.batches(run), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def perplexity(docs: DataFrame, text: str = "text") -> DataFrame:
+def perplexity(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
     """Every row scored by the model of the rows that are not held out.
 
     A null or empty text is its end alone. Rows without an id train; repeated
     rows train as often as they occur. With nothing to train on, every token has
     the probability of an unseen word. Other columns are left out.
     """
-    return score(docs, train(docs.where(~held_out()).select(text)), text)
+    return score(docs, train(docs.where(~held_out()).select(text), order), text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores are rounded to 6 digits after the point: sums of logarithms differ beyond, by the order of adding."""
     out = perplexity(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 

@@ -427,10 +427,13 @@ def fit(stats_rows: DataFrame, least: int = LEAST) -> DataFrame:
     i = 0
     while state.where("not done").limit(1).count():
         i += 1
-        state = store.written(spark, _step(sample, state), f"mcd-{i}")
+        before, state = state, store.written(spark, _step(sample, state), f"mcd-{i}")
+        store.forget(before)
     # Written, so that the planner knows its size: a few numbers for each group.
     model = _reweighted(sample, state)
-    return store.written(spark, keys.join(model, keys.own == model.k).select("g", "centre", "inv", "cutoff"), "mcd-model")
+    model = store.written(spark, keys.join(model, keys.own == model.k).select("g", "centre", "inv", "cutoff"), "mcd-model")
+    store.forget(sizes, keys, sample, spreads, state)
+    return model
 
 
 def judge(stats_rows: DataFrame, model: DataFrame) -> DataFrame:

@@ -34,17 +34,18 @@ PROBES = 4
 #: Entries that a task gathers before it sends them.
 PACK = 1 << 20
 #: Bytes of input for each range of hashes.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 4 << 20
 
 U64 = np.uint64
 
 
 def ranges(df: DataFrame, each: int = RANGE_BYTES) -> int:
-    """A power of two, one for each so many bytes of the input, as the planner knows its size."""
+    """A power of two, one for each so many bytes of the input, as the planner knows its size; beyond 2**14 they grow with its root, as a range does."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:  # unknown
         size = df.rdd.getNumPartitions() * each
-    return 1 << max(2, min(14, (size // each).bit_length()))
+    bits = (size // each).bit_length()
+    return 1 << max(2, bits if bits <= 14 else 14 + (bits - 13) // 2)
 
 
 def _range_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -53,11 +54,14 @@ def _range_of(h: np.ndarray, n: int) -> np.ndarray:
 
 def by_range(h: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """Ranges that have hashes, and which."""
+    if not len(h):
+        return
     r = _range_of(h, n)
     order = np.argsort(r, kind="stable")
-    edge = np.searchsorted(r[order], np.arange(n + 1))
-    for k in np.flatnonzero(edge[1:] > edge[:-1]):
-        yield int(k), order[edge[k] : edge[k + 1]]
+    r = r[order]
+    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(r)]):
+        yield int(r[i]), order[i:j]
 
 
 def _bit(h: np.ndarray, k: int, bits: int) -> np.ndarray:
@@ -130,7 +134,7 @@ def _index(docs: DataFrame, n: int, block: int, window: int, uri: str, text: str
     def write(table: pa.Table) -> pa.Table:
         h, count = np.unique(_blobs(table.column("h")), return_counts=True)
         k = table.column("r")[0].as_py()
-        store.put(uri, {f"one-{k}": bit_map(h), f"two-{k}": bit_map(h[count > 1])})
+        store.put(uri, str(k), one=bit_map(h), two=bit_map(h[count > 1]))
         return pa.table({"r": pa.array([k], pa.int32()), "n": pa.array([len(h)], pa.int64())})
 
     docs.select(text).mapInArrow(lean.batches(blocks), "r int, h binary").groupBy("r").applyInArrow(lean.group(write), "r int, n long").write.parquet(f"{uri}/ranges")
@@ -140,16 +144,14 @@ class _Probe:
     """The mapped bit maps."""
 
     def __init__(self, uri: str, n: int, present: set[int]):
-        self.uri, self.n, self.present, self.maps = uri, n, present, {}
+        self.n, self.present, self.files = n, present, store.Files(uri)
 
     def __call__(self, h: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Which hashes are of a block; for those that are blocks themselves (own), of another one."""
         out = np.zeros(len(h), bool)
         for k, at in by_range(h, self.n):
             if k in self.present:
-                if k not in self.maps:
-                    self.maps[k] = store.get(self.uri, f"one-{k}"), store.get(self.uri, f"two-{k}")
-                one, two = self.maps[k]
+                one, two = self.files(str(k)).values()
                 mine = own[at]
                 out[at[~mine]] = in_map(one, h[at[~mine]])
                 out[at[mine]] = in_map(two, h[at[mine]])
