@@ -78,6 +78,39 @@ def test_rounds(spark, monkeypatch):
     assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+@pytest.mark.parametrize(("rounds", "k", "percent"), [(0, 5, 75), (1, 1, 20)])
+def test_large_buckets_of_unlike_sets(spark, monkeypatch, rounds, k, percent):
+    """Many sets with tokens in common, of which few are similar: dealt out by the second order, and by pairs, with the same links."""
+    import random
+
+    r = random.Random(5)
+    shared = [f"c{i}" for i in range(30)]
+    rows = []
+    for i in range(150):
+        own = [f"w{i}x{j}" for j in range(70)]
+        rows.append((2 * i, " ".join(shared + own)))
+        if i % 6 == 0:
+            own[r.randrange(70)] = "new"
+            rows.append((2 * i + 1, " ".join(shared + own)))
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(df, k=k, percent=percent) == brute(rows, k, percent)
+
+
+def test_prefixes_meet_under_every_order():
+    """What the filters rest on: similar sets share a token of their prefixes under each order, whatever the levels."""
+    r = np.random.default_rng(8)
+    order = jaccard_join.Order.__call__
+    for _ in range(200):
+        a = np.unique(r.integers(0, 1 << 60, r.integers(4, 80)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) - int(r.integers(0, len(a) // 6 + 1))], r.integers(0, 1 << 60, r.integers(0, 4)).astype(np.uint64)]))
+        if jaccard_join.similar(a, b):
+            level = lambda h: h % np.uint64(5)
+            for i in range(len(jaccard_join.ORDERS)):
+                x, y = (h[np.argsort(order(None, h, level(h), i))[: jaccard_join.prefix_length(np.array([len(h)]))[0]]] for h in (a, b))
+                assert jaccard_join.common(np.sort(x), np.sort(y))
+
+
 def test_empty(none):
     assert run(none) == []
 

@@ -3,19 +3,24 @@
 A document's set is its distinct shingles of K words. Two sets whose Jaccard
 similarity reaches the threshold share a token among the first
 s - ceil(threshold * s) + 1 of each, under any order of all tokens. Under the
-first order, which puts tokens of many documents last, these prefixes are dealt
-out by token; sets that meet are candidates where what follows the token in both
-can make up the overlap that their sizes ask for. Before a candidate pair is
-verified, its prefixes under the other orders must intersect as well.
+first order these prefixes are dealt out by token; sets that meet are candidates
+where what follows the token in both can make up the overlap that their sizes ask
+for. The prefixes under two more orders lie beside the sets in mapped files. A
+candidate pair must meet in each of them as well, and only the pairs that all
+orders let through have their sets read and verified.
 
 Equal sets form one class. Groups of similar sets are not expanded into pairs: in
 rounds, each bucket's members are compared with one of them, and buckets whose
-members are connected by then are done. What is left is compared pair by pair,
-so that no link between classes of different components stays unseen.
-
-The first order needs no exact frequencies, only the same answer everywhere: the
-tokens that tasks meet often are counted, and the most frequent HEAVY of them
-are put last. All else is ordered by hash.
+members are connected by then are done. Of what is left, a bucket with more pairs
+than its members' prefixes have tokens is dealt out again by each token of the
+prefix under the second order, so that only sets which share tokens of both are
+paired; the pairs of the others are fewer than that. So no link between classes
+of different components stays unseen.
+
+All orders put tokens of many documents last, and differ in the hash that orders
+tokens as frequent. They need no exact frequencies, only the same answer
+everywhere: the tokens that tasks meet often are counted, and kept by range of
+hashes in mapped files; all others come first.
 """
 
 from __future__ import annotations
@@ -35,13 +40,16 @@ from .repeats import PACK, U64, bit_map, by_range, in_map, ranges
 K = 5
 #: Percent.
 THRESHOLD = 75
-#: A task reports tokens that it meets in so many documents; so many of them are put last in the first order.
-OFTEN, HEAVY = 4, 1 << 20
+#: A task reports tokens that it meets in so many documents.
+OFTEN = 4
+#: What the orders differ in; the first deals out, the others filter.
+ORDERS = (0x9E3779B97F4A7C15, 0x51ED270B7A8F3D15, 0x2545F4914F6CDD1D)
 #: In a task, the members of a token found in more sets than this are dealt out by set, not by token.
 MANY = 16
 ROUNDS = 6
 #: Bytes of input for each range of tokens.
 BUCKET_BYTES = 4 << 20
+_AT = "struct<pack:string,lo:long,hi:long,from:long,to:long>"
 GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -91,70 +99,78 @@ def first_of(row: np.ndarray, key: np.ndarray, size: np.ndarray, take: np.ndarra
 
 
 class Order:
-    """The first order: 0 to 63 for how many documents have a token, as far as counted, then its hash."""
+    """The orders: 0 to 63 for how many documents have a token, as far as counted, then a hash."""
+
+    def __init__(self, uri: str, n: int, there: set[int]):
+        self.n, self.there, self.files = n, there, store.Files(uri)
 
-    def __init__(self, uri: str, any_: bool):
-        self.h, self.level = store.get(uri, "often").values() if any_ else (np.empty(0, U64), np.empty(0, np.uint8))
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        u, back = np.unique(h, return_inverse=True)
+        level = np.zeros(len(u), U64)
+        for r, at in by_range(u, self.n):
+            if r in self.there:
+                have, known = self.files(f"often-{r}").values()
+                i = np.searchsorted(have, u[at])
+                i[i == len(have)] = 0
+                level[at] = np.where(have[i] == u[at], known[i], 0)
+        return level[back]
 
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        level = np.zeros(len(h), U64)
-        if len(self.h):
-            at = np.searchsorted(self.h, h)
-            at[at == len(self.h)] = 0
-            level = np.where(self.h[at] == h, self.level[at], 0).astype(U64)
-        return (level << U64(58)) | (words.mix(h + GOLD) >> U64(6))
+    def __call__(self, h: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
+        return (level << U64(58)) | (words.mix(h + U64(ORDERS[order])) >> U64(6))
 
 
-def _order(docs: DataFrame, k: int, uri: str, text: str) -> bool:
-    """Write the tokens that come last; whether there are any."""
+def _read(docs: DataFrame, k: int, text: str) -> DataFrame:
+    """doc_id, _k, s and fp of each row; and, where h is not null, the tokens that tasks meet often."""
 
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
-        size = 0
+        size_kept = 0
+        names = ["doc_id", "_k", "s", "fp", "h", "n"]
 
-        def send() -> pa.RecordBatch:
+        def nulls(n: int, kind) -> pa.Array:
+            return pa.nulls(n, kind)
+
+        def send(kind) -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(kept), return_counts=True)
             kept.clear()
             some = n >= OFTEN
-            return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(n[some])], names=["h", "n"])
+            m = int(some.sum())
+            return pa.RecordBatch.from_arrays([nulls(m, kind), *(nulls(m, pa.int64()) for _ in range(3)), pa.array(h[some].view(np.int64)), pa.array(n[some])], names=names)
 
         for b in batches:
-            for _, _, h in shingles(b.column(0), k):
+            kind = b.column(0).type
+            for w, row, h in shingles(b.column(2), k):
+                size, fp = prints(row, h, len(w.rows))
+                part = b.slice(w.rows.start, len(w.rows))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), pa.array(fp.view(np.int64)), *(nulls(len(size), pa.int64()) for _ in range(2))], names=names)
                 kept.append(h)
-                size += len(h)
-                if size >= 4 * PACK:
-                    yield send()
-                    size = 0
+                size_kept += len(h)
+                if size_kept >= 4 * PACK:
+                    yield send(kind)
+                    size_kept = 0
         if kept:
-            yield send()
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy().view(U64), b.column(1).to_numpy()) for b in batches]
-        h, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, U64), np.empty(0, np.int64))
-        order = np.argsort(h)
-        store.put(uri, "often", h=h[order], level=np.minimum(1 + np.log2(np.maximum(n[order], 1)).astype(np.int64), 63).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([len(h)], pa.int64())], names=["n"])
+            yield send(kind)
 
-    counted = docs.select(text).mapInArrow(lean.batches(often), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    last = counted.orderBy(F.desc("n"), "h").limit(HEAVY)
-    return any(x.n for x in last.coalesce(1).mapInArrow(lean.batches(write), "n long").collect())  # one row at most
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("_k"), text).mapInArrow(lean.batches(run), f"doc_id {kind}, _k long, s long, fp long, h long, n long")
 
 
-def _sets(docs: DataFrame, k: int, text: str) -> DataFrame:
-    """doc_id, _k, s and fp of each row."""
+def _order(often: DataFrame, n: int, uri: str) -> set[int]:
+    """Write the tokens that come last, by range of their hashes; the ranges that have any."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for w, row, h in shingles(b.column(2), k):
-                size, fp = prints(row, h, len(w.rows))
-                part = b.slice(w.rows.start, len(w.rows))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), pa.array(fp.view(np.int64))], names=["doc_id", "_k", "s", "fp"])
+    def write(table: pa.Table) -> pa.Table:
+        r = table.column("r")[0].as_py()
+        h, at = np.unique(table.column("h").to_numpy().view(U64), return_inverse=True)
+        count = np.bincount(at, table.column("n").to_numpy())
+        store.put(uri, f"often-{r}", h=h, level=np.minimum(1 + np.log2(count).astype(np.int64), 63).astype(np.uint8))
+        return pa.table({"r": pa.array([r], pa.int32())})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("_k"), text).mapInArrow(lean.batches(run), f"doc_id {kind}, _k long, s long, fp long")
+    spread = F.shiftrightunsigned("h", 64 - (n.bit_length() - 1)).cast("int").alias("r")
+    dealt = often.groupBy(spread, "h").agg(F.sum("n").alias("n"))
+    return {x.r for x in dealt.groupBy("r").applyInArrow(lean.group(write), "r int").collect()}  # at most n small numbers
 
 
-def _buckets(docs: DataFrame, k: int, percent: int, uri: str, ordered: bool, text: str) -> DataFrame:
+def _buckets(docs: DataFrame, k: int, percent: int, uri: str, there: set[int], text: str) -> DataFrame:
     """b, fp, s and i: the classes that share a token of their prefixes, their size and its place in their prefix.
 
     All tokens of a range that the same classes share are one b, with the place
@@ -192,10 +208,10 @@ def _buckets(docs: DataFrame, k: int, percent: int, uri: str, ordered: bool, tex
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["r", "asked", "h", "fp", "s"])
 
         for b in batches:
-            order = order or Order(uri, ordered)
+            order = order or Order(uri, n, there)
             for w, row, h in shingles(b.column(0), k):
                 size, fp = prints(row, h, len(w.rows))
-                at = first_of(row, order(h), size, prefix_length(size, percent))
+                at = first_of(row, order(h, order.levels(h), 0), size, prefix_length(size, percent))
                 if len(at):
                     r = row[at]
                     nth = np.arange(len(at)) - np.searchsorted(r, r)
@@ -238,8 +254,8 @@ def _buckets(docs: DataFrame, k: int, percent: int, uri: str, ordered: bool, tex
     return dealt.groupBy("r").applyInArrow(lean.group(meet), "b long, fp long, s int, i int").groupBy("b", "fp", "s").agg(F.min("i").alias("i"))
 
 
-def _tokens(docs: DataFrame, wanted: DataFrame, k: int, uri: str, text: str) -> DataFrame:
-    """fp, pack, lo and hi: where the sets of the rows whose key _k is wanted (and of a few others) lie in arrays at uri.
+def _tokens(docs: DataFrame, wanted: DataFrame, k: int, percent: int, uri: str, there: set[int], text: str) -> DataFrame:
+    """fp and where: pack, lo and hi of the sets of the rows whose key _k is wanted (and of a few others) in arrays at uri, from and to of their prefixes.
 
     Each task writes its own arrays, so sets are never shuffled. A repeated task
     writes others, and only those that its rows name are read.
@@ -256,16 +272,18 @@ def _tokens(docs: DataFrame, wanted: DataFrame, k: int, uri: str, text: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = store.Files(uri)
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        order = Order(uri, n, there)
+        kept: list[tuple[np.ndarray, ...]] = []
         size_kept = 0
 
         def send() -> pa.RecordBatch:
-            fp, size, h = (np.concatenate(x) for x in zip(*kept))
+            fp, size, take, h, *prefixes = (np.concatenate(x) for x in zip(*kept))
             kept.clear()
             pack = uuid.uuid4().hex
-            store.put(uri, f"t-{pack}", h=h)
-            hi = np.cumsum(size)
-            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array([pack] * len(fp), pa.string()), pa.array(hi - size), pa.array(hi)], names=["fp", "pack", "lo", "hi"])
+            store.put(uri, f"t-{pack}", h=h, **{f"p{i + 1}": x for i, x in enumerate(prefixes)})
+            ends = [np.cumsum(x) for x in (size, take)]
+            places = [pa.array([pack] * len(fp), pa.string()), *(pa.array(x.astype(np.int64)) for end, x0 in zip(ends, (size, take)) for x in (end - x0, end))]
+            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.StructArray.from_arrays(places, names=["pack", "lo", "hi", "from", "to"])], names=["fp", "at"])
 
         for b in batches:
             part, key = b.column(0).to_numpy(), words.mix(b.column(1).to_numpy().view(U64))
@@ -276,7 +294,12 @@ def _tokens(docs: DataFrame, wanted: DataFrame, k: int, uri: str, text: str) ->
                     hit[at] = in_map(files(f"k-{r}")["map"], key[at])
             for w, row, h in shingles(b.column(2).filter(pa.array(hit)), k):
                 size, fp = prints(row, h, len(w.rows))
-                kept.append((fp, size, h))
+                take, level = np.where(size > 0, prefix_length(size, percent), 0), order.levels(h)
+                prefixes = []
+                for i in range(1, len(ORDERS)):
+                    at = first_of(row, order(h, level, i), size, take)
+                    prefixes.append(h[at[np.lexsort((h[at], row[at]))]])
+                kept.append((fp, size, take, h, *prefixes))
                 size_kept += len(h)
                 if size_kept >= PACK:
                     yield send()
@@ -284,88 +307,122 @@ def _tokens(docs: DataFrame, wanted: DataFrame, k: int, uri: str, text: str) ->
         if kept:
             yield send()
 
-    return docs.select(F.xxhash64("doc_id", text).alias("_k"), text).select(spread, "_k", text).mapInArrow(lean.batches(run), "fp long, pack string, lo long, hi long")
+    return docs.select(F.xxhash64("doc_id", text).alias("_k"), text).select(spread, "_k", text).mapInArrow(lean.batches(run), f"fp long, at {_AT}")
 
 
-def _other_orders(h: np.ndarray, take: int) -> list[np.ndarray]:
-    return [np.sort(np.partition(words.mix(h ^ U64(seed)), take - 1)[:take]) if take < len(h) else np.sort(words.mix(h ^ U64(seed))) for seed in (0x51ED270B, 0x2545F491)]
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct ones share."""
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return int((x[at] == y).sum())
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = THRESHOLD) -> bool:
-    """Prefixes under the other orders, then the sets themselves; both sorted."""
-    take = [int(prefix_length(np.array([len(x)]), percent)[0]) for x in (a, b)]
-    for x, y in zip(_other_orders(a, take[0]), _other_orders(b, take[1])):
-        at = np.searchsorted(x, y)
-        at[at == len(x)] = 0
-        if not (x[at] == y).any():
-            return False
-    at = np.searchsorted(a, b)
-    at[at == len(a)] = 0
-    both = int((a[at] == b).sum())
+    both = common(a, b)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _verify(pairs: DataFrame, tokens: DataFrame, percent: int, uri: str) -> DataFrame:
-    """The pairs of classes a, b that are similar."""
+    """The pairs of classes a, b that meet under every order and are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = store.Files(uri)
 
-        def get(x: dict) -> np.ndarray:
+        def prefix(x: dict, order: int) -> np.ndarray:
+            return files(f"t-{x['pack']}")[f"p{order}"][x["from"] : x["to"]]
+
+        def whole(x: dict) -> np.ndarray:
             return files(f"t-{x['pack']}")["h"][x["lo"] : x["hi"]]
 
         for b in batches:
-            ok = [similar(get(x), get(y), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    place = F.struct("pack", "lo", "hi")
-    one = tokens.select(F.col("fp").alias("a"), place.alias("ta"))
-    two = tokens.select(F.col("fp").alias("b"), place.alias("tb"))
+            places = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist()))
+            left = range(len(places))
+            for order in range(1, len(ORDERS)):
+                left = [i for i in left if common(prefix(places[i][0], order), prefix(places[i][1], order))]
+            left = [i for i in left if similar(whole(places[i][0]), whole(places[i][1]), percent)]
+            yield b.select(["a", "b"]).take(pa.array(left, pa.int64()))
+
+    one = tokens.select(F.col("fp").alias("a"), F.col("at").alias("ta"))
+    two = tokens.select(F.col("fp").alias("b"), F.col("at").alias("tb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(lean.batches(run), "a long, b long")
 
 
+def _by_second(open_: DataFrame, tokens: DataFrame, uri: str) -> DataFrame:
+    """open_ with b2, once for each token of a member's prefix under the second order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = store.Files(uri)
+        for b in batches:
+            parts = [files(f"t-{x['pack']}")["p1"][x["from"] : x["to"]] for x in b.column("at").to_pylist()]
+            # A few rows have many tokens: as many batches as keep them small.
+            lo = 0
+            while lo < len(parts):
+                hi, size = lo, 0
+                while hi < len(parts) and (hi == lo or size + len(parts[hi]) <= 1 << 18):
+                    size += len(parts[hi])
+                    hi += 1
+                which = pa.array(np.repeat(np.arange(lo, hi), [len(x) for x in parts[lo:hi]]))
+                yield b.drop_columns(["at"]).take(which).append_column("b2", pa.array(np.concatenate(parts[lo:hi]).view(np.int64)))
+                lo = hi
+
+    return open_.join(tokens, "fp").select("b", "fp", "s", "i", "c", "at").mapInArrow(lean.batches(run), "b long, fp long, s int, i int, c long, b2 long")
+
+
 def _solve(docs: DataFrame, k: int, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, _k, s and class fp), and fp and component c of the classes that share a token of their prefixes."""
     spark = docs.sparkSession
     lean.small_batches(spark)
-    rows = store.written(spark, _sets(docs, k, text), "sets")
+    n = ranges(docs, BUCKET_BYTES)
+    read = store.written(spark, _read(docs, k, text), "sets")
+    rows = read.where("h is null").select("doc_id", "_k", "s", "fp")
     uri = store.folder(spark, "order")
-    ordered = _order(docs, k, uri, text)
-    buckets = store.written(spark, _buckets(docs, k, percent, uri, ordered, text), "buckets")
+    there = _order(read.where("h is not null").select("h", "n"), n, uri)
+    buckets = store.written(spark, _buckets(docs, k, percent, uri, there, text), "buckets")
     members = buckets.select("fp").distinct()
     reps = rows.join(members, "fp", "left_semi").groupBy("fp").agg(F.min("_k").alias("_k"))
-    tokens = store.written(spark, _tokens(docs, reps, k, uri, text).join(members, "fp", "left_semi").dropDuplicates(["fp"]), "tokens")
-    labels = members.select("fp", F.col("fp").alias("c"))
+    tokens = store.written(spark, _tokens(docs, reps, k, percent, uri, there, text).join(members, "fp", "left_semi").dropDuplicates(["fp"]), "tokens")
+    labels = store.written(spark, members.select("fp", F.col("fp").alias("c")), "labels")
     at_most, before = buckets.count(), float("inf")
     for i in range(ROUNDS + 1):
         here = buckets.join(labels, "fp")
         # Members whose token comes too late in them to be the first that they share with any set of the bucket's sizes.
         least = here.groupBy("b").agg(F.min("s").alias("least"))
         here = here.join(least, "b").where(f"{100 + percent} * (s - i) >= {percent} * s + greatest({percent} * least, {percent * percent} * s div 100)").drop("least")
-        per = here.groupBy("b", "c").agg(F.count("*").alias("m")).groupBy("b").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("cs"))
-        open_ = store.written(spark, here.join(per.where("cs > 1").select("b", "n", "q"), "b").select("b", "fp", "s", "i", "c", "n", "q"), "open")
-        todo = open_.select("b", "n", "q").distinct().agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0]
+        prefix = F.sum(F.expr(f"s - (s * {percent} + 99) div 100 + 1")).alias("w")
+        per = here.groupBy("b", "c").agg(F.count("*").alias("m"), prefix).groupBy("b").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("cs"), F.sum("w").alias("w"))
+        per = per.where("cs > 1").select("b", ((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs"), "w")
+        open_ = store.written(spark, here.join(per, "b").select("b", "fp", "s", "i", "c", "pairs", "w"), "open")
+        todo = open_.select("b", "pairs").distinct().agg(F.sum("pairs")).first()[0]
         if not todo:
+            store.forget(open_)
             break
         last = i == ROUNDS or todo <= at_most or todo > 0.9 * before
         before = todo
-        one = open_.select("b", F.col("fp").alias("a"), F.col("s").alias("sa"), F.col("i").alias("ia"), F.col("c").alias("ca"))
-        two = open_.select("b", F.col("fp").alias("b2"), F.col("s").alias("sb"), F.col("i").alias("ib"), F.col("c").alias("cb"))
-        if not last:
+        fits = f"100 * least(sa, sb) >= {percent} * greatest(sa, sb) and {100 + percent} * least(sa - ia, sb - ib) >= {percent} * (sa + sb)"
+        sides = lambda t, *by: (t.select(*by, F.col("fp").alias("a"), F.col("s").alias("sa"), F.col("i").alias("ia"), F.col("c").alias("ca")), t.select(*by, F.col("fp").alias("z"), F.col("s").alias("sb"), F.col("i").alias("ib"), F.col("c").alias("cb")))
+        if last:
+            both = store.written(spark, _by_second(open_.where("pairs > w"), tokens, uri), "both")
+            (one, two), (few, others) = sides(both, "b", "b2"), sides(open_.where("pairs <= w"), "b")
+            pairs = one.join(two, ["b", "b2"]).drop("b2").unionByName(few.join(others, "b")).where("ca < cb").where(fits)
+        else:
             # The member that shares the most, as far as the token's place tells; in later rounds any.
+            one, two = sides(open_, "b")
             by = [F.col("ia") / F.col("sa")] if i % 2 == 0 else []
             best = F.min(F.struct(*(x.alias(f"o{k}") for k, x in enumerate([*by, F.xxhash64(F.col("a"), F.lit(i))])), "a", "sa", "ia", "ca")).alias("best")
             one = one.groupBy("b").agg(best).select("b", "best.a", "best.sa", "best.ia", "best.ca")
-        pairs = one.join(two, "b").where((F.col("ca") < F.col("cb")) if last else (F.col("ca") != F.col("cb")))
-        pairs = pairs.where(f"100 * least(sa, sb) >= {percent} * greatest(sa, sb) and {100 + percent} * least(sa - ia, sb - ib) >= {percent} * (sa + sb)")
-        pairs = pairs.select(F.least("a", "b2").alias("a"), F.greatest("a", "b2").alias("b")).distinct()
+            pairs = one.join(two, "b").where("ca <> cb").where(fits)
+        pairs = pairs.select(F.least("a", "z").alias("a"), F.greatest("a", "z").alias("b")).distinct()
         links = _verify(pairs, tokens, percent, uri)
         known = labels.select(F.col("fp").alias("a"), F.col("c").alias("ca")), labels.select(F.col("fp").alias("b"), F.col("c").alias("cb"))
         step = components.components(links.join(known[0], "a").join(known[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        step = step.select(F.col("u").alias("c"), F.col("p").alias("to"))
-        labels = store.written(spark, labels.join(step, "c", "left").select("fp", F.coalesce("to", "c").alias("c")), "labels")
+        to = step.select(F.col("u").alias("c"), F.col("p").alias("to"))
+        old, labels = labels, store.written(spark, labels.join(to, "c", "left").select("fp", F.coalesce("to", "c").alias("c")), "labels")
+        store.forget(old, open_, step)
         if last:
+            store.forget(both)
             break
+    store.forget(buckets, tokens)
+    store.drop(spark, uri)
     return rows, labels
 
 
