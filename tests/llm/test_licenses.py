@@ -3,6 +3,8 @@ import re
 
 from weftline.llm import license_rules as licenses
 
+from .license_wordings import WORDINGS
+
 RULES = licenses.rules()
 
 
@@ -20,14 +22,52 @@ def brute(t):
 
 
 def test_rules():
-    assert len(RULES) > 300 and len({(r.label, r.regex) for r in RULES}) == len(RULES) and [r.id for r in RULES] == list(range(len(RULES)))
+    assert len(RULES) > 200 and len({(r.label, r.regex) for r in RULES}) == len(RULES) and [r.id for r in RULES] == list(range(len(RULES)))
     assert all(0 <= r.priority <= 5 and 0 < r.confidence <= 1 for r in RULES)
 
 
-def test_every_match_passes_the_gate():
-    """Each rule holds a word of the gate in its keywords or, in all its readings, in itself."""
-    for r in RULES:
-        assert all(any(g in k for g in licenses.GATE) or k == "cc by" for k in r.keywords) or re.search(r"licen|spdx|cc by|cc0|wtfpl|warranty", r.regex), r
+def sample(pattern, r):
+    """A random text that the pattern matches."""
+    out = []
+    for op, arg in pattern:
+        op = str(op)
+        if op == "LITERAL":
+            out.append(chr(arg))
+        elif op == "IN":
+            kind, value = r.choice(arg)
+            out.append({"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(r.randint(*v)), "CATEGORY": lambda v: "7" if "DIGIT" in str(v) else "q"}[str(kind)](value))
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            lo, hi, inner = arg
+            out += [sample(inner, r) for _ in range(r.randint(lo, min(int(hi), lo + 3)))]
+        elif op == "SUBPATTERN":
+            out.append(sample(arg[-1], r))
+        elif op == "BRANCH":
+            out.append(sample(r.choice(arg[1]), r))
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return "".join(out)
+
+
+def test_every_match_passes_the_gate_and_holds_a_keyword():
+    r = random.Random(2)
+    for rule in RULES:
+        for _ in range(60):
+            t = sample(re._parser.parse(rule.regex), r)
+            assert re.search(rule.regex, f" {t} "), (rule, t)
+            assert any(k in f" {t} " for k in rule.keywords), (rule, t)
+            assert any(g in t for g in licenses.GATE) or re.search(licenses.GATE_WORDS, t), (rule, t)
+
+
+def test_real_wordings(spark):
+    """Wordings as headers, manifests and notices have them, none of which a rule was made from; each of at least 19 in 20 gets its label, and texts about other things get none."""
+    cases = [line.split(": ", 1) for line in WORDINGS.strip().split("\n")]
+    assert len(cases) >= 200
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {x["doc_id"]: set(x["labels"].split(",")) for x in licenses.licenses(df).collect()}
+    hit = [want == "none" and got[i] == {""} or want in got[i] for i, (want, _) in enumerate(cases)]
+    missed = [(want, t, got[i]) for (i, (want, t)), ok in zip(enumerate(cases), hit) if not ok]
+    assert sum(hit) >= 0.95 * len(hit), missed
+    assert all(got[i] == {""} for i, (want, _) in enumerate(cases) if want == "none")
 
 
 def test_query(spark, docs, none):

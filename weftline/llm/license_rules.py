@@ -1,8 +1,8 @@
 """License detection by ordered signature rules, in DataFrame functions alone.
 
 Texts are taken as their words, lower-cased and joined by single spaces. Every
-rule is a regular expression over these with a label, a priority, a confidence
-and keywords, one of which any match contains. A text that holds none of the
+rule of license_signatures is a regular expression over these with a label, a
+priority, a confidence and keywords, one of which any match contains. A text that holds none of the
 GATE is done at once; for the others only rules with a keyword that occurs are
 matched.
 Where detections overlap, one that lies within another of the same or a higher
@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_signatures import SIGNATURES
+
 #: What separates words, once A-Z are lower-cased; before that, A-Z are not among it.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -26,8 +27,11 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 #: A text without any of these, once lower-cased, has no words of a base phrase or rule.
-GATE = ["licen", "spdx", "gnu", "copyleft", "redistribution", "wtfpl", "cc0", "domain", "permission", "commons", "warranty", "reserved", "mozilla"]
-GATE_PAIR = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
+GATE = """
+    licen spdx gpl gfdl gnu bsd copyleft redistribut wtfpl cc0 domain permission commons warrant reserved mozilla mpl apache cddl eupl busl sspl cecill odbl
+    artistic endorse advertising liable misrepresented openssl evil beer proprietary unauthorized
+""".split()
+GATE_WORDS = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by|open[\x00-\x2F\x3A-\x60\x7B-\x7F]*rail|(?<![a-z0-9])(?:mit|x11|expat|asl|epl|osl|bsl|ofl|perl|ms)(?![a-z0-9])"
 
 
 @dataclass(frozen=True)
@@ -40,139 +44,13 @@ class Rule:
     regex: str
 
 
-#: label, name, versions (a version that is written without one first, if there is such), SPDX name with {v}.
-FAMILIES = [
-    ("apache", "apache(?: software)?", ["", "1 0", "1 1", "2 0"], "apache {v}"),
-    ("gpl", "(?:gnu )?(?:general public|gpl)", ["", "1 0", "2 0", "3 0"], "gpl {v}(?: only| or later)?"),
-    ("lgpl", "(?:gnu )?(?:lesser general public|library general public|lgpl)", ["", "2 0", "2 1", "3 0"], "lgpl {v}(?: only| or later)?"),
-    ("agpl", "(?:gnu )?(?:affero general public|agpl)", ["", "1 0", "3 0"], "agpl {v}(?: only| or later)?"),
-    ("gfdl", "(?:gnu )?(?:free documentation|gfdl|fdl)", ["", "1 1", "1 2", "1 3"], "gfdl {v}(?: only| or later)?"),
-    ("mit", "(?:mit|expat|x11)", [""], "mit"),
-    ("mit-0", "mit (?:0|no attribution)", [""], "mit 0"),
-    ("isc", "isc", [""], "isc"),
-    ("bsd-2-clause", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", [""], "bsd 2 clause"),
-    ("bsd-3-clause", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", [""], "bsd 3 clause"),
-    ("bsd-4-clause", "(?:original bsd|bsd 4 clause|4 clause bsd)", [""], "bsd 4 clause"),
-    ("bsd-0-clause", "(?:zero clause bsd|0bsd)", [""], "0bsd"),
-    ("bsd", "bsd(?: style)?", [""], "bsd"),
-    ("mpl", "(?:mozilla public|mpl)", ["", "1 0", "1 1", "2 0"], "mpl {v}"),
-    ("epl", "(?:eclipse public|epl)", ["", "1 0", "2 0"], "epl {v}"),
-    ("cddl", "(?:common development and distribution|cddl)", ["", "1 0", "1 1"], "cddl {v}"),
-    ("cpl", "(?:common public|cpl)", ["", "1 0"], "cpl {v}"),
-    ("eupl", "(?:european union public|eupl)", ["", "1 0", "1 1", "1 2"], "eupl {v}"),
-    ("osl", "(?:open software|osl)", ["", "1 0", "2 0", "2 1", "3 0"], "osl {v}"),
-    ("afl", "(?:academic free|afl)", ["", "1 1", "1 2", "2 0", "2 1", "3 0"], "afl {v}"),
-    ("artistic", "artistic", ["", "1 0", "2 0"], "artistic {v}"),
-    ("bsl", "(?:boost software|bsl)", ["", "1 0"], "bsl {v}"),
-    ("busl", "(?:business source|busl)", ["", "1 1"], "busl {v}"),
-    ("sspl", "(?:server side public|sspl)", ["", "1 0"], "sspl {v}"),
-    ("elastic", "elastic", ["", "2 0"], "elastic {v}"),
-    ("ofl", "(?:sil open font|open font|ofl)", ["", "1 0", "1 1"], "ofl {v}"),
-    ("zlib", "(?:zlib|zlib libpng)", [""], "zlib"),
-    ("psf", "(?:python software foundation|psf)", ["", "2 0"], "(?:psf|python) {v}"),
-    ("php", "php", ["", "3 0", "3 01"], "php {v}"),
-    ("ruby", "ruby", [""], "ruby"),
-    ("ms-pl", "(?:microsoft public|ms pl)", [""], "ms pl"),
-    ("ms-rl", "(?:microsoft reciprocal|ms rl)", [""], "ms rl"),
-    ("unlicense", "unlicense", [""], "unlicense"),
-    ("wtfpl", "(?:do what the fuck you want to public|wtfpl)", [""], "wtfpl"),
-    ("cc0", "(?:creative commons zero|cc zero|cc0)", ["", "1 0"], "cc0 {v}"),
-    ("cecill", "cecill", ["", "1 0", "1 1", "2 0", "2 1"], "cecill {v}"),
-    ("ecl", "(?:educational community|ecl)", ["", "1 0", "2 0"], "ecl {v}"),
-    ("ncsa", "(?:university of illinois ncsa|ncsa)", [""], "ncsa"),
-    ("odbl", "(?:open database|odbl)", ["", "1 0"], "odbl {v}"),
-    ("openssl", "openssl", [""], "openssl"),
-    ("postgresql", "postgresql", [""], "postgresql"),
-    ("vim", "vim", [""], "vim"),
-    ("w3c", "w3c(?: software)?", [""], "w3c"),
-]
-
-#: What a family's name contains, where that is not its label.
-KEYWORDS = {
-    "gpl": ("general public", "gpl"), "lgpl": ("lesser general", "library general", "lgpl"), "agpl": ("affero", "agpl"), "gfdl": ("free documentation", "fdl"),
-    "mit": (" mit ", "expat", "x11"), "mit-0": ("mit 0", "mit no attribution"), "isc": (" isc ",), "bsd-2-clause": ("bsd",), "bsd-3-clause": ("bsd",), "bsd-4-clause": ("bsd",),
-    "bsd-0-clause": ("bsd",), "mpl": ("mozilla public", " mpl "), "epl": ("eclipse", " epl "), "cddl": ("common development", "cddl"), "cpl": ("common public", " cpl "),
-    "eupl": ("european union public", "eupl"), "osl": ("open software", " osl "), "afl": ("academic free", " afl "), "bsl": ("boost", " bsl "), "busl": ("business source", "busl"),
-    "sspl": ("server side", "sspl"), "ofl": ("open font", " ofl "), "psf": ("python", " psf "), "php": (" php ",), "ms-pl": ("microsoft public", " ms pl "),
-    "ms-rl": ("microsoft reciprocal", " ms rl "), "wtfpl": ("do what the fuck", "wtfpl"), "cc0": ("creative commons zero", "cc zero", "cc0"), "ecl": ("educational community", " ecl "),
-    "odbl": ("open database", "odbl"), "vim": (" vim ",), "ncsa": ("ncsa",),
-}
-
-COMMONS = {
-    "cc-by": ("by", "attribution"),
-    "cc-by-sa": ("by sa", "attribution share ?alike"),
-    "cc-by-nd": ("by nd", "attribution no ?derivatives"),
-    "cc-by-nc": ("by nc", "attribution non ?commercial"),
-    "cc-by-nc-sa": ("by nc sa", "attribution non ?commercial share ?alike"),
-    "cc-by-nc-nd": ("by nc nd", "attribution non ?commercial no ?derivatives"),
-}
-
-#: label, priority, confidence, keyword, sentence
-SENTENCES = [
-    ("mit", 4, 0.97, "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", 4, 0.97, "permission to use", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted (?:\\S+ ){0,12}licen[cs]e"),
-    ("bsd", 4, 0.95, "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl", 4, 0.95, "gnu", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", 4, 0.95, "gnu", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    ("agpl", 4, 0.95, "gnu", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("apache", 4, 0.95, "license", "you may not use this file except in compliance with the license"),
-    ("mpl", 4, 0.95, "license", "this source code form is subject to the terms of the mozilla public license"),
-    ("unlicense", 4, 0.95, "public domain", "this is free and unencumbered software released into the public domain"),
-    ("public-domain", 3, 0.8, "public domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("public-domain", 2, 0.5, "public domain", "(?:is|are) in the public domain"),
-    ("zlib", 4, 0.95, "as is", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("proprietary", 1, 0.4, "rights reserved", "all rights reserved"),
-    ("copyleft", 1, 0.4, "copyleft", "copyleft"),
-    ("creative-commons", 1, 0.5, "creative commons", "creative commons"),
-    ("unknown-license", 0, 0.3, "licensed under", "licensed under"),
-    ("unknown-license", 0, 0.3, "license", "(?:released|distributed|available) under (?:the |an? )?(?:\\S+ ){1,4}licen[cs]e"),
-]
-
-LINKS = {
-    "apache-2.0": "apache org licenses license 2 0",
-    "gpl": "gnu org licenses gpl",
-    "lgpl": "gnu org licenses lgpl",
-    "agpl": "gnu org licenses agpl",
-    "gfdl": "gnu org licenses fdl",
-    "mit": "opensource org licenses mit",
-    "isc": "opensource org licenses isc",
-    "bsd": "opensource org licenses bsd",
-    "mpl-2.0": "mozilla org mpl 2 0",
-    "unlicense": "unlicense org",
-    "wtfpl": "wtfpl net",
-}
-PLACED = "(?:licensed|released|distributed|published|provided|available|covered|made available) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
-
-
 def rules() -> list[Rule]:
     """All rules, in their order."""
-    found: list[tuple[str, int, float, tuple[str, ...], str]] = []
-    for label, name, versions, spdx in FAMILIES:
-        words = tuple(KEYWORDS.get(label, (label,)))
-        for v in versions:
-            tagged = f"{label}-{v.replace(' ', '.')}" if v else label
-            major = v.removesuffix(" 0") if v else ""
-            number = f"(?: public)?(?: licen[cs]e)?(?: version| v)? (?:v ?)?{major}(?: 0)?" if v.endswith(" 0") else f"(?: public)?(?: licen[cs]e)?(?: version| v)? (?:v ?)?{v}"
-            tag = spdx.replace("{v}", v).strip() if v or "{v}" not in spdx else None
-            if tag:
-                found.append((tagged, 5, 1.0, ("spdx license identifier",), f"spdx license identifier {tag}"))
-            if v:
-                found.append((tagged, 4, 0.95, words, f"{PLACED}{name} licen[cs]e(?: version| v)? (?:v ?)?{major if v.endswith(' 0') else v}(?: 0)?"))
-                found.append((tagged, 3, 0.9, words, f"{name} licen[cs]e{number.split(')?', 2)[-1]}"))
-                found.append((tagged, 3, 0.85, words, f"licensed under (?:the )?{name}{number}"))
-            else:
-                found.append((tagged, 3, 0.85, words, f"{PLACED}{name} licen[cs]e"))
-                found.append((tagged, 2, 0.7, words, f"(?:the )?{name} licen[cs]e"))
-    for (label, (short, long)), v in product(COMMONS.items(), ["", "1 0", "2 0", "2 5", "3 0", "4 0"]):
-        tagged = f"{label}-{v.replace(' ', '.')}" if v else label
-        if v:
-            found.append((tagged, 5, 1.0, ("spdx license identifier",), f"spdx license identifier cc {short} {v}"))
-        found.append((tagged, 4 if v else 3, 0.95 if v else 0.85, ("cc by",), f"licensed under (?:the |a )?cc {short}{' ' + v if v else ''}"))
-        found.append((tagged, 3 if v else 2, 0.9 if v else 0.7, ("cc by",), f"cc {short}{' ' + v if v else ''}"))
-        found.append((tagged, 3 if v else 2, 0.9 if v else 0.7, ("creative commons",), f"creative commons {long}(?: international| unported)?(?: public)?(?: licen[cs]e)?{' ' + v if v else ''}"))
-    found += [(label, 4, 0.9, (url,), url) for label, url in LINKS.items()]
-    found += [(label, p, c, (k,), body) for label, p, c, k, body in SENTENCES]
-    return [Rule(i, label, p, c, k, f"(?<= ){body}(?= )") for i, (label, p, c, k, body) in enumerate(found)]
+    found = []
+    for line in SIGNATURES.strip().split("\n"):
+        label, priority, confidence, words, body = line.split("|", 4)
+        found.append(Rule(len(found), label, int(priority), float(confidence), tuple(words.split(",")), f"(?<= )(?:{body})(?= )"))
+    return found
 
 
 _RULE = "struct<id:int,label:string,priority:int,confidence:double,regex:string>"
@@ -248,7 +126,7 @@ def licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         any_ = F.contains(t, F.lit(GATE[0]))
         for k in GATE[1:]:
             any_ = any_ | F.contains(t, F.lit(k))
-        return any_ | (F.contains(t, F.lit("cc")) & t.rlike(GATE_PAIR))
+        return any_ | t.rlike(GATE_WORDS)
 
     nothing = "array(named_struct('base', cast(array() as array<struct<n:bigint,first:bigint,last:bigint,label:string>>), 'rules', cast(array() as array<" + _RULE + ">)))"
     found = F.when(F.transform(F.array(F.lower(whole)), gate)[0], F.transform(F.array(plain), scan)).otherwise(F.expr(nothing))
