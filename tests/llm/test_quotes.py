@@ -45,7 +45,7 @@ def test_the_same_as_sql(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", made())
-    want = con.sql(f"SELECT {', '.join(names)} FROM ({quotes.SQL})").fetchall()
+    want = con.sql(f"SELECT {', '.join(names)} FROM ({quotes.sql('conversations')})").fetchall()
     rows = sorted((tuple(r) for r in got.select(names).collect()), key=str)
     assert rows == sorted(want, key=str) and max(r[names.index("depth")] for r in rows) > 2
 
@@ -53,7 +53,7 @@ def test_the_same_as_sql(spark):
 def test_long_chain(spark):
     rows = [(1, 0, "user", "line 0")] + [(1, t, "user", f"> line {t - 1}\nline {t}") for t in range(1, 70)]
     got = {r["turn"]: r for r in quotes.threads(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert all(got[t]["depth"] == t and got[t]["root_turn"] == 0 and got[t]["body"] == f"line {t}" for t in got)
+    assert all(got[t]["depth"] == got[t]["position"] == t and got[t]["root_turn"] == 0 and got[t]["body"] == f"line {t}" for t in got)
 
 
 def test_common_first_line(spark):
@@ -64,11 +64,47 @@ def test_common_first_line(spark):
 
 def test_empty_and_native(spark):
     assert quotes.threads(spark.createDataFrame([], SCHEMA)).collect() == []
-    plan = quotes.links(spark.createDataFrame(CASES, SCHEMA))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
-
-
-@pytest.mark.parametrize("text", ["x" * 200000, "> a\n" * 3000 + "b", "\n" * 1000])
+    df = spark.createDataFrame(CASES, SCHEMA)
+    found = spark.createDataFrame([(1, 2, 0, 0)], "conv_id long, turn long, parent_turn long, root_turn long")
+    for out in (quotes.links(df), quotes.threads(df), quotes.as_replies(df), quotes._places(found)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_places_in_a_tree(spark, monkeypatch):
+    """A random tree, replies to one message in several groups: positions are those of a walk in depth."""
+    monkeypatch.setattr(quotes, "SIBLINGS", 5)
+    r = random.Random(7)
+    parent = {t: (r.choice([0, max(0, t - 1), r.randrange(t)]) if t % 13 else None) for t in range(1, 90)} | {0: None}
+    root = lambda t: t if parent[t] is None else root(parent[t])
+    want = {}
+    for top in (t for t in parent if parent[t] is None):
+        stack, n = [top], 0
+        while stack:
+            t = stack.pop()
+            want[t], n = n, n + 1
+            stack += sorted((c for c in parent if parent[c] == t), reverse=True)
+    rows = [(c, t, p, root(t) if p is not None else None) for c in (1, 2) for t, p in parent.items()]
+    got = quotes._places(spark.createDataFrame(rows, "conv_id long, turn long, parent_turn long, root_turn long")).collect()
+    children = {p for p in parent.values()}
+    assert all(x["position"] == want[x["turn"]] for x in got if x["parent_turn"] is not None or x["turn"] in children) and len(got) == 180
+
+
+def test_conversations_in_order(spark):
+    rows = [(1, 0, "user", "first thing"), (1, 1, "a", "second thing"), (1, 2, "b", "> first thing\nto the first"), (1, 3, "c", "> second thing\nto the second"), (1, 4, "d", "> to the first\nfurther")]
+    got = [(x["turn"], x["position"], x["body"]) for x in quotes.ordered(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert got == [(0, 0, "first thing"), (2, 1, "to the first"), (4, 2, "further"), (1, 0, "second thing"), (3, 1, "to the second")]
+
+
+def test_replies_are_linked_to_what_they_quote(spark):
+    rows = [(c, t, "user", f"line {c} {t}\nmore of {c} {t}") for c in range(6) for t in range(5)] + [(1, 7, None, "alone"), (None, 1, "user", "x"), (9, 0, "user", None)]
+    got = {(x["conv_id"], x["turn"]): x for x in quotes.threads(quotes.as_replies(spark.createDataFrame(rows, SCHEMA))).collect()}
+    for (c, t), x in got.items():
+        if c is not None and c < 6 and 0 < t < 5:
+            assert (x["parent_turn"], x["depth"], x["position"], x["body"]) == (t - 1, t, t, f"line {c} {t}\nmore of {c} {t}") and x["n_linked"] == x["n_quoted"]
+    assert got[9, 0]["body"] is None and got[1, 7]["depth"] == 0
+
+@pytest.mark.parametrize("text", ["x" * 200000, "> a\n" * 30000 + "b", "> a line\n\n" * 20000 + "b", ">" * 100000 + " a\nb", " >> a\n>  > b\n\t>c\n  > d", "\n" * 1000])
 def test_very_long(spark, text):
     (r,) = quotes.threads(spark.createDataFrame([(1, 0, "user", text)], SCHEMA)).collect()
-    assert r["body"] == ("b" if text.endswith("b") else text)
+    assert r["body"] == ("b" if text.endswith("b") else "  > d" if text.endswith("d") else text)
