@@ -1,17 +1,17 @@
 """Token counts by rank-synchronous array merging.
 
 The distinct pre-tokens of a batch are held as one ragged numpy array of symbols.
-In each round every sequence merges its pair of lowest rank (the leftmost among
-equals), all sequences at once, and what is left of the sequences that found a
-pair goes into the next round. The count of a text is the sum over its
-pre-tokens of the symbols that survive; a character outside the vocabulary
-counts as its UTF-8 bytes. Sequences beyond LONG symbols, whose rounds would
-cost the square of their length, are merged with a heap, in the same order.
+In each round every sequence merges its pair of lowest rank, all sequences at
+once: everywhere in the sequence, from the left, since what a merge makes only
+pairs at higher ranks. (Where a vocabulary has a piece for which that is not so,
+the leftmost place alone.) What is left of the sequences that found a pair goes
+into the next round, so the rounds are as many as the different ranks met. The
+count of a text is the sum over its pre-tokens of the symbols that survive; a
+character outside the vocabulary counts as its UTF-8 bytes.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,28 +21,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import lean, pieces as P
 
-LONG = 2048
 NONE = np.int64(1) << 62
 
 
 class Merger:
-    def __init__(self, model: bytes):
-        p = P.pieces(model)
-        symbols = list(p.ids)
+    def __init__(self, model: bytes | None, ids: dict[str, int] | None = None, scores: list[float] | None = None):
+        if model is not None:
+            p = P.pieces(model)
+            ids, scores = p.ids, p.score
+        symbols = list(ids)
         index = {t: i for i, t in enumerate(symbols)}
-        for c in sorted({c for t in p.ids for c in t} - index.keys()):
+        for c in sorted({c for t in ids for c in t} - index.keys()):
             index[c] = len(symbols)
             symbols.append(c)
         self.size = len(symbols)
-        self.cost = np.array([1 if t in p.ids else len(t.encode()) for t in symbols], np.int64)
+        self.cost = np.array([1 if t in ids else len(t.encode()) for t in symbols], np.int64)
         self.symbol = np.full(0x110000, -1, np.int32)
         for t, i in index.items():
             if len(t) == 1:
                 self.symbol[ord(t)] = i
-        score = np.array([p.score[p.ids[t]] for t in symbols[: len(p.ids)]])
+        score = np.array([scores[ids[t]] for t in symbols[: len(ids)]])
         rank = np.unique(-score, return_inverse=True)[1]
         left, right, made = [], [], []
-        for t, i in p.ids.items():
+        for t in ids:
             for k in range(1, len(t)):
                 a, b = index.get(t[:k]), index.get(t[k:])
                 if a is not None and b is not None:
@@ -51,6 +52,12 @@ class Merger:
         order = np.argsort(keys)
         self.keys, self.made = keys[order], np.array(made, np.int64)[order]
         self.rank = rank[self.made].astype(np.int64)
+        # Ranks at which a merge makes a symbol that pairs at the same or a lower one.
+        lowest = np.full(self.size, NONE)
+        for part in (left, right):
+            np.minimum.at(lowest, np.array(part, np.int64)[order], self.rank)
+        self.alone = np.zeros(len(rank) + 1, bool)
+        self.alone[rank[lowest[: len(rank)] <= rank]] = True
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE: no piece) and piece of each pair of symbols."""
@@ -70,10 +77,7 @@ class Merger:
         first = np.concatenate([[0], np.cumsum(lengths)])
         out = np.add.reduceat(np.append(cost, 0), first[:-1])
         out[lengths == 0] = 0
-        long = np.flatnonzero(lengths > LONG)
-        for i in long:
-            out[i] += self._heap(sym[first[i] : first[i + 1]].tolist())
-        some = np.flatnonzero((lengths > 1) & (lengths <= LONG))
+        some = np.flatnonzero(lengths > 1)
         step = 1 << 14
         for lo in range(0, len(some), step):
             part = some[lo : lo + step]
@@ -101,56 +105,26 @@ class Merger:
                 sym, rank, made, lengths, who, best = sym[keep], rank[keep], made[keep], lengths[live], who[live], best[live]
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             hit = np.flatnonzero(rank == np.repeat(best, lengths))
-            pos = hit[np.searchsorted(hit, starts)]
-            change[who] += 1 - self.cost[sym[pos]] - self.cost[sym[pos + 1]]
+            # Of places that overlap, every other one from the left.
+            chain = np.concatenate([[True], hit[1:] != hit[:-1] + 1])
+            pos = hit[(hit - hit[chain][np.cumsum(chain) - 1]) % 2 == 0]
+            seq = np.searchsorted(starts, pos, "right") - 1
+            if (one := self.alone[best]).any():
+                leftmost = np.concatenate([[True], seq[1:] != seq[:-1]])
+                pos, seq = pos[leftmost | ~one[seq]], seq[leftmost | ~one[seq]]
+            np.add.at(change, who[seq], 1 - self.cost[sym[pos]] - self.cost[sym[pos + 1]])
             sym[pos] = made[pos]
             keep = np.ones(len(sym), bool)
             keep[pos + 1] = False
             pos -= np.arange(len(pos))
-            sym, rank, made, lengths = sym[keep], rank[keep], made[keep], lengths - 1
+            sym, rank, made, lengths = sym[keep], rank[keep], made[keep], lengths - np.bincount(seq, minlength=len(lengths))
             ends = np.cumsum(lengths)
             starts = ends - lengths
-            for at, ok in ((pos, pos < ends - 1), (pos - 1, pos > starts)):
+            for at, ok in ((pos, pos < (ends - 1)[seq]), (pos - 1, pos > starts[seq])):
                 at = at[ok]
                 rank[at], made[at] = self.pairs(sym[at], sym[at + 1])
             rank[ends - 1] = NONE
 
-    def _pair(self, a: int, b: int) -> tuple[int, int] | None:
-        if a < 0 or b < 0:
-            return None
-        key = a * self.size + b
-        at = int(np.searchsorted(self.keys, key))
-        return (int(self.rank[at]), int(self.made[at])) if at < len(self.keys) and self.keys[at] == key else None
-
-    def _heap(self, sym: list[int]) -> int:
-        """The same change for one long sequence."""
-        n, change, known = len(sym), 0, {}
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def push(i: int, j: int) -> None:
-            pair = (sym[i], sym[j])
-            if pair not in known:
-                known[pair] = self._pair(*pair)
-            if known[pair]:
-                heapq.heappush(heap, (known[pair][0], i, j, *pair))
-
-        for i in range(n - 1):
-            push(i, i + 1)
-        while heap:
-            _, i, j, a, b = heapq.heappop(heap)
-            if sym[i] != a or sym[j] != b or after[i] != j:
-                continue
-            change += 1 - int(self.cost[a] + self.cost[b])
-            sym[i], sym[j] = known[a, b][1], -2
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                push(i, after[i])
-            if before[i] >= 0:
-                push(before[i], i)
-        return change
-
 
 @lru_cache(2)
 def merger(model: bytes) -> Merger:
