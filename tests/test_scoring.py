@@ -45,7 +45,7 @@ def test_greedy(spark):
         w = r.randrange(1, 5)
         cases.append([[r.random() < 0.4 for _ in range(w)] for _ in range(r.randrange(1, 5))])
     df = spark.createDataFrame(list(enumerate(cases)), "i int, m array<array<boolean>>")
-    got = [tuple(x["g"]) for x in df.orderBy("i").select(scoring.greedy(F.col("m")).alias("g")).collect()]
+    got = [tuple(x["g"]) for x in df.orderBy("i").select(scoring.greedy(F.col("m"), F.coalesce(F.size(F.get("m", F.lit(0))), F.lit(0))).alias("g")).collect()]
     assert got == [plain_greedy(c) for c in cases]
     assert got[0] == (1, 2, 1)
 

@@ -6,7 +6,10 @@ import argparse
 import json
 import sys
 import time
+from collections.abc import Iterator
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import batch
@@ -45,8 +48,18 @@ def _extract(a: argparse.Namespace) -> int:
     return 0
 
 
+#: Sites of a list after which its results are saved, and addresses after which a check is.
+SAVE_SITES, SAVE_CHECKS = 5, 100
+
+
+def _parts(rows: DataFrame, each: int) -> Iterator[DataFrame]:
+    """rows by their place (ord), so many at a time."""
+    for lo in range(0, rows.count(), each):
+        yield batch.part(rows, "ord", lo, each)
+
+
 def _batch(a: argparse.Namespace) -> int:
-    """Run models over a JSON list of sites, one output file for each model."""
+    """Run models over a JSON list of sites, one output file for each model, saved as it grows."""
     spark = session()
     inputs = readers.json_array(spark, a.input)
     inputs = batch.part(inputs, "ord", a.offset, a.limit)
@@ -57,8 +70,13 @@ def _batch(a: argparse.Namespace) -> int:
         path = f"{a.out}/{model.replace('/', '_').replace(':', '_')}.json"
         earlier = readers.earlier_results(spark, path, "wikicfp struct<website_url:string>, meta struct<model:string>")
         done = earlier.select("wikicfp.website_url", "meta.model")
-        out = benchmark.run_list(inputs, crawled, ask, f"{a.out}/runs/{i}", model, a.backend, args, done)
-        writers.batch_rows(out, path, [json.loads(r["raw"]) for r in earlier.orderBy("ord").collect()])
+        said = [json.loads(r["raw"]) for r in earlier.orderBy("ord").collect()]
+        todo = batch.remaining(inputs, done.where(F.col("model") == model), ["website_url"]).persist()
+        for n, part in enumerate(_parts(todo, SAVE_SITES)):
+            out = benchmark.run_list(part, crawled, ask, f"{a.out}/runs/{i}/{n}", model, a.backend, args, done)
+            said = writers.batch_rows(out, path, said)
+        if not said:
+            writers.report(said, path)
     return 0
 
 
@@ -95,13 +113,19 @@ def _check(a: argparse.Namespace) -> int:
     began = time.time()
     done = readers.earlier_results(spark, a.output, "website_url string")
     todo = batch.remaining(inputs, done, ["website_url"])
-    got = fetch.fetch(todo.select(F.col("website_url").alias("url")).distinct().repartition(a.workers)).drop("html").persist()
-    results = batch.checked(todo, got)
-    rows = [json.loads(r["raw"]) | {k: r[k] for k in ("final_url", "status_code", "redirected", "error")} for r in batch.in_input_order(results, inputs, "website_url", "ord").orderBy("pos").collect()]
-    earlier = [json.loads(r["raw"]) for r in done.orderBy("ord").collect()]
+    rows = [json.loads(r["raw"]) for r in done.orderBy("ord").collect()]
     place = {r["website_url"]: r["ord"] for r in inputs.select("website_url", "ord").collect()}
-    writers.report(sorted(earlier + rows, key=lambda r: place.get(r["website_url"], 0)), a.output)
-    batch.check_totals(results, time.time() - began, inputs.count()).show(truncate=False)
+    results, todo = [], todo.persist()
+    for part in _parts(todo, SAVE_CHECKS):
+        got = fetch.fetch(part.select(F.col("website_url").alias("url")).distinct().repartition(a.workers)).drop("html")
+        checked = batch.checked(part, got).persist()
+        rows += [json.loads(r["raw"]) | {k: r[k] for k in ("final_url", "status_code", "redirected", "error")} for r in batch.in_input_order(checked, inputs, "website_url", "ord").orderBy("pos").collect()]
+        writers.report(sorted(rows, key=lambda r: place.get(r["website_url"], 0)), a.output)
+        results.append(checked)
+    if results:
+        batch.check_totals(reduce(DataFrame.unionByName, results), time.time() - began, inputs.count()).show(truncate=False)
+    else:
+        writers.report(sorted(rows, key=lambda r: place.get(r["website_url"], 0)), a.output)
     return 0
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,49 @@ def ratio_(a: str, b: str) -> float:
     return 200.0 * common(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+def _windows(short: str, long: str) -> float:
+    """The best ratio of short with the windows of its length in long.
+
+    How many characters a window shares with it at most (each as often as in
+    both) bounds the ratio. Windows are taken by that bound, many at a time, each
+    by a bit for each character of short.
+    """
+    n = len(short)
+    codes, own = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (long, short))
+    letters, kind = np.unique(own, return_inverse=True)
+    at = np.searchsorted(letters, codes)
+    at[at == len(letters)] = 0
+    at = np.where(letters[at] == codes, at, len(letters))
+    most = np.zeros(len(long) - n + 1, np.int16)
+    for k, count in enumerate(np.bincount(kind)):
+        total = np.concatenate([[0], np.cumsum(at == k)])
+        most += np.minimum(total[n:] - total[:-n], count).astype(np.int16)
+    best = 0
+    if n > 62:
+        for i in np.argsort(-most, kind="stable").tolist():
+            if most[i] <= best:
+                break
+            best = max(best, common(short, long[i : i + n]))
+        return 100.0 * best / n
+    bits = np.zeros(len(letters) + 1, np.uint64)
+    np.bitwise_or.at(bits, kind, np.uint64(1) << np.arange(n, dtype=np.uint64))
+    masks, full = bits[at], np.uint64((1 << n) - 1)
+    for bound in range(int(most.max()), 0, -1):
+        if bound <= best:
+            break
+        starts = np.flatnonzero(most == bound)
+        for lo in range(0, len(starts), 1 << 14):
+            part = starts[lo : lo + (1 << 14)]
+            row = np.full(len(part), full)
+            for j in range(n):
+                hit = row & masks[part + j]
+                row = ((row + hit) | (row - hit)) & full
+            best = max(best, n - int(np.bitwise_count(row).min()))
+            if best >= bound:
+                break
+    return 100.0 * best / n
+
+
 def partial(a: str, b: str) -> int:
     """The best ratio of the shorter with a window of the longer, windows over its ends included."""
     if not a or not b:
@@ -44,27 +88,24 @@ def partial(a: str, b: str) -> int:
     if short in long:
         return 100
 
-    def best(s: str, t: str) -> float:
+    def ends(s: str, t: str) -> float:
+        """Windows that reach over either end; the best of them end, or begin, with a character of the shorter."""
         n, chars, top = len(s), set(s), 0.0
-        # The best windows end, or begin, with a character of the shorter.
-        for i in range(1, n):
+        for i in range(1, min(n, len(t) + 1)):
             if t[i - 1] in chars:
                 top = max(top, ratio_(s, t[:i]))
-        for i in range(len(t) - n + 1):
-            if t[i + n - 1] in chars:
-                top = max(top, ratio_(s, t[i : i + n]))
         for i in range(max(1, len(t) - n + 1), len(t)):
             if t[i] in chars:
                 top = max(top, ratio_(s, t[i:]))
         return top
 
-    top = best(short, long)
-    return round(max(top, best(long, short)) if len(a) == len(b) else top)
+    top = max(ends(short, long), _windows(short, long))
+    return round(max(top, ends(long, short)) if len(a) == len(b) else top)
 
 
 def tokens(s: str) -> list[str]:
-    """Words as token ratios see them: ASCII and Latin letters and digits, in lower case."""
-    return re.sub(r"\W", " ", s).lower().split()
+    """Words as token ratios see them: in lower case, all but letters and digits as spaces, the letters of Latin-1 beyond ASCII left out."""
+    return re.sub("[\x80-\xff]", "", re.sub(r"\W", " ", s).lower()).split()
 
 
 def token_sort(a: str, b: str) -> int:
@@ -99,6 +140,12 @@ def _arrow(function):
 partial_ratio, token_sort_ratio, token_set_ratio = map(_arrow, (partial, token_sort, token_set))
 
 
+@F.pandas_udf(T.IntegerType())
+def token_set_best(texts: pd.Series, other: pd.Series) -> pd.Series:
+    """The best token_set of several texts with another; null where there are none, or no other."""
+    return pd.Series([None if xs is None or y is None or not len(xs) else max(token_set(x, y) for x in xs) for xs, y in zip(texts, other)], dtype="Int32")
+
+
 def written_in(value: str | None, text: str | None, least: int) -> bool:
     """Whether a text in lower case holds a value, word for word or about: short values by partial, others by token_set."""
     if not value or not text:

@@ -39,17 +39,17 @@ _ENDS = {k: {k} for k in ("p", "li", "option", "tr")} | {"td": {"td", "th"}, "th
 
 
 class Node:
-    __slots__ = ("name", "attrs", "parts", "parent")
+    __slots__ = ("name", "attrs", "parts", "parent", "removed")
 
     def __init__(self, name: str, attrs: dict[str, str], parent: Node | None):
-        self.name, self.attrs, self.parts, self.parent = name, attrs, [], parent
+        self.name, self.attrs, self.parts, self.parent, self.removed = name, attrs, [], parent, False
 
     def all(self) -> Iterator[Node]:
         """Elements below, in the order of the document."""
         stack = [iter(self.parts)]
         while stack:
             for x in stack[-1]:
-                if isinstance(x, Node):
+                if isinstance(x, Node) and not x.removed:
                     yield x
                     stack.append(iter(x.parts))
                     break
@@ -62,7 +62,7 @@ class Node:
             for x in stack[-1]:
                 if isinstance(x, str):
                     yield x
-                else:
+                elif not x.removed:
                     stack.append(iter(x.parts))
                     break
             else:
@@ -72,15 +72,14 @@ class Node:
         return between.join(t for s in self.strings() if (t := s.strip()))
 
     def remove(self) -> None:
-        self.parent.parts = [x for x in self.parent.parts if x is not self]
+        self.removed = True
 
-    def gone(self, root: Node) -> bool:
+    def gone(self) -> bool:
+        """Whether it, or what it is in, is removed."""
         at = self
-        while at is not root:
-            if at.parent is None or not any(x is at for x in at.parent.parts):
-                return True
+        while at is not None and not at.removed:
             at = at.parent
-        return False
+        return at is not None
 
 
 class Tree(HTMLParser):
@@ -150,14 +149,14 @@ def clean(root: Node, chars: int = PAGE_CHARS) -> str:
                 n.remove()
     left = len(root.text())
     for n in list(root.all()):
-        if n.name in KEPT or not (BOILERPLATE.search(n.attrs.get("class", "")) or BOILERPLATE.search(n.attrs.get("id", ""))) or n.gone(root):
+        if n.name in KEPT or not (BOILERPLATE.search(n.attrs.get("class", "")) or BOILERPLATE.search(n.attrs.get("id", ""))) or n.gone():
             continue
         size = len(n.text())
         if not (left > 0 and size / left > SMALL):
             left -= size
             n.remove()
     for n in [n for n in root.all() if n.name == "table"]:
-        if not n.gone(root) and (text := _table(n)):
+        if not n.gone() and (text := _table(n)):
             n.name, n.parts = "", ["\n" + text + "\n"]
     return re.sub(r"\n{3,}", "\n\n", root.text("\n"))[:chars]
 

@@ -94,12 +94,11 @@ def best_attempt(attempts: DataFrame, keys: list[str]) -> DataFrame:
     what belongs to it; later attempts than the first good one are not counted.
     """
     kept = [c for c in attempts.columns if c not in keys]
-    enough = F.when(good_enough(F.col("record")) & F.col("record").isNotNull(), F.col("attempt"))
-    first = attempts.withColumn("_enough", enough).withColumn("_nulls", null_fields(F.col("record"))["nulls"])
-    stop = first.groupBy(*keys).agg(F.min("_enough").alias("_stop"))
-    made = first.join(stop, keys).where(F.col("_stop").isNull() | (F.col("attempt") <= F.col("_stop")))
-    order = F.struct(F.col("record").isNull(), "_nulls", "attempt")
-    best = made.groupBy(*keys).agg(F.min_by(F.struct(*kept), order).alias("_b"), F.max("attempt").alias("attempts"))
+    rows = attempts.withColumn("_enough", good_enough(F.col("record")) & F.col("record").isNotNull()).withColumn("_nulls", null_fields(F.col("record"))["nulls"])
+    good = F.when(F.col("_enough"), F.col("attempt"))
+    # Those before the first good one have more nulls than it, those after it are not made.
+    order = F.struct(~F.col("_enough"), good, F.col("record").isNull(), "_nulls", "attempt")
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*kept), order).alias("_b"), F.coalesce(F.min(good), F.max("attempt")).alias("attempts"))
     return best.select(*keys, *(F.col(f"_b.{c}").alias(c) for c in kept), "attempts")
 
 

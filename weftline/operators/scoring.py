@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import any_date
-from ..functions.similarity import token_set_ratio, token_sort_ratio
+from ..functions.similarity import token_set_best, token_sort_ratio
 from ..functions.text import country_code, event_name, person_name, plain_letters, strip, url_key
 from ..schemas import CATEGORIES, LIST_FIELDS, SCALAR_FIELDS
 
 # Least similarities, and the warning of a site without pages.
 STRING, TOPIC, PERSON = 85, 78, 88
 NO_PAGES = "Could not fetch any pages"
+#: Stands between the texts of a row; none holds it.
+_BETWEEN = "\x1f"
 COUNTS = ["tp", "fn", "fp_wrong", "fp_halluc", "tn"]
 
 
@@ -51,30 +53,30 @@ def decide(pairs: DataFrame, matcher: str = "matcher", gold: str = "gold", pred:
     """
     names = pairs.columns
     kind, g, p = F.col(matcher), F.col(gold), F.col(pred)
-    texts = F.array(g) if aliases is None else F.concat(F.array(g), F.when(kind.isin("string", "country"), F.coalesce(F.col(aliases), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    texts = F.array(g) if aliases is None else F.concat(F.array(g), F.when(kind.isin("string", "country"), F.coalesce(F.col(aliases), none)).otherwise(none))
     early = F.when(kind == "date", same_date(g, p)).when(kind == "acronym", same_acronym(g, p)).when(kind == "edition", same_edition(g, p))
     early = early.when((kind == "country") & F.coalesce(country_code(g) == country_code(p), F.lit(False)), F.lit(True))
-    rows = pairs.withColumn("_id", F.monotonically_increasing_id()).withColumn("_early", F.when(g.isNull() | p.isNull(), F.lit(False)).otherwise(early))
-    named = lambda c: F.when(kind == "speaker", person_name(plain_letters(c))).otherwise(event_name(plain_letters(c)))
-    each = rows.withColumn("_text", F.explode_outer(F.when(F.col("_early").isNull(), texts)))
-    each = each.withColumn("_g", named(F.col("_text"))).withColumn("_p", named(p))
-    near = F.when(kind == "speaker", F.col("_g") == F.col("_p")).otherwise(within(F.col("_g"), F.col("_p")))
-    each = each.withColumn("_near", F.when(F.col("_early").isNotNull(), F.col("_early")).when((F.col("_g") == "") | (F.col("_p") == ""), F.lit(False)).when(near, F.lit(True)))
+    rows = pairs.withColumn("_early", F.when(g.isNull() | p.isNull(), F.lit(False)).otherwise(early))
+    # All of a row's texts go through the accents' function as one, so the row stays one.
+    rows = rows.withColumn("_all", plain_letters(F.when(F.col("_early").isNull(), F.array_join(texts, _BETWEEN)))).withColumn("_one", plain_letters(F.when(F.col("_early").isNull(), p)))
+    named = lambda c: F.when(kind == "speaker", person_name(c)).otherwise(event_name(c))
+    rows = rows.withColumn("_gs", F.filter(F.transform(F.split("_all", _BETWEEN, -1), named), lambda t: t != "")).withColumn("_p", named(F.col("_one")))
+    near = F.when(kind == "speaker", F.array_contains("_gs", F.col("_p"))).otherwise(F.exists("_gs", lambda t: within(t, F.col("_p"))))
+    empty = (F.size("_gs") == 0) | (F.col("_p") == "")
+    rows = rows.withColumn("_near", F.when(F.col("_early").isNotNull(), F.col("_early")).when(empty, F.lit(False)).when(near, F.lit(True)))
     # What is decided does not reach the similarity functions: they get nulls, which cost nothing.
     open_ = F.col("_near").isNull()
-    ask = lambda f, kinds: f(F.when(open_ & kind.isin(*kinds), F.col("_g")), F.when(open_ & kind.isin(*kinds), F.col("_p")))
-    each = each.withColumn("_set", ask(token_set_ratio, ["string", "country", "speaker"])).withColumn("_sort", ask(token_sort_ratio, ["topic"]))
+    rows = rows.withColumn("_set", token_set_best(F.when(open_ & (kind != "topic"), F.col("_gs")), F.when(open_ & (kind != "topic"), F.col("_p"))))
+    rows = rows.withColumn("_sort", token_sort_ratio(F.when(open_ & (kind == "topic"), F.get("_gs", F.lit(0))), F.when(open_ & (kind == "topic"), F.col("_p"))))
     least = F.when(kind == "speaker", F.col("_set") >= PERSON).when(kind == "topic", F.col("_sort") >= TOPIC).otherwise(F.col("_set") >= STRING)
-    each = each.withColumn("matched", F.coalesce("_near", least, F.lit(False)))
-    if aliases is None:
-        return each.select(*names, "matched")
-    return each.groupBy("_id").agg(*(F.first(c).alias(c) for c in names), F.bool_or("matched").alias("matched")).drop("_id")
+    return rows.select(*names, F.coalesce("_near", least, F.lit(False)).alias("matched"))
 
 
-def greedy(matrix: Column) -> Column:
+def greedy(matrix: Column, predictions: Column) -> Column:
     """tp, fp and fn of a list's matches: each gold item in turn takes the first prediction left that it matches.
 
-    matrix is an array over gold items of arrays over predictions.
+    matrix is an array over gold items of arrays over predictions, of which there are so many.
     """
     start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).alias("tp"))
 
@@ -84,8 +86,7 @@ def greedy(matrix: Column) -> Column:
         hit = F.size(free) > 0
         return F.struct(F.when(hit, F.array_append(a["used"], F.get(free, F.lit(0)))).otherwise(a["used"]).alias("used"), (a["tp"] + hit.cast("int")).alias("tp"))
 
-    width = F.coalesce(F.size(F.get(matrix, F.lit(0))), F.lit(0))
-    return F.aggregate(matrix, start, take, lambda a: F.struct(a["tp"].alias("tp"), (width - a["tp"]).alias("fp"), (F.size(matrix) - a["tp"]).alias("fn")))
+    return F.aggregate(matrix, start, take, lambda a: F.struct(a["tp"].alias("tp"), (predictions - a["tp"]).alias("fp"), (F.size(matrix) - a["tp"]).alias("fn")))
 
 
 def label(entries: DataFrame, gold: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def list_counts(scored: DataFrame, keys: list[str], gold: str = "ground_truth",
     pairs = lists.select(*keys, "path", "matcher", F.posexplode("g").alias("i", "gold"), "p").select(*keys, "path", "matcher", "i", "gold", F.posexplode("p").alias("j", "pred"))
     cells = decide(pairs).groupBy(*keys, "path", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "matched"))), lambda x: x["matched"]).alias("row"))
     matrix = cells.groupBy(*keys, "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda x: x["row"]).alias("matrix"))
-    met = lists.join(matrix, [*keys, "path"], "left").withColumn("m", greedy(F.col("matrix")))
+    met = lists.join(matrix, [*keys, "path"], "left").withColumn("m", greedy(F.col("matrix"), F.size("p")))
     n_g, n_p = F.size("g"), F.size("p")
     tp = F.coalesce(F.col("m.tp"), F.lit(0))
     return met.select(
@@ -141,12 +142,10 @@ def list_counts(scored: DataFrame, keys: list[str], gold: str = "ground_truth",
 
 def rollup(results: DataFrame, by: str = "model") -> DataFrame:
     """Counts over all, for each category and each path, in one aggregation: grain, name and the sums."""
-    sums = ", ".join(f"sum({c}) AS {c}" for c in COUNTS)
-    results.createOrReplaceTempView("_field_results")
-    return results.sparkSession.sql(
-        f"SELECT {by}, CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(path) = 0 THEN 'field' ELSE 'overall' END AS grain, "
-        f"coalesce(category, path, 'all') AS name, {sums} FROM _field_results GROUP BY GROUPING SETS (({by}), ({by}, category), ({by}, path))"
-    )
+    grain = F.when(F.grouping("category") == 0, "category").when(F.grouping("path") == 0, "field").otherwise("overall")
+    sets = results.groupingSets([[by], [by, "category"], [by, "path"]], by, "category", "path")
+    out = sets.agg(grain.alias("grain"), *(F.sum(c).alias(c) for c in COUNTS))
+    return out.select(by, "grain", F.coalesce("category", "path", F.lit("all")).alias("name"), *COUNTS)
 
 
 def share(a: Column, b: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+# The shapes of records, entries, gold sets and checks, as they are read and written.
 CONFERENCE = "struct<full_name:string,acronym:string,url:string,edition_number:int>"
 DATES = "struct<start_date:string,end_date:string>"
 VENUE = "struct<city:string,country:string>"

@@ -22,10 +22,12 @@ def entries(df: DataFrame, folder: str) -> None:
     parted.write.mode("overwrite").partitionBy("model_dir", "url_name").json(folder)
 
 
-def batch_rows(df: DataFrame, path: str, earlier: list[dict] | None = None) -> None:
+def batch_rows(df: DataFrame, path: str, earlier: list[dict] | None = None) -> list[dict]:
     """Results of plans.benchmark.run_list as one JSON array behind earlier ones: what a list's user reads, on the driver."""
     rows = [json.loads(r[0]) for r in df.orderBy("ord").select(F.to_json(F.struct(F.try_parse_json("wikicfp").alias("wikicfp"), "extracted", "confidence", "warnings", "meta"), {"ignoreNullFields": "false"})).toLocalIterator()]
-    report([*(earlier or []), *rows], path)
+    rows = [*(earlier or []), *rows]
+    report(rows, path)
+    return rows
 
 
 def exchanges(df: DataFrame, folder: str) -> None:
