@@ -1,5 +1,7 @@
 import itertools
 import random
+import re
+import time
 from datetime import date, timedelta
 
 import pytest
@@ -91,6 +93,37 @@ def test_found_in(values, iso, source, found):
     assert values([(iso, source)], dates.found_in(F.col("v"), F.col("w")), "v string, w string") == [found]
 
 
+def plain_range(day, source):
+    """Every two numbers with a dash between, by hand: the month between them and the year, or in front of them and the year next."""
+    names = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+    month = {n: i + 1 for i, n in enumerate(names)} | {n[:3]: i + 1 for i, n in enumerate(names)}
+    words = re.findall(r"[A-Za-z]+|\d+|[-\u2013\u2014]|,|\S", source)
+    for i in range(len(words) - 2):
+        a, dash, z = words[i : i + 3]
+        if not (re.fullmatch(r"\d{1,2}", a) and dash in "-\u2013\u2014" and re.fullmatch(r"\d{1,2}", z)):
+            continue
+        rest = words[i + 3 :]
+        follows = bool(rest) and rest[0].lower() in month
+        named = month[rest[0].lower()] if follows else month.get(words[i - 1].lower()) if i else None
+        rest = rest[1:] if follows else rest
+        rest = rest[1:] if rest and rest[0] == "," else rest
+        if named and rest and re.fullmatch(r"\d{4}", rest[0]) and date(int(rest[0]), named, 1) == day.replace(day=1) and int(a) <= day.day <= int(z):
+            return True
+    return False
+
+
+def test_written_ranges(values):
+    r = random.Random(8)
+    parts = ["August", "aug", "May", "Mayor", "19", "21", "5", "30", "2026", "2025", "-", "\u2013", ",", "to", "."]
+    sources = ["August 19-21, 2026", "19 \u2013 21 Aug 2026", "19-21 August, 2026", "AUGUST 19\u201421 2026", "August 19-21 May 2026", "30 August - 2 September 2026", "Late-August 19-21, 2026", "rooms 10-12 1999 August 19-21, 2026", "August 19 - 21"]
+    sources += [" ".join(r.choice(parts) for _ in range(r.randrange(4, 12))) for _ in range(1500)]
+    sources += [f"{a} {x}{d}{y}{c} {z}" for a in ("August", "Aug", "at") for x in (5, 19) for d in ("-", " - ", "\u2013") for y in (20, 21) for c in ("", ",", " August", " Aug,") for z in (2026, 202)]
+    day = date(2026, 8, 20)
+    got = values([(day, t) for t in sources], dates.in_written_range(V, F.col("w")), "v date, w string")
+    wrong = [(t, g) for t, g in zip(sources, got) if g != plain_range(day, t)]
+    assert not wrong and sum(got) > 30
+
+
 def test_found_in_is_the_search_for_all_forms(values):
     r = random.Random(3)
     day = [date(2025, 1, 1) + timedelta(days=r.randrange(800)) for _ in range(150)]
@@ -129,6 +162,26 @@ def test_partial_is_the_best_window(a, b):
     assert similarity.partial(a, b) == round(best)
 
 
+def test_partial_of_long_texts():
+    """Against every window of a longer text, for short and for long values; and a whole site in little time."""
+    r = random.Random(3)
+    for n in (3, 20, 39, 62, 63, 90):
+        for _ in range(4):
+            a = "".join(r.choice("abcdefgh é") for _ in range(n))
+            b = "".join(r.choice("abcdefgh é") for _ in range(300)) + (a[: n // 2] + "x" + a[n // 2 + 1 :]) + "".join(r.choice("abcdefgh é") for _ in range(100))
+            spans = {(max(i, 0), min(i + n, len(b))) for i in range(1 - n, len(b))}
+            assert similarity.partial(a, b) == round(max(similarity.ratio_(a, b[i:j]) for i, j in spans))
+    site = "".join(r.choice("etaoin shrdlucmfwyp") for _ in range(200_000))
+    name = "Dr. Natalia Kowalczykova"
+    began = time.perf_counter()
+    assert 40 < similarity.partial(name.lower(), site) < 100
+    assert time.perf_counter() - began < 1.5
+
+
+def test_tokens_leave_out_letters_of_latin_1():
+    assert similarity.tokens("Café Größe, Łódź X1") == ["caf", "gre", "łdź", "x1"]
+
+
 def test_token_ratios():
     assert similarity.token_set("john smith", "smith") == 100
     assert similarity.token_set("", "x") == 0
