@@ -79,7 +79,8 @@ def count_rollup(spark, sf):
     return scoring.rollup(_outcomes(spark, sf))
 
 
-@query(f"WITH {_GOLD} SELECT model, grain, name, round(precision_, 9) AS precision, round(recall_, 9) AS recall, round(f1, 9) AS f1, tp + fn + fp_wrong AS support, round(coalesce(fp_halluc / nullif(fp_halluc + tn, 0), 0), 9) AS hallucination_rate FROM r")
+@query(f"""WITH {_GOLD} SELECT model, grain, name, round(precision_, 9) AS precision, round(recall_, 9) AS recall, round(f1, 9) AS f1, tp + fn
+  + fp_wrong AS support, round(coalesce(fp_halluc / nullif(fp_halluc + tn, 0), 0), 9) AS hallucination_rate FROM r""")
 def prf_metrics(spark, sf):
     out = scoring.with_ratios(scoring.rollup(_outcomes(spark, sf)))
     ratios = ("precision", "recall", "f1", "hallucination_rate")
@@ -167,7 +168,8 @@ def page_topk(spark, sf):
     return pages.select_pages(_scored(spark, sf)).select("site_url", "target", "page_id", "score", "rank")
 
 
-@query(f"WITH {_SCORED} SELECT site_url, target, md5(string_agg('=== PAGE: ' || url || ' ===' || chr(10) || title || chr(10) || body, chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM top GROUP BY site_url, target")
+@query(f"""WITH {_SCORED} SELECT site_url, target, md5(string_agg('=== PAGE: ' || url || ' ===' || chr(10) || title || chr(10) || body, chr(10)
+  || chr(10) ORDER BY rank)) AS context_md5 FROM top GROUP BY site_url, target""")
 def page_context(spark, sf):
     return pages.contexts(pages.select_pages(_scored(spark, sf))).select("site_url", "target", F.md5("context").alias("context_md5"))
 
@@ -177,7 +179,8 @@ def selection_describe(spark, sf):
     return pages.describe(_scored(spark, sf))
 
 
-@query(f"WITH {_SCORED} SELECT site_url, md5(string_agg('=== PAGE: ' || url || ' ===' || chr(10) || title || chr(10) || body, chr(10) || chr(10) ORDER BY crawl_idx)) AS text_md5 FROM sc GROUP BY site_url")
+@query(f"""WITH {_SCORED} SELECT site_url, md5(string_agg('=== PAGE: ' || url || ' ===' || chr(10) || title || chr(10) || body, chr(10) || chr(10)
+  ORDER BY crawl_idx)) AS text_md5 FROM sc GROUP BY site_url""")
 def site_full_text(spark, sf):
     return pages.full_text(_scored(spark, sf)).select("site_url", F.md5("full_text").alias("text_md5"))
 
@@ -213,14 +216,16 @@ def resume_anti_join(spark, sf):
     return batch.remaining(table(spark, sf, "customer").select("c_custkey", "c_name"), done, ["c_custkey"])
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders d WHERE d.o_orderstatus = 'F' AND d.o_custkey = o.o_custkey AND d.o_orderpriority = o.o_orderpriority)")
+@query("""SELECT o_orderkey, o_custkey, o_orderpriority FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders d WHERE d.o_orderstatus = 'F' AND
+  d.o_custkey = o.o_custkey AND d.o_orderpriority = o.o_orderpriority)""")
 def resume_by_two_keys(spark, sf):
     """Orders whose customer and priority have no finished order, as sites and models without a result."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     return batch.remaining(o.drop("o_orderstatus"), o.where("o_orderstatus = 'F'"), ["o_custkey", "o_orderpriority"])
 
 
-@query("SELECT count(*) AS n, sum(k)::BIGINT AS total FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'))")
+@query("""SELECT count(*) AS n, sum(k)::BIGINT AS total FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer WHERE
+  c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'))""")
 def append_new_results(spark, sf):
     """Earlier results and those of what had none, one behind the other."""
     earlier = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus")
@@ -258,7 +263,8 @@ g AS (SELECT user_id, min(event_id) FILTER (NOT failed AND nulls <= 4) AS stop,
 """
 
 
-@query(f"WITH {_ATTEMPTS} SELECT g.user_id, a.event_id AS attempt, CASE WHEN a.failed THEN NULL ELSE a.nulls END AS nulls, coalesce(stop, last) AS attempts FROM g JOIN a ON a.user_id = g.user_id AND a.event_id = coalesce(stop, least)")
+@query(f"""WITH {_ATTEMPTS} SELECT g.user_id, a.event_id AS attempt, CASE WHEN a.failed THEN NULL ELSE a.nulls END AS nulls, coalesce(stop, last)
+  AS attempts FROM g JOIN a ON a.user_id = g.user_id AND a.event_id = coalesce(stop, least)""")
 def best_attempt(spark, sf):
     """Each user's events as attempts, with more or fewer fields, some with no record at all."""
     keys = ["full_name", "acronym", "start_date", "end_date", "city", "country", "submission_deadline", "notification_date", "camera_ready_date", "publisher", "series"]
@@ -273,7 +279,9 @@ def best_attempt(spark, sf):
 _CHECK = "CASE WHEN page_id % 7 = 0 THEN NULL ELSE 200 + (page_id % 3) * 101 END"
 
 
-@query(f"WITH f AS (SELECT url, {_CHECK} AS s, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN url || '/' ELSE url END AS f FROM pages) SELECT count(*) AS done, count(*) FILTER (s < 400) AS ok, count(*) FILTER (s IS NULL) AS errors, count(*) FILTER (s IS NOT NULL AND f <> url) AS redirects FROM f")
+@query(f"""WITH f AS (SELECT url, {_CHECK} AS s, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN url || '/' ELSE url END AS f FROM
+  pages) SELECT count(*) AS done, count(*) FILTER (s < 400) AS ok, count(*) FILTER (s IS NULL) AS errors, count(*) FILTER (s IS NOT
+  NULL AND f <> url) AS redirects FROM f""")
 def url_check_summary(spark, sf):
     p = table(spark, sf, "pages")
     ok = F.col("page_id") % 7 != 0
@@ -281,7 +289,10 @@ def url_check_summary(spark, sf):
     return batch.check_totals(batch.checked(p.select(F.col("url").alias("website_url")), fetched))
 
 
-_ENTRIES = "e AS (SELECT o_orderpriority AS model, o_orderstatus AS url, o_orderkey AS seq, CASE WHEN o_custkey % 11 = 0 THEN 'error' ELSE 'ok' END AS status, round_even(((o_orderkey % 17) / 16) * 100, 1) AS fill, (o_custkey % 4) AS low, o_totalprice AS t FROM orders), l AS (SELECT model, url, arg_max(status, seq) AS status, arg_max(fill, seq) AS fill, arg_max(low, seq) AS low, arg_max(t, seq) AS t FROM e GROUP BY model, url)"
+_ENTRIES = """e AS (SELECT o_orderpriority AS model, o_orderstatus AS url, o_orderkey AS seq, CASE WHEN o_custkey % 11 = 0 THEN 'error' ELSE 'ok'
+  END AS status, round_even(((o_orderkey % 17) / 16) * 100, 1) AS fill, (o_custkey % 4) AS low, o_totalprice AS t FROM orders), l AS
+  (SELECT model, url, arg_max(status, seq) AS status, arg_max(fill, seq) AS fill, arg_max(low, seq) AS low, arg_max(t, seq) AS t FROM
+  e GROUP BY model, url)"""
 
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -298,17 +309,25 @@ def fill_rate_pivot(spark, sf):
     return batch.summary_pivot(_entries(spark, sf), ["1-URGENT", "5-LOW"])
 
 
-@query(f"WITH {_ENTRIES} SELECT model, count(*) FILTER (status = 'ok') AS sites, count(*) AS all_sites, round(avg(fill) FILTER (status = 'ok'), 6) AS avg_fill, round(avg(t) FILTER (status = 'ok'), 6) AS avg_time, sum(low) FILTER (status = 'ok')::BIGINT AS doubtful FROM l GROUP BY model")
+@query(f"""WITH {_ENTRIES} SELECT model, count(*) FILTER (status = 'ok') AS sites, count(*) AS all_sites, round(avg(fill) FILTER (status = 'ok'),
+  6) AS avg_fill, round(avg(t) FILTER (status = 'ok'), 6) AS avg_time, sum(low) FILTER (status = 'ok')::BIGINT AS doubtful FROM l GROUP
+  BY model""")
 def fill_rate_avg(spark, sf):
     return batch.summary_averages(_entries(spark, sf)).withColumns({c: F.round(c, 6) for c in ("avg_fill", "avg_time")})
 
 
 # --- dates -----------------------------------------------------------------------------------------------------------------
 
-_DATES = "d AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS sub, strftime(min(l_shipdate), '%Y-%m-%d') AS notif, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(max(l_shipdate), '%Y-%m-%d') END AS cam, strftime(o_orderdate + INTERVAL 60 DAY, '%Y-%m-%d') AS start, strftime(o_orderdate + INTERVAL (o_orderkey % 100) DAY, '%Y-%m-%d') AS fin FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate)"
+_DATES = """d AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS sub, strftime(min(l_shipdate), '%Y-%m-%d') AS notif, CASE WHEN o_orderkey
+  % 5 = 0 THEN NULL ELSE strftime(max(l_shipdate), '%Y-%m-%d') END AS cam, strftime(o_orderdate + INTERVAL 60 DAY, '%Y-%m-%d') AS start,
+  strftime(o_orderdate + INTERVAL (o_orderkey % 100) DAY, '%Y-%m-%d') AS fin FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
+  GROUP BY o_orderkey, o_orderdate)"""
 
 
-@query(f"WITH {_DATES} SELECT o_orderkey, concat_ws('; ', CASE WHEN start > fin THEN 'start_date (' || start || ') > end_date (' || fin || ')' END, CASE WHEN sub > notif THEN 'submission (' || sub || ') > notification (' || notif || ')' END, CASE WHEN notif > cam THEN 'notification (' || notif || ') > camera_ready (' || cam || ')' END, CASE WHEN cam > start THEN 'camera_ready (' || cam || ') > start_date (' || start || ')' END) AS warnings FROM d")
+@query(f"""WITH {_DATES} SELECT o_orderkey, concat_ws('; ', CASE WHEN start > fin THEN 'start_date (' || start || ') > end_date (' || fin || ')'
+  END, CASE WHEN sub > notif THEN 'submission (' || sub || ') > notification (' || notif || ')' END, CASE WHEN notif > cam THEN 'notification ('
+  || notif || ') > camera_ready (' || cam || ')' END, CASE WHEN cam > start THEN 'camera_ready (' || cam || ') > start_date (' || start
+  || ')' END) AS warnings FROM d""")
 def date_order_warnings(spark, sf):
     ships = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("z"))
     d = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")).join(ships, "o_orderkey", "left")
@@ -348,7 +367,8 @@ v AS (SELECT d, y, flatten(list_transform([m1, m2], lambda a: flatten(list_trans
 """
 
 
-@query(f"WITH days AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders), {_FORMS} SELECT strftime(d, '%Y-%m-%d') AS d, array_to_string(list_sort(list_distinct(whole)), '|') AS full_forms, array_to_string(list_sort(list_distinct(part)), '|') AS partial_forms FROM v")
+@query(f"""WITH days AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders), {_FORMS} SELECT strftime(d, '%Y-%m-%d') AS d, array_to_string(list_sort(list_distinct(whole)),
+  '|') AS full_forms, array_to_string(list_sort(list_distinct(part)), '|') AS partial_forms FROM v""")
 def date_variants(spark, sf):
     d = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
     shown = lambda c: F.array_join(F.array_sort(c), "|")
@@ -390,7 +410,9 @@ def json_tolerant_parse(spark, sf):
     return value.select("event_id", F.when(F.col("event_id") % 2 == 0, answers.object_of(F.col("v"), "topics")).otherwise(answers.object_of(F.col("v"))).alias("found"))
 
 
-@query("SELECT o_orderkey, (o_orderstatus = 'F')::INT + (o_orderpriority LIKE '1%')::INT + (o_custkey % 3 = 0)::INT + 9 AS nulls, 13 AS total, 4 - (o_orderstatus = 'F')::INT - (o_orderpriority LIKE '1%')::INT - (o_custkey % 3 = 0)::INT + (o_custkey % 2)::INT AS filled, 16 AS of FROM orders")
+@query("""SELECT o_orderkey, (o_orderstatus = 'F')::INT + (o_orderpriority LIKE '1%')::INT + (o_custkey % 3 = 0)::INT + 9 AS nulls, 13 AS total,
+  4 - (o_orderstatus = 'F')::INT - (o_orderpriority LIKE '1%')::INT - (o_custkey % 3 = 0)::INT + (o_custkey % 2)::INT AS filled, 16
+  AS of FROM orders""")
 def record_counts(spark, sf):
     """Records merged from answers with some members missing: empty fields, filled fields."""
     o = table(spark, sf, "orders")
