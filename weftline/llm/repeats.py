@@ -137,7 +137,7 @@ def _index(docs: DataFrame, n: int, block: int, window: int, uri: str, text: str
         store.put(uri, str(k), one=bit_map(h), two=bit_map(h[count > 1]))
         return pa.table({"r": pa.array([k], pa.int32()), "n": pa.array([len(h)], pa.int64())})
 
-    docs.select(text).mapInArrow(lean.batches(blocks), "r int, h binary").groupBy("r").applyInArrow(lean.group(write), "r int, n long").write.parquet(f"{uri}/ranges")
+    docs.select(text).mapInArrow(lean.batches(blocks), "r int, h binary").repartition(n, "r").groupBy("r").applyInArrow(lean.group(write), "r int, n long").write.parquet(f"{uri}/ranges")
 
 
 class _Probe:
@@ -263,8 +263,9 @@ def repeats(docs: DataFrame, block: int = BLOCK, text: str = "text", indexed: bo
         return pa.table({"_k": pa.array(k[first].view(np.int64)), "starts": pa.array(both[0], pa.binary()), "ends": pa.array(both[1], pa.binary())})
 
     found = docs.select(text, F.xxhash64("doc_id", text).alias("_k")).mapInArrow(lean.batches(probe), schema)
-    places = found.groupBy("r").applyInArrow(lean.group(count), "b int, keys binary, pos binary")
-    return places.groupBy("b").applyInArrow(lean.group(merge), "_k long, starts binary, ends binary")
+    # As many partitions as ranges, so that a task's share does not grow with the input.
+    places = found.repartition(n, "r").groupBy("r").applyInArrow(lean.group(count), "b int, keys binary, pos binary")
+    return places.repartition(n, "b").groupBy("b").applyInArrow(lean.group(merge), "_k long, starts binary, ends binary")
 
 
 def without_repeats(docs: DataFrame, block: int = BLOCK, text: str = "text", indexed: bool = True) -> DataFrame:
