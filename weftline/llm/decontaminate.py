@@ -403,6 +403,8 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, window: int, share: flo
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     met = met.mapInArrow(lean.batches(compare), f"doc_id {kind}, _k long, item_id {item_kind}, class long, sort int, variant long, pos long, shift long, total long, n_items long, pairs array<struct<s:long,v:long>>")
     met = store.written(spark, met, "met")
+    store.forget(hits, items)
+    store.drop(spark, uri)
     line = ["_k", "class", "shift"]
     values = met.select(*line, F.explode("pairs").alias("p")).groupBy(*line, "p.s").agg(F.min("p.v").alias("lo"), F.max("p.v").alias("hi"))
     sound = values.groupBy(*line).agg(F.bool_and(F.col("lo") == F.col("hi")).alias("sound"), F.bool_and((F.col("lo") == F.col("s")) & (F.col("hi") == F.col("s"))).alias("same"))

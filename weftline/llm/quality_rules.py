@@ -470,10 +470,13 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are kept. Texts are read once: they are written with their counts, of which the estimates read no more."""
+    """The documents that are kept. Texts are scanned once; the documents are told from those rejected by a hash of the row."""
+    key = F.xxhash64("doc_id", "lang", "source", "text")
+    rows = store.written(spark, with_stats(docs.select("lang", "source", "text", key.alias("_k")), ["_k", "lang", "source"]), "mcd-rows")
+    bad = store.written(spark, judge(rows, fit(rows)).where("not kept").select("_k").distinct(), "rejected")
+    store.forget(rows)
     own, restore = aside(docs, {"doc_id", "lang", "source", "text"})
-    rows = store.written(spark, with_stats(own, own.columns), "mcd-rows")
-    return restore(judge(rows, fit(rows)).where("kept"))
+    return restore(own.withColumn("_k", key).join(bad, "_k", "left_anti"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
