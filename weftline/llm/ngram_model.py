@@ -17,7 +17,8 @@ give the next lower ones, already summed. Nothing is pruned: the model grows wit
 the training texts, and a worker reads only the pages that its batches touch.
 
 Counts are summed within each task before they are dealt out, so a frequent word
-costs one entry a task. They are kept in as many bytes as the largest of a file
+costs one entry a task. There are as many partitions as ranges, so a task's share
+does not grow with the input. Counts are kept in as many bytes as the largest of a file
 needs, up to eight.
 """
 
@@ -272,7 +273,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
         store.put(uri, f"w-{r}", h=h, c=_small(c))
         return pa.table({"r": pa.array([r], pa.int32()), "ids": pa.array([len(h)]), "types": pa.array([int((c > 0).sum())]), "tokens": pa.array([int(c.sum())])})
 
-    sizes = texts.mapInArrow(lean.batches(word_counts), "r int, k binary, c binary").groupBy("r").applyInArrow(lean.group(vocabulary), "r int, ids long, types long, tokens long")
+    sizes = texts.mapInArrow(lean.batches(word_counts), "r int, k binary, c binary").repartition(n, "r").groupBy("r").applyInArrow(lean.group(vocabulary), "r int, ids long, types long, tokens long")
     sizes = sizes.toPandas()  # a row for each range
     offsets = np.zeros(n + 1, np.int64)
     offsets[sizes.r.to_numpy(np.int64) + 1] = sizes.ids
@@ -355,17 +356,17 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     cuts, there = [np.zeros(4)] * order, [{"g": none, "x": none, "y": none} for _ in range(order)]
     dealt, stored, pairs = texts.mapInArrow(lean.batches(grams), _DEALT), None, 0
     for k in range(order, 1, -1):
-        before, stored = stored, store.written(spark, dealt.groupBy("r").applyInArrow(lean.group(level(k)), _LEVEL), f"ngram-{k}")
+        before, stored = stored, store.written(spark, dealt.repartition(n, "r").groupBy("r").applyInArrow(lean.group(level(k)), _LEVEL), f"ngram-{k}")
         if before is not None:
             store.forget(before)
         told = stored.where("kind = 0").select("r", "told").toPandas()  # a row for each range
         numbers = np.array(told.told.tolist(), np.int64).reshape(-1, 6)
         rs = told.r.to_numpy(np.int64)
-        merged = stored.where("kind = 2").groupBy("r").applyInArrow(lean.group(contexts(k)), "r int").toPandas()  # the same
+        merged = stored.where("kind = 2").repartition(n, "r").groupBy("r").applyInArrow(lean.group(contexts(k)), "r int").toPandas()  # the same
         there[k - 1] = {"g": _flags(n, rs), "x": _flags(n, rs[numbers[:, 5] > 0]), "y": _flags(n, merged.r.to_numpy(np.int64))}
         cuts[k - 1], pairs = _discounts(numbers[:, :4].sum(axis=0)), int(numbers[:, 4].sum())
         dealt = stored.where("kind = 1").select("r", "hot", "ids", "c")
-    told = np.array(dealt.groupBy("r").applyInArrow(lean.group(followed), "t array<long>").toPandas().t.tolist(), np.int64).reshape(-1, 6)
+    told = np.array(dealt.repartition(n, "r").groupBy("r").applyInArrow(lean.group(followed), "t array<long>").toPandas().t.tolist(), np.int64).reshape(-1, 6)
     store.forget(stored)
     low = told.sum(axis=0)
     cuts[0], there[0] = _discounts(low[:4]), {"k": _flags(n, told[:, 5])}
