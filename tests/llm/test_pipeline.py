@@ -40,3 +40,25 @@ def test_stages_take_effect(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_stages_of_an_empty_table(spark, none, tmp_path):
+    """No rows in, none out, with the columns that each stage promises."""
+    spark.createDataFrame([(1, "What is the sum of all the prime numbers below ten?")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.collect() == [] and (name == "sentence_pieces" or out.columns == none.columns), name
+
+
+def test_stages_of_one_text_over_and_over(spark, tmp_path):
+    """Equal rows, nulls and an empty text through all stages: one document of the group is left, by the stage that says so."""
+    text = " ".join(f"word{i} of it" for i in range(60))
+    rows = [(i, text, "en", "a", len(text)) for i in range(30)] + [(7, text, "en", "a", len(text)), (None, None, None, None, None), (99, "", "en", "a", 0)]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = store.written(spark, stage(spark, docs, str(tmp_path)), "test")
+        counts[name] = docs.count()
+    assert counts == {"quality_rules": 31, "jaccard_join": 1, "decontaminate": 1, "pseudonyms": 1, "sentence_pieces": 1}
+    assert docs.first()["doc_id"] == 0
