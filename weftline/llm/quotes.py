@@ -190,7 +190,7 @@ def as_replies(messages: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threads of all conversations. The table's messages quote nothing, so each is given the one before as a quotation first."""
-    return threads(as_replies(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return threads(store.written(spark, as_replies(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "replies"))
 
 
 REPLIES = r"""
