@@ -39,6 +39,16 @@ def test_check(spark):
     assert (t["done"], t["ok"], t["errors"], t["redirects"], t["rate"], t["eta"]) == (3, 2, 1, 1, 1.5, 2.0)
 
 
+def test_check_of_inputs_of_one_address(spark):
+    inputs = spark.createDataFrame([(0, "http://a"), (1, "http://a"), (2, "http://b")], "k int, website_url string")
+    fetched = spark.createDataFrame([(0, "http://a", "http://a/", 200), (1, "http://a", None, None), (2, "http://b", "http://b", 500)], "k int, url string, final_url string, status_code int")
+    own = {r["k"]: (r["status_code"], r["redirected"], r["error"]) for r in batch.checked(inputs, fetched, "k").collect()}
+    assert own == {0: (200, True, None), 1: (None, False, batch.FAILED), 2: (500, False, None)}
+    assert tuple(batch.check_totals(batch.checked(inputs, fetched, "k")).first()) == (3, 1, 1, 1)
+    by_url = sorted((r["k"], r["status_code"]) for r in batch.checked(inputs, fetched).collect())
+    assert by_url == [(0, 200), (1, 200), (2, 500)]
+
+
 def test_summary(spark):
     rows = [("m", "u", "ok", 50.0, ["a"], 2.0, 0), ("m", "u", "ok", 6.2, [], 4.0, 1), ("m", "v", "error", 0.0, [], 1.0, 2), ("n", "u", "error", 0.0, [], 1.0, 3)]
     e = spark.createDataFrame(rows, "model string, url string, status string, fill_pct double, low_confidence_fields array<string>, elapsed_sec double, seq int")

@@ -49,10 +49,17 @@ def in_input_order(results: DataFrame, inputs: DataFrame, key: str, order: str)
     return results.join(last, key, "left").withColumn("pos", F.coalesce("pos", F.lit(0)))
 
 
-def checked(inputs: DataFrame, fetched: DataFrame) -> DataFrame:
-    """inputs (website_url and others) with final_url, status_code, redirected and error, from fetched (url, final_url, status_code)."""
-    got = fetched.select(F.col("url").alias("website_url"), "final_url", "status_code")
-    out = inputs.join(got, "website_url", "left")
+def checked(inputs: DataFrame, fetched: DataFrame, key: str = "website_url") -> DataFrame:
+    """inputs (website_url and others) with final_url, status_code, redirected and error, from fetched (url, final_url, status_code): a row for each of inputs.
+
+    key names a column of both that tells inputs of one address apart, where each
+    was fetched by itself. Of several answers under a key one counts: one that
+    came, of the least status.
+    """
+    own = F.col("url" if key == "website_url" else key).alias(key)
+    answers = fetched.select(own, F.struct(F.col("status_code").isNull().alias("failed"), "status_code", "final_url").alias("a"))
+    got = answers.groupBy(key).agg(F.min("a").alias("a")).select(key, "a.final_url", "a.status_code")
+    out = inputs.join(got, key, "left")
     ok = F.col("status_code").isNotNull()
     return out.withColumn("redirected", ok & (F.col("final_url") != F.col("website_url"))).withColumn("error", F.when(~ok, FAILED))
 

@@ -283,10 +283,11 @@ _CHECK = "CASE WHEN page_id % 7 = 0 THEN NULL ELSE 200 + (page_id % 3) * 101 END
   pages) SELECT count(*) AS done, count(*) FILTER (s < 400) AS ok, count(*) FILTER (s IS NULL) AS errors, count(*) FILTER (s IS NOT
   NULL AND f <> url) AS redirects FROM f""")
 def url_check_summary(spark, sf):
+    """Pages as inputs, some of one address, each with an answer of its own."""
     p = table(spark, sf, "pages")
     ok = F.col("page_id") % 7 != 0
-    fetched = p.select("url", F.when(ok, F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("/"))).otherwise(F.col("url"))).alias("final_url"), F.when(ok, 200 + F.col("page_id") % 3 * 101).cast("int").alias("status_code"))
-    return batch.check_totals(batch.checked(p.select(F.col("url").alias("website_url")), fetched))
+    fetched = p.select("page_id", "url", F.when(ok, F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("/"))).otherwise(F.col("url"))).alias("final_url"), F.when(ok, 200 + F.col("page_id") % 3 * 101).cast("int").alias("status_code"))
+    return batch.check_totals(batch.checked(p.select("page_id", F.col("url").alias("website_url")), fetched, "page_id"))
 
 
 _ENTRIES = """e AS (SELECT o_orderpriority AS model, o_orderstatus AS url, o_orderkey AS seq, CASE WHEN o_custkey % 11 = 0 THEN 'error' ELSE 'ok'
