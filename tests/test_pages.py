@@ -32,6 +32,14 @@ def test_title():
     assert t("<p>x") == ""
 
 
+def test_names_of_characters_need_their_semicolon():
+    root = html.parse('<title>A &amp; &ampB &amp</title><script>x &amp y</script><a href="/x?a=1&copy=2&amp;b=&#39;">&lt;&lt&notit;</a>')
+    assert html.title(root) == "A & &ampB &amp"
+    assert html.anchors(root) == [{"href": "/x?a=1&copy=2&b='", "text": "<&lt&notit;"}]
+    assert [n.parts for n in root.all() if n.name == "script"] == [["x &amp y"]]
+    assert html.title(html.parse("<title>\ufdd0 &amp</title>")) == "\ufdd0 &amp"
+
+
 def test_title_by_expression(values):
     assert values(["<title> A </title>", "<h1>C <i>d</i></h1>", "<title> </title><h1>C</h1>", "x"], html.title_of(F.col("v"))) == ["A", "C d", "", ""]
 

@@ -194,9 +194,8 @@ for _entity, _sign in _ENTITIES:
 @query(f"SELECT page_id, {_DECODED.format(_TITLE)} AS title, {_TITLE} AS raw_title FROM pages")
 def html_title(spark, sf):
     """Titles by the parser, and by expression."""
-    p = table(spark, sf, "pages")
-    parsed = html.parse_pages(p.select("page_id", "html")).select("page_id", "title")
-    return p.select("page_id", html.title_of(F.col("html")).alias("raw_title")).join(parsed, "page_id")
+    p = table(spark, sf, "pages").select("page_id", "html", html.title_of(F.col("html")).alias("raw_title"))
+    return html.parse_pages(p).select("page_id", "title", "raw_title")
 
 
 @query()
