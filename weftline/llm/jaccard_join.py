@@ -11,7 +11,7 @@ orders let through have their sets read and verified.
 
 Equal sets form one class. Groups of similar sets are not expanded into pairs: in
 rounds, each bucket's members are compared with one of them, and buckets whose
-members are connected by then are done. Of what is left, a bucket with more pairs
+members are connected by then are done and not read again. Of what is left, a bucket with more pairs
 than its members' prefixes have tokens is dealt out again by each token of the
 prefix under the second order, so that only sets which share tokens of both are
 paired; the pairs of the others are fewer than that. So no link between classes
@@ -47,6 +47,8 @@ ORDERS = (0x9E3779B97F4A7C15, 0x51ED270B7A8F3D15, 0x2545F4914F6CDD1D)
 #: In a task, the members of a token found in more sets than this are dealt out by set, not by token.
 MANY = 16
 ROUNDS = 6
+#: A round moves each open member about so many times (labels, counts, pairs, links); as many pairs a member cost no more.
+ROUND_MOVES = 4
 #: Bytes of input for each range of tokens.
 BUCKET_BYTES = 4 << 20
 _AT = "struct<pack:string,lo:long,hi:long,from:long,to:long>"
@@ -368,6 +370,11 @@ def _by_second(open_: DataFrame, tokens: DataFrame, uri: str) -> DataFrame:
     return open_.join(tokens, "fp").select("b", "fp", "s", "i", "c", "at").mapInArrow(lean.batches(run), "b long, fp long, s int, i int, c long, b2 long")
 
 
+def _no_more_rounds(i: int, todo: float, before: float, members: int) -> bool:
+    """Whether the pairs left to do after i rounds are compared now: few for the members of all buckets, or hardly fewer than before."""
+    return i == ROUNDS or todo <= ROUND_MOVES * members or todo > 0.9 * before
+
+
 def _solve(docs: DataFrame, k: int, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, _k, s and class fp), and fp and component c of the classes that share a token of their prefixes."""
     spark = docs.sparkSession
@@ -383,20 +390,23 @@ def _solve(docs: DataFrame, k: int, percent: int, text: str) -> tuple[DataFrame,
     tokens = store.written(spark, _tokens(docs, reps, k, percent, uri, there, text).join(members, "fp", "left_semi").dropDuplicates(["fp"]), "tokens")
     labels = store.written(spark, members.select("fp", F.col("fp").alias("c")), "labels")
     at_most, before = buckets.count(), float("inf")
+    left = buckets
     for i in range(ROUNDS + 1):
-        here = buckets.join(labels, "fp")
-        # Members whose token comes too late in them to be the first that they share with any set of the bucket's sizes.
-        least = here.groupBy("b").agg(F.min("s").alias("least"))
-        here = here.join(least, "b").where(f"{100 + percent} * (s - i) >= {percent} * s + greatest({percent} * least, {percent * percent} * s div 100)").drop("least")
+        here = left.select("b", "fp", "s", "i").join(labels, "fp")
+        if i == 0:
+            # Members whose token comes too late in them to be the first that they share with any set of the bucket's sizes.
+            least = here.groupBy("b").agg(F.min("s").alias("least"))
+            here = here.join(least, "b").where(f"{100 + percent} * (s - i) >= {percent} * s + greatest({percent} * least, {percent * percent} * s div 100)").drop("least")
         prefix = F.sum(F.expr(f"s - (s * {percent} + 99) div 100 + 1")).alias("w")
         per = here.groupBy("b", "c").agg(F.count("*").alias("m"), prefix).groupBy("b").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("cs"), F.sum("w").alias("w"))
         per = per.where("cs > 1").select("b", ((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs"), "w")
         open_ = store.written(spark, here.join(per, "b").select("b", "fp", "s", "i", "c", "pairs", "w"), "open")
+        store.forget(left)
+        left = open_
         todo = open_.select("b", "pairs").distinct().agg(F.sum("pairs")).first()[0]
         if not todo:
-            store.forget(open_)
             break
-        last = i == ROUNDS or todo <= at_most or todo > 0.9 * before
+        last = _no_more_rounds(i, todo, before, at_most)
         before = todo
         fits = f"100 * least(sa, sb) >= {percent} * greatest(sa, sb) and {100 + percent} * least(sa - ia, sb - ib) >= {percent} * (sa + sb)"
         sides = lambda t, *by: (t.select(*by, F.col("fp").alias("a"), F.col("s").alias("sa"), F.col("i").alias("ia"), F.col("c").alias("ca")), t.select(*by, F.col("fp").alias("z"), F.col("s").alias("sb"), F.col("i").alias("ib"), F.col("c").alias("cb")))
@@ -417,11 +427,11 @@ def _solve(docs: DataFrame, k: int, percent: int, text: str) -> tuple[DataFrame,
         step = components.components(links.join(known[0], "a").join(known[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         to = step.select(F.col("u").alias("c"), F.col("p").alias("to"))
         old, labels = labels, store.written(spark, labels.join(to, "c", "left").select("fp", F.coalesce("to", "c").alias("c")), "labels")
-        store.forget(old, open_, step)
+        store.forget(old, step)
         if last:
             store.forget(both)
             break
-    store.forget(buckets, tokens)
+    store.forget(left, tokens)
     store.drop(spark, uri)
     return rows, labels
 

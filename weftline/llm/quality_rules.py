@@ -36,8 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lean, store, words
-from .columns import aside
+from . import keys, lean, store, words
 
 NAMES = ["word_len", "symbols", "dup_lines", "repeats", "marks", "same_words", "line_words", "capitals"]
 P = len(NAMES)
@@ -470,13 +469,12 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are kept. Texts are scanned once; the documents are told from those rejected by a hash of the row."""
+    """The documents that are kept. Texts are scanned once and not shuffled; the documents are told from those rejected by a hash of the row."""
     key = F.xxhash64("doc_id", "lang", "source", "text")
     rows = store.written(spark, with_stats(docs.select("lang", "source", "text", key.alias("_k")), ["_k", "lang", "source"]), "mcd-rows")
-    bad = store.written(spark, judge(rows, fit(rows)).where("not kept").select("_k").distinct(), "rejected")
+    left = keys.without(docs, key, judge(rows, fit(rows)).where("not kept").select("_k"), "rejected")
     store.forget(rows)
-    own, restore = aside(docs, {"doc_id", "lang", "source", "text"})
-    return restore(own.withColumn("_k", key).join(bad, "_k", "left_anti"))
+    return left
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
